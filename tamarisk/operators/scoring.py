@@ -13,11 +13,24 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk import schemas
 from tamarisk.functions.text import has_text, non_null, string_array, text_or
+from tamarisk.operators.features import ALL_FLAGS
 from tamarisk.params import RiskParams
 
 LAYERS = list(fv.LAYER_WEIGHTS)
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read but never repeat.
+
+    A filter on the verdict would be pushed below the projections by copying
+    their expressions into it, and the copies multiply from stage to stage.  A
+    one-row ``inline`` is where such copying ends; it adds no rows, no shuffle.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))
+    return df.select(*kept, F.inline(packed))
+
+
 def signal(code, layer: str, points, severity, title, explanation) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
@@ -164,31 +177,35 @@ def with_layers(
     """
     df = with_intel_measures(df, intel)
     if analysis is None:
-        available = F.lit(False)
-        raw_ai = F.lit(0)
+        available, raw_ai = F.lit(False), F.lit(0)
     else:
         available = F.coalesce(F.col(analysis)["available"], F.lit(False))
         raw_ai = F.coalesce(F.col(analysis)["score"], F.lit(0))
+    df = evaluate_once(
+        df,
+        {
+            **{name: F.col(name) for name in ALL_FLAGS + INTEL_MEASURES},
+            "ai_available": available,
+            "ai_raw_score": raw_ai,
+        },
+    )
     df = df.withColumns(
         {
-            "auth_score": auth_score(),
             "identity_points": flag_points("identity"),
             "heuristic_points": flag_points("threat_intel"),
-            "external_score": external_score(),
             "content_points": flag_points("content"),
-            "ai_available": available,
         }
     )
+    heuristic = F.least(F.lit(100), F.col("heuristic_points"))
     df = df.withColumns(
         {
+            "auth_score": auth_score(),
             "identity_score": F.least(F.lit(100), F.col("identity_points")),
-            "heuristic_score": F.least(F.lit(100), F.col("heuristic_points")),
-            "threat_intel_score": F.greatest(
-                F.least(F.lit(100), F.col("heuristic_points")), F.col("external_score")
-            ),
+            "heuristic_score": heuristic,
+            "external_score": external_score(),
             "content_score": F.least(F.lit(100), F.col("content_points")),
             "claude_score": F.when(
-                F.col("ai_available"), F.greatest(F.lit(0), F.least(F.lit(100), raw_ai))
+                F.col("ai_available"), F.greatest(F.lit(0), F.least(F.lit(100), "ai_raw_score"))
             ).otherwise(0),
             "threat_intel_confidence": F.lit(0.7 if intel is None else 1.0),
             "claude_confidence": F.when(F.col("ai_available"), 1.0).otherwise(0.0),
@@ -196,12 +213,31 @@ def with_layers(
     )
     return df.withColumns(
         {
+            "threat_intel_score": F.greatest("heuristic_score", "external_score"),
             "signals": _all_signals(intel, analysis),
+            "signal_codes": _signal_codes(),
             "evidence": _evidence(analysis),
         }
     )
 
 
+def _signal_codes() -> Column:
+    """The distinct codes of ``signals``, without building their texts."""
+    raised = [F.when(F.col(flag), F.lit(code)) for _l, flag, code, *_ in fv.FLAG_SIGNALS]
+    measured = {
+        "VT_URL_FLAGGED": F.col("max_url_engines") > 0,
+        "VT_FILE_FLAGGED": F.col("max_file_engines") > 0,
+        "ABUSEIPDB_FLAGGED": F.col("abuse_confidence") >= 50,
+        "VT_DOMAIN_FLAGGED": F.col("max_domain_engines") > 0,
+        "VT_IP_FLAGGED": F.col("max_ip_engines") > 0,
+        "GSB_FLAGGED": F.col("gsb_threats") > 0,
+        "URLHAUS_FLAGGED": F.col("feed_hits") > 0,
+        fv.AI_SIGNAL_CODE: F.col("ai_available"),
+    }
+    raised += [F.when(holds, F.lit(code)) for code, holds in measured.items()]
+    return non_null(F.array(*raised))
+
+
 def _ai_signal(analysis: str) -> Column:
     a, score = F.col(analysis), F.col("claude_score")
     first = F.get(a["main_findings"], F.lit(0))
@@ -345,12 +381,13 @@ def with_verdict(
     threshold = F.when(F.col("ai_available"), params.high_risk_threshold).otherwise(
         min(params.high_risk_threshold, params.no_ai_high_risk_threshold)
     )
-    df = df.withColumns(
+    df = evaluate_once(
+        df,
         {
             "composite_score": composite(),
             "effective_threshold": threshold,
             "override_triggers": triggers,
-        }
+        },
     )
     comp, limit = F.col("composite_score"), F.col("effective_threshold")
     overridden = F.size("override_triggers") > 0
@@ -383,13 +420,13 @@ def with_verdict(
     )
 
 
-def fallback_category(signals: Column, risk_level: Column) -> Column:
-    """Category from the raised signals, for when no model answer is there."""
-    codes = signals["code"]
+def fallback_category(codes: Column, risk_level: Column) -> Column:
+    """Category from the codes of the raised signals, for when no model answer
+    is there; pass ``signals["code"]`` or ``signal_codes``."""
     any_of = lambda group: F.arrays_overlap(codes, string_array(group))
     impersonation = any_of(fv.IMPERSONATION_CODES)
     return (
-        F.when(F.size(signals) == 0, "SAFE")
+        F.when(F.size(codes) == 0, "SAFE")
         .when(risk_level == "Safe", "SUSPICIOUS")
         .when(any_of(fv.MALWARE_CODES), "MALWARE_DELIVERY")
         .when(F.array_contains(codes, "FINANCIAL_REQUEST") & impersonation, "BEC")
@@ -417,7 +454,7 @@ def category_actions(category: Column, risk_level: Column) -> Column:
 
 def with_category(df: DataFrame, analysis: str | None = "analysis") -> DataFrame:
     """Threat category and actions; an available model answer wins."""
-    category = fallback_category(F.col("signals"), F.col("risk_level"))
+    category = fallback_category(F.col("signal_codes"), F.col("risk_level"))
     if analysis is not None:
         category = F.when(F.col("ai_available"), F.col(analysis)["threat_category"]).otherwise(category)
     df = df.withColumn("threat_category", category)
