@@ -54,9 +54,15 @@ EXPANSION = (
     "struct<original_url:string,final_url:string,redirect_chain:array<string>,"
     "redirect_count:int,expanded:boolean,error:string>"
 )
+# what scoring and the reports read of a reputation record
+VT_LOOKUP = (
+    "struct<kind:string,target:string,malicious_count:int,total_engines:int,"
+    "first_submission_date:bigint,creation_date:bigint,threat_names:array<string>,"
+    "categories:map<string,string>,type_description:string,threat_label:string>"
+)
 INTEL = (
-    f"struct<url_results:array<{VT_RESULT}>,file_results:array<{VT_RESULT}>,"
-    f"domain_results:array<{VT_RESULT}>,ip_results:array<{VT_RESULT}>,"
+    f"struct<url_results:array<{VT_LOOKUP}>,file_results:array<{VT_LOOKUP}>,"
+    f"domain_results:array<{VT_LOOKUP}>,ip_results:array<{VT_LOOKUP}>,"
     f"abuse_result:{ABUSE_RESULT},url_expansions:array<{EXPANSION}>,sender_ip:string,"
     f"safe_browsing_results:array<{SAFE_BROWSING}>,malware_feed_results:array<{MALWARE_FEED}>>"
 )

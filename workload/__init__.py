@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_core"]
+MODULES = ["queries_core", "queries_intel"]
 
 
 def load_all() -> None:

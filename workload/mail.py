@@ -182,3 +182,158 @@ DUCK_MAIL = (
     + " FROM (SELECT doc_id AS d, text FROM documents)),\n"
     + f"mu AS ({_duck_urls()}),\nma AS ({_duck_attachments()})"
 )
+
+
+# --- reputation <- the distinct keys of the messages -------------------------
+# Every key is numbered by the lowest d of the messages that hold it.
+
+_BASE = 1704067200  # 2024-01-01T00:00:00Z
+ENGINE_RULES = {
+    "malicious_count": "CAST(n % 8 AS INT)",
+    "total_engines": "CAST(70 + n % 5 AS INT)",
+    "first_submission_date": f"CASE n % 20 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE {_BASE} + n * 3600 - (n % 100) * 3600 END",
+    "creation_date": f"CASE n WHEN 3 THEN NULL WHEN 7 THEN 0 ELSE {_BASE} - n * 5 * 86400 END",
+}
+ENGINE_KEPT = "n % 3 <> 2"
+ABUSE_RULES = {
+    "abuse_confidence": "CAST((n * 7) % 101 AS INT)",
+    "country_code": "CASE WHEN n % 4 = 0 THEN 'NL' END",
+    "country_name": "CASE WHEN n % 3 = 0 THEN 'Netherlands' END",
+    "usage_type": "CASE WHEN n % 5 = 0 THEN 'Data Center' END",
+    "isp": "CASE WHEN n % 2 = 0 THEN 'ISP-' || CAST(n AS STRING) END",
+    "total_reports": "CAST(n % 10 AS INT)",
+    "distinct_reporters": "CAST(n % 4 AS INT)",
+    "last_reported_at": "CASE WHEN n % 6 = 0 THEN '2024-01-02T00:00:00+00:00' END",
+    "is_whitelisted": "n % 13 = 0",
+    "is_tor": "n % 11 = 0",
+}
+ABUSE_KEPT = "n % 9 <> 4"
+
+
+def engine_keys(messages: DataFrame) -> DataFrame:
+    """``kind, target, n`` of every distinct lookup key."""
+    url = messages.select("d", F.explode("urls.url").alias("target")).withColumn("kind", F.lit("url"))
+    file = messages.select("d", F.explode("attachments.sha256").alias("target")).withColumn("kind", F.lit("file"))
+    domain = messages.select("d", F.col("from_domain").alias("target")).withColumn("kind", F.lit("domain"))
+    ip = messages.filter("authentication_results IS NOT NULL").select(
+        "d", F.expr("'203.0.113.' || CAST(d % 250 AS STRING)").alias("target")
+    ).withColumn("kind", F.lit("ip"))
+    rows = url.unionByName(file).unionByName(domain).unionByName(ip)
+    return rows.filter("target IS NOT NULL").groupBy("kind", "target").agg(F.min("d").alias("n"))
+
+
+def engines(messages: DataFrame) -> DataFrame:
+    return engine_keys(messages).filter(ENGINE_KEPT).selectExpr(
+        "kind", "target", *[f"{sql} AS {c}" for c, sql in ENGINE_RULES.items()],
+        "CASE n % 3 WHEN 0 THEN array('phish', 'kit') ELSE CAST(array() AS array<string>) END AS threat_names",
+        "CASE n % 4 WHEN 0 THEN map('A', 'news', 'B', 'ads', 'C', 'spam', 'D', 'x')"
+        " ELSE CAST(map() AS map<string,string>) END AS categories",
+        "CASE WHEN kind = 'file' AND n % 2 = 0 THEN 'Win32 EXE' END AS type_description",
+        "CASE WHEN kind = 'file' AND n % 3 = 0 THEN 'trojan.x' END AS threat_label",
+    )
+
+
+def abuse(messages: DataFrame) -> DataFrame:
+    ips = messages.filter("authentication_results IS NOT NULL").selectExpr("d % 250 AS n").distinct()
+    return ips.filter(ABUSE_KEPT).selectExpr(
+        "'203.0.113.' || CAST(n AS STRING) AS ip", *[f"{sql} AS {c}" for c, sql in ABUSE_RULES.items()]
+    )
+
+
+def _url_numbers(messages: DataFrame) -> DataFrame:
+    return engine_keys(messages).filter("kind = 'url'").select(F.col("target").alias("url"), "n")
+
+
+def browsing_matches(messages: DataFrame) -> DataFrame:
+    """Match rows of every fifth URL, types out of order and repeated."""
+    return _url_numbers(messages).filter("n % 5 = 0").selectExpr(
+        "url",
+        """inline(CASE n % 3
+          WHEN 0 THEN array(named_struct('threat_type', CAST(NULL AS STRING), 'platform_type', 'LINUX'))
+          WHEN 1 THEN array(named_struct('threat_type', 'MALWARE', 'platform_type', 'WINDOWS'))
+          ELSE array(named_struct('threat_type', 'SOCIAL_ENGINEERING', 'platform_type', 'WINDOWS'),
+                     named_struct('threat_type', 'MALWARE', 'platform_type', 'ANY_PLATFORM'),
+                     named_struct('threat_type', 'MALWARE', 'platform_type', 'WINDOWS')) END)""",
+    )
+
+
+def malware_feed(messages: DataFrame) -> DataFrame:
+    return _url_numbers(messages).filter("n % 7 <= 1").selectExpr(
+        "url", "n % 7 = 0 AS in_database",
+        "CASE WHEN n % 7 = 0 AND n % 2 = 1 THEN 'malware_download' END AS threat",
+        "CASE WHEN n % 7 <> 0 OR n % 3 = 0 THEN CAST(array() AS array<string>)"
+        " WHEN n % 3 = 1 THEN array('exe') ELSE array('exe', 'zip') END AS tags",
+    )
+
+
+# --- redirect edges of the shortened URLs ------------------------------------
+# k = number in the URL; k % 5 gives no hop, one, eight, nine hops or a cycle
+
+
+def redirects(messages: DataFrame) -> DataFrame:
+    short = messages.filter("d % 9 = 8").selectExpr("d % 200 AS k").distinct()
+    hops = short.selectExpr(
+        "k", "CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 8 WHEN 3 THEN 9 ELSE 2 END AS n"
+    ).filter("n > 0").selectExpr("k", "n", "explode(sequence(1, n)) AS i")
+    chains = hops.selectExpr(
+        "CASE WHEN i = 1 THEN 'https://t.co/q' || CAST(k AS STRING) ELSE"
+        " 'https://hop.example/' || CAST(k AS STRING) || '/' || CAST(i - 1 AS STRING) END AS src",
+        "CASE WHEN k % 5 = 4 AND i = 2 THEN 'https://t.co/q' || CAST(k AS STRING) ELSE"
+        " 'https://hop.example/' || CAST(k AS STRING) || '/' || CAST(i AS STRING) END AS dst",
+    )
+    landing = messages.filter("d % 9 = 0").selectExpr(
+        "'https://bit.ly/fake-login' AS src", "'https://land.example/0' AS dst"
+    ).distinct()
+    return chains.unionByName(landing)
+
+
+def short_urls(messages: DataFrame) -> DataFrame:
+    return messages.filter("d % 9 IN (0, 8)").select(F.explode("urls.url").alias("url"))
+
+
+# --- mailbox <- events -------------------------------------------------------
+
+MAILBOX = {
+    "mailbox_id": "CAST(user_id % 20 AS STRING)",
+    "thread_id": "CAST(user_id AS STRING) || '-' || CAST(CAST(floor(value) AS BIGINT) AS STRING)",
+    "message_id": "'e' || CAST(event_id AS STRING)",
+    "sender": "CASE WHEN event_type = 'purchase' THEN 'owner' ELSE CAST(user_id AS STRING) END",
+    "recipient": "CASE WHEN event_type = 'purchase' THEN CAST(user_id AS STRING) ELSE 'owner' END",
+    "folder": """CASE event_type WHEN 'error' THEN 'spam' WHEN 'signup' THEN 'trash'
+ WHEN 'purchase' THEN 'sent' ELSE 'inbox' END""",
+    "received_at": "CAST(ts AS TIMESTAMP)",
+    "subject": "'Note ' || CAST(event_id % 50 AS STRING)",
+    "body": """CASE event_id % 4 WHEN 0 THEN 'see https://a.example/1 and https://a.example/1 or http://b.example'
+ WHEN 1 THEN props ELSE NULL END""",
+    "n_attachments": "CAST(event_id % 3 AS INT)",
+}
+
+
+def mailbox_from(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*[f"{sql} AS {c}" for c, sql in MAILBOX.items()])
+
+
+def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mailbox_from(table(spark, sf_dir, "events"))
+
+
+# --- stored answers, one shape per d % 8 -------------------------------------
+
+_ADVICE = ', "what_to_do": {"do": ["a", "b", "c", "d"], "do_not": ["x"]}'
+ANSWER_TEXT = f"""CASE d % 8
+ WHEN 0 THEN '{{"claude_score": ' || CAST(d % 101 AS STRING) || ', "threat_category": "PHISHING", "main_findings": ["f1", "f2"], "potential_damage": "loss"{_ADVICE}}}'
+ WHEN 1 THEN '```json
+{{"claude_score": 40.9, "threat_category": "BEC", "main_findings": [], "potential_damage": null, "what_to_do": {{"do": [], "do_not": []}}}}
+```'
+ WHEN 2 THEN '{{"claude_score": "87", "threat_category": "IMPERSONATION", "main_findings": ["only"], "what_to_do": "none"}}'
+ WHEN 3 THEN '{{"claude_score": "87.9", "threat_category": "SAFE"}}'
+ WHEN 4 THEN '{{"claude_score": 172, "threat_category": "WEIRD", "potential_damage": "harm"}}'
+ WHEN 5 THEN CASE d % 3
+   WHEN 0 THEN '{{"claude_score": 55, "threat_category": "PHISHING", "main_findings": "oops"}}'
+   WHEN 1 THEN '{{"claude_score": 55, "threat_category": "PHISHING", "main_findings": ["1", "2", "3", "4", "5", "6", "7"]}}'
+   ELSE '{{"claude_score": 55, "threat_category": "PHISHING", "main_findings": ["", "z", 0, null, false, true, [], {{}}, 7]}}' END
+ WHEN 6 THEN '{{"claude_score": ' END"""
+
+
+def raw_answers(messages: DataFrame) -> DataFrame:
+    return messages.filter("d % 8 <> 7").selectExpr("message_id", f"{ANSWER_TEXT} AS raw_text")
