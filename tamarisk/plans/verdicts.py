@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tamarisk import fixed_values as fv
+from tamarisk.functions.text import text_or_empty
 from tamarisk.operators.answers import parse_answers, with_analysis
 from tamarisk.operators.features import (
     HISTORY_FLAGS,
@@ -15,6 +18,8 @@ from tamarisk.operators.features import (
 )
 from tamarisk.operators.history import with_sender_history
 from tamarisk.operators.intel import Snapshots, with_intel
+from tamarisk.operators.prompts import prompt_body, prompts
+from tamarisk.operators.reports import with_explanation
 from tamarisk.operators.scoring import score
 from tamarisk.params import RiskParams
 
@@ -22,14 +27,34 @@ BODIES = ["body_text", "body_html"]
 
 
 def flagged_messages(messages: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """Flags of the message itself; the bodies end here, nothing wide moves on."""
-    return with_body_flags(messages, params).drop(*BODIES)
+    """Flags of the message itself; the bodies end here, nothing wide moves on.
+
+    Two short excerpts stay for the reports; a plan that writes no report does
+    not compute them.
+    """
+    excerpts = {
+        "alert_snippet": F.substring(text_or_empty(F.col("body_text")), 1, fv.ALERT_SNIPPET_CHARS),
+        "prompt_body": prompt_body(F.col("body_text")),
+    }
+    return with_body_flags(messages, params).withColumns(excerpts).drop(*BODIES)
+
+
+def prompt_rows(
+    messages: DataFrame,
+    snapshots: Snapshots,
+    mailbox: DataFrame,
+    params: RiskParams = RiskParams(),
+) -> DataFrame:
+    """``message_id, prompt`` of every message, for batch inference."""
+    rows = flagged_messages(messages, params)
+    rows = with_sender_history(rows, mailbox, params, recent=True, messages=messages)
+    return prompts(with_intel(rows, snapshots, params, messages))
 
 
 def offline_verdicts(messages: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
     """Score from the message alone: no reputation, history or model answer."""
     flagged = without_flags(flagged_messages(messages, params), INTEL_FLAGS + HISTORY_FLAGS)
-    return score(flagged, params, intel=None, analysis=None)
+    return with_explanation(score(flagged, params, intel=None, analysis=None))
 
 
 def verdicts(
@@ -58,4 +83,4 @@ def verdicts(
     analysis = None
     if raw_answers is not None:
         rows, analysis = with_analysis(rows, parse_answers(raw_answers)), "analysis"
-    return score(rows, params, analysis=analysis)
+    return with_explanation(score(rows, params, analysis=analysis))
