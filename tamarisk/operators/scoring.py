@@ -25,10 +25,13 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A filter on the verdict would be pushed below the projections by copying
     their expressions into it, and the copies multiply from stage to stage.  A
     one-row ``inline`` is where such copying ends; it adds no rows, no shuffle.
+    The expressions are projected before, so that the generator itself reads
+    plain columns only (field access inside a generator confuses pruning).
     """
     kept = [c for c in df.columns if c not in columns]
-    packed = F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))
-    return df.select(*kept, F.inline(packed))
+    staged = df.withColumns({f"_once_{n}": e for n, e in columns.items()})
+    packed = F.array(F.struct(*[F.col(f"_once_{n}").alias(n) for n in columns]))
+    return staged.select(*kept, F.inline(packed))
 
 
 def signal(code, layer: str, points, severity, title, explanation) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_core", "queries_intel", "queries_reports"]
+MODULES = ["queries_core", "queries_intel", "queries_reports", "queries_parse"]
 
 
 def load_all() -> None:
