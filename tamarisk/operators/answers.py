@@ -63,10 +63,10 @@ def unavailable() -> Column:
     ).cast(schemas.ANSWER)
 
 
-def parse_answers(raw: DataFrame) -> DataFrame:
-    """``message_id, raw_text`` -> ``message_id, analysis``."""
+def parse_answers(raw: DataFrame, *kept: str) -> DataFrame:
+    """``message_id, raw_text`` -> ``message_id, analysis`` and the kept columns."""
     parsed = raw.select(
-        "message_id", F.try_parse_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
+        "message_id", *kept, F.try_parse_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
     )
     v = F.col("v")
     category = F.try_variant_get(v, "$.threat_category", "string")
@@ -88,7 +88,7 @@ def parse_answers(raw: DataFrame) -> DataFrame:
         F.lit(True).alias("available"),
     ).cast(schemas.ANSWER)
     usable = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return parsed.select("message_id", F.when(usable, record).otherwise(unavailable()).alias("analysis"))
+    return parsed.select("message_id", *kept, F.when(usable, record).otherwise(unavailable()).alias("analysis"))
 
 
 def with_analysis(messages: DataFrame, answers: DataFrame) -> DataFrame:

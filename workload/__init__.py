@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_core", "queries_intel", "queries_reports", "queries_parse"]
+MODULES = ["queries_core", "queries_intel", "queries_reports", "queries_parse", "queries_stream"]
 
 
 def load_all() -> None:
