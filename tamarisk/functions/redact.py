@@ -6,27 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamarisk import fixed_values as fv
-from tamarisk.functions.text import has_text, text_or_empty
+from tamarisk.functions.text import bind, has_text, text_or_empty
+
+
+# What a text must hold before a pattern can match at all.  Each check is a plain
+# scan, far cheaper than the pattern, and most texts hold none of it.
+_HAS_DIGIT = r"\p{Nd}"
+_HAS_GROUP = r"\p{Nd}{3}"
 
 
 def redact_structured(text: Column) -> Column:
     """Addresses, account, identity and card numbers and long URL tokens."""
     out = text_or_empty(text)
-    for pattern, mark in (
-        (fv.EMAIL_PATTERN, "[EMAIL]"),
-        (fv.IBAN_PATTERN, "[IBAN]"),
-        (fv.ID_NUMBER_PATTERN, "[ID_NUMBER]"),
-        (fv.CARD_PATTERN, "[CARD]"),
-        (fv.URL_TOKEN_PATTERN, "$1[TOKEN]"),
+    for pattern, mark, needed in (
+        (fv.EMAIL_PATTERN, "[EMAIL]", lambda t: t.contains("@")),
+        (fv.IBAN_PATTERN, "[IBAN]", lambda t: t.rlike(_HAS_DIGIT)),
+        (fv.ID_NUMBER_PATTERN, "[ID_NUMBER]", lambda t: t.contains("-") & t.rlike(_HAS_GROUP)),
+        (fv.CARD_PATTERN, "[CARD]", lambda t: t.rlike(_HAS_DIGIT)),
+        (fv.URL_TOKEN_PATTERN, "$1[TOKEN]", lambda t: t.contains("=")),
     ):
-        out = F.regexp_replace(out, pattern, mark)
+        out = bind(out, _step(pattern, mark, needed))
     return out
 
 
+def _step(pattern: str, mark: str, needed):
+    return lambda t: F.when(needed(t), F.regexp_replace(t, pattern, mark)).otherwise(t)
+
+
 def redact_phones(text: Column) -> Column:
     """Digit groups become ``[PHONE]`` only when they hold 7 to 15 digits."""
-    between = F.split(text, fv.PHONE_PATTERN, -1)
-    found = F.regexp_extract_all(text, F.lit(fv.PHONE_PATTERN), F.lit(0))
 
     def marked(hit: Column) -> Column:
         digits = F.length(F.regexp_replace(hit, r"(?U)\D", ""))
@@ -34,10 +42,15 @@ def redact_phones(text: Column) -> Column:
             digits.between(fv.PHONE_MIN_DIGITS, fv.PHONE_MAX_DIGITS), F.lit("[PHONE]")
         ).otherwise(hit)
 
-    return F.array_join(
-        F.zip_with(between, found, lambda b, h: F.concat(b, F.coalesce(marked(h), F.lit("")))),
-        "",
-    )
+    def replaced(t: Column) -> Column:
+        between = F.split(t, fv.PHONE_PATTERN, -1)
+        found = F.regexp_extract_all(t, F.lit(fv.PHONE_PATTERN), F.lit(0))
+        pieces = F.zip_with(
+            between, found, lambda b, h: F.concat(b, F.coalesce(marked(h), F.lit("")))
+        )
+        return F.when(t.rlike(_HAS_GROUP), F.array_join(pieces, "")).otherwise(t)
+
+    return bind(text, replaced)
 
 
 def redact(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamarisk import fixed_values as fv
-from tamarisk.functions.text import text_or_empty, trim_space
+from tamarisk.functions.text import bind, text_or_empty, trim_space
 
 URL_ARRAY = "array<struct<url:string,domain:string,visible_text:string>>"
 
@@ -72,13 +72,17 @@ def dedupe_urls(records: Column, keep: str = "first") -> Column:
     ``keep='first'`` keeps the first record of a URL, ``keep='last'`` the last
     (so a later plain mention erases the anchor text).
     """
-    names = records["url"]
-    if keep == "first":
-        pick = lambda u: F.get(records, F.array_position(names, u).cast("int") - 1)
-    else:
-        back = F.reverse(records)
-        pick = lambda u: F.get(back, F.array_position(back["url"], u).cast("int") - 1)
-    return F.transform(F.array_distinct(names), pick)
+    if keep == "last":
+        records = F.reverse(records)
+
+    def kept(rs: Column) -> Column:
+        names = rs["url"]
+        return F.transform(
+            F.array_distinct(names if keep == "first" else F.reverse(names)),
+            lambda u: F.get(rs, F.array_position(names, u).cast("int") - 1),
+        )
+
+    return bind(records, kept)
 
 
 def message_urls(text: Column, html: Column, mode: str = "client") -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk.functions.address import display_name
 from tamarisk.functions.text import (
-    any_true,
     contains_any,
     ends_with_any,
     has_text,
+    sql_any,
+    sql_text,
     strip_tags,
     text_or_empty,
 )
@@ -40,17 +41,22 @@ def auth_failed(header: Column, mechanism: str) -> Column:
     return text_or_empty(header).rlike(fv.AUTH_FAIL_PATTERN % mechanism)
 
 
-def brand_spoofed(name: Column, domain: Column, brands: dict) -> Column:
-    """A brand is named and the domain is none of the brand's own."""
-    lowered = F.lower(domain)
+def brand_spoofed(name: str, domain: str, brands: dict) -> Column:
+    """A brand is named and the domain is none of the brand's own (column names)."""
 
     def foreign(own):
-        return ~any_true(
-            (lowered == d) | lowered.endswith("." + d) for d in own
+        return "NOT " + sql_any(
+            f"lower({domain}) = {sql_text(d)} OR endswith(lower({domain}), {sql_text('.' + d)})"
+            for d in own
         )
 
-    hit = any_true(name.contains(b) & foreign(own) for b, own in brands.items())
-    return has_text(name) & has_text(domain) & F.coalesce(hit, F.lit(False))
+    hit = F.expr(
+        sql_any(
+            f"(contains({name}, {sql_text(brand)}) AND {foreign(own)})"
+            for brand, own in brands.items()
+        )
+    )
+    return has_text(F.col(name)) & has_text(F.col(domain)) & F.coalesce(hit, F.lit(False))
 
 
 def foreign_address_in_name(name: Column, domain: Column) -> Column:
@@ -140,11 +146,11 @@ def with_body_flags(messages: DataFrame, params: RiskParams = RiskParams()) -> D
             ),
         }
     )
-    text, url_text, name = F.col("_text"), text_or_empty(F.col("_url_text")), F.col("_name")
+    text, url_text, name = "_text", "coalesce(_url_text, '')", F.col("_name")
     urls, files = F.col("_urls"), F.col("_files")
     domain = F.col("from_domain")
     lowered_domain = F.lower(domain)
-    worded = any_true(domain.contains(w) for w in fv.SENDER_DOMAIN_WORDS) & ~ends_with_any(
+    worded = contains_any("from_domain", fv.SENDER_DOMAIN_WORDS) & ~ends_with_any(
         domain, fv.SENDER_DOMAIN_EXEMPT_ENDINGS
     )
     odd_domain = (
@@ -161,11 +167,11 @@ def with_body_flags(messages: DataFrame, params: RiskParams = RiskParams()) -> D
         & has_text(domain)
         & F.coalesce(F.col("reply_to_domain") != domain, F.lit(False)),
         "suspicious_sender_domain": has_text(domain) & F.coalesce(odd_domain, F.lit(False)),
-        "display_name_spoofing": brand_spoofed(name, domain, d.brands)
+        "display_name_spoofing": brand_spoofed("_name", "from_domain", d.brands)
         | foreign_address_in_name(name, domain),
         "free_provider_spoofing": has_text(name)
         & F.coalesce(lowered_domain.isin(list(d.free_providers)), F.lit(False))
-        & any_true(name.contains(r) for r in d.role_words),
+        & contains_any("_name", d.role_words),
         "has_urls": F.size(urls) > 0,
         "has_login_or_verification_url": contains_any(url_text, d.login_url_words),
         "has_url_shortener": F.exists(urls, known_shortener),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk.functions.address import display_name_raw
 from tamarisk.functions.redact import redact, redact_local_part
-from tamarisk.functions.text import cut, has_text, lines, non_null, string_array, text_or, text_or_empty
+from tamarisk.functions.text import bind, cut, has_text, lines, non_null, string_array, text_or, text_or_empty
 from tamarisk.operators.scoring import feed_hits, threats
 
 
@@ -69,12 +69,16 @@ def history_block(h: Column) -> Column:
 def recent_block(recent: Column) -> Column:
     def one(mail: Column, number: Column) -> Column:
         body = cut(redact(mail["body_snippet"]), fv.RECENT_BODY_CHARS, fv.PROMPT_RECENT_CUT)
-        indented = F.concat(F.lit("    "), F.replace(body, F.lit("\n"), F.lit("\n    ")))
+
+        def indented(text: Column) -> Column:
+            shifted = F.concat(F.lit("    "), F.replace(text, F.lit("\n"), F.lit("\n    ")))
+            return F.when(text != "", lines(F.lit("  Body snippet:"), shifted))
+
         return lines(
             F.concat(F.lit("Prior email #"), number, F.lit(":")),
             _if_text("  Received: ", mail["received_iso_date"]),
             F.when(has_text(mail["subject"]), _line("  Subject: ", redact(mail["subject"]))),
-            F.when(body != "", lines(F.lit("  Body snippet:"), indented)),
+            bind(body, indented),
             F.when(mail["has_attachments"], F.lit("  Had attachments: yes")),
             F.when(mail["url_count"] > 0, _line("  URLs in body: ", _s(mail["url_count"]))),
         )

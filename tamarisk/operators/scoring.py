@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tamarisk import fixed_values as fv
 from tamarisk import schemas
-from tamarisk.functions.text import has_text, non_null, string_array, text_or
+from tamarisk.functions.text import has_text, non_null, sql_text, string_array, text_or
 from tamarisk.operators.features import ALL_FLAGS
 from tamarisk.params import RiskParams
 
@@ -48,20 +48,25 @@ def signal(code, layer: str, points, severity, title, explanation) -> Column:
 
 def flag_signals(layer: str) -> list[Column]:
     """One nullable signal per flag of the layer, in report order."""
-    return [
-        F.when(F.col(flag), signal(code, layer, points, severity, title, text))
-        for lay, flag, code, points, severity, _raw, title, text in fv.FLAG_SIGNALS
-        if lay == layer
-    ]
+    made = []
+    for lay, flag, code, points, severity, _raw, title, text in fv.FLAG_SIGNALS:
+        if lay == layer:
+            fields = {
+                "code": sql_text(code), "layer": sql_text(lay), "score": str(points),
+                "severity": sql_text(severity), "title": sql_text(title),
+                "explanation": sql_text(text),
+            }
+            packed = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+            made.append(F.expr(f"CASE WHEN {flag} THEN named_struct({packed}) END"))
+    return made
 
 
 def flag_points(layer: str) -> Column:
     """Sum of the raw points of the layer's raised flags."""
-    total = F.lit(0)
-    for lay, flag, _c, _p, _s, raw, _t, _e in fv.FLAG_SIGNALS:
-        if lay == layer:
-            total = total + F.when(F.col(flag), raw).otherwise(0)
-    return total
+    terms = [
+        f"IF({flag}, {raw}, 0)" for lay, flag, _c, _p, _s, raw, *_ in fv.FLAG_SIGNALS if lay == layer
+    ]
+    return F.expr(" + ".join(terms))
 
 
 def auth_score() -> Column:
@@ -226,7 +231,9 @@ def with_layers(
 
 def _signal_codes() -> Column:
     """The distinct codes of ``signals``, without building their texts."""
-    raised = [F.when(F.col(flag), F.lit(code)) for _l, flag, code, *_ in fv.FLAG_SIGNALS]
+    raised = [
+        F.expr(f"CASE WHEN {flag} THEN {sql_text(code)} END") for _l, flag, code, *_ in fv.FLAG_SIGNALS
+    ]
     measured = {
         "VT_URL_FLAGGED": F.col("max_url_engines") > 0,
         "VT_FILE_FLAGGED": F.col("max_file_engines") > 0,

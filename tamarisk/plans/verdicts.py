@@ -18,6 +18,7 @@ from tamarisk.operators.features import (
 )
 from tamarisk.operators.history import with_sender_history
 from tamarisk.operators.intel import Snapshots, with_intel
+from tamarisk.operators.layout import spread
 from tamarisk.operators.prompts import prompt_body, prompts
 from tamarisk.operators.reports import with_explanation
 from tamarisk.operators.scoring import score
@@ -36,7 +37,7 @@ def flagged_messages(messages: DataFrame, params: RiskParams = RiskParams()) ->
         "alert_snippet": F.substring(text_or_empty(F.col("body_text")), 1, fv.ALERT_SNIPPET_CHARS),
         "prompt_body": prompt_body(F.col("body_text")),
     }
-    return with_body_flags(messages, params).withColumns(excerpts).drop(*BODIES)
+    return with_body_flags(spread(messages), params).withColumns(excerpts).drop(*BODIES)
 
 
 def prompt_rows(

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk.operators import features as ft
 from tamarisk.operators import scoring as sc
+from tamarisk.plans.verdicts import flagged_messages
 from workload import duck
 from workload.mail import messages
 from workload.registry import query
 
 
 def offline_flags(spark, sf):
-    flagged = ft.with_body_flags(messages(spark, sf))
+    flagged = flagged_messages(messages(spark, sf))
     return ft.without_flags(flagged, ft.INTEL_FLAGS + ft.HISTORY_FLAGS)
 
 
@@ -27,7 +28,7 @@ _OFFLINE = duck.with_mail(duck.FEATURES, duck.OFFLINE_G, duck.SCORED)
 
 @query("features", _FEATURES + "SELECT message_id, " + ", ".join(ft.BODY_FLAGS) + " FROM f")
 def features(spark, sf):
-    return ft.with_body_flags(messages(spark, sf)).select("message_id", *ft.BODY_FLAGS)
+    return flagged_messages(messages(spark, sf)).select("message_id", *ft.BODY_FLAGS)
 
 
 @query(
@@ -38,7 +39,7 @@ def features(spark, sf):
     + " FROM f",
 )
 def flag_counts(spark, sf):
-    return ft.with_body_flags(messages(spark, sf)).agg(
+    return flagged_messages(messages(spark, sf)).agg(
         F.count("*").alias("n_messages"), *[F.count_if(f).alias(f) for f in ft.BODY_FLAGS]
     )
 

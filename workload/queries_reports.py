@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk.functions import redact as rd
 from tamarisk.operators import reports as rp
+from tamarisk.operators.layout import redact_table
 from tamarisk.operators.actions import pending_actions, routed_actions
 from tamarisk.plans.verdicts import prompt_rows
 from workload import duck, mail
@@ -282,8 +283,9 @@ rx AS (SELECT k, array_to_string(list_transform(range(1, len(s) + 1), lambda i:
 )
 def redact_documents(spark, sf):
     docs = mail.table(spark, sf, "documents").selectExpr("doc_id", f"{_INJECTED} AS text")
-    clean = docs.withColumn("t", rd.redact(F.col("text")))
-    return clean.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").cast("long").alias("n"))
+    return redact_table(docs, ["text"]).select(
+        "doc_id", F.md5("text").alias("redacted_md5"), F.length("text").cast("long").alias("n")
+    )
 
 
 @query(
@@ -298,8 +300,8 @@ def redact_documents(spark, sf):
 )
 def pii_counts(spark, sf):
     docs = mail.table(spark, sf, "documents").selectExpr("lang", f"{_INJECTED} AS text")
-    clean = docs.withColumn("t", rd.redact(F.col("text")))
-    times = lambda m: F.sum(F.regexp_count("t", F.lit(rf"\[{m}\]")))
+    clean = redact_table(docs, ["text"])
+    times = lambda m: F.sum(F.regexp_count("text", F.lit(rf"\[{m}\]")))
     return clean.groupBy("lang").agg(
         *[times(m).alias(m.lower()) for m in ("EMAIL", "IBAN", "ID_NUMBER", "CARD", "TOKEN", "PHONE")]
     )
