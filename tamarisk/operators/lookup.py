@@ -11,7 +11,7 @@ from tamarisk.params import RiskParams
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the frame; None where it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
