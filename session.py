@@ -16,6 +16,8 @@ def local_session(name: str, cpus: int | str = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # larger generated methods are never compiled by the JIT
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))

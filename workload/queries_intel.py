@@ -447,9 +447,7 @@ def latest_per_thread(spark, sf):
     " WHERE role = 'user') WHERE (mb, s) IN (SELECT (conv_id % 7, conv_id % 30) FROM conversations WHERE role = 'assistant')",
 )
 def replied_semi(spark, sf):
-    rows = _conversation_mail(spark, sf)
-    received = rows.filter("folder = 'inbox'")
-    return received.join(hist.replied_senders(rows), ["mailbox_id", "sender"], "left_semi").select("message_id")
+    return hist.from_replied_senders(_conversation_mail(spark, sf)).select("message_id")
 
 
 # --- answers ----------------------------------------------------------------
