@@ -16,6 +16,7 @@ from tamarisk.functions.text import (
     strip_tags,
     text_or_empty,
 )
+from tamarisk.operators.lookup import lookup_join
 from tamarisk.params import RiskParams
 
 BODY_FLAGS = [
@@ -59,6 +60,57 @@ def brand_spoofed(name: str, domain: str, brands: dict) -> Column:
     return has_text(F.col(name)) & has_text(F.col(domain)) & F.coalesce(hit, F.lit(False))
 
 
+def brand_spoofed_by_table(
+    messages: DataFrame, brands: DataFrame, params: RiskParams = RiskParams()
+) -> DataFrame:
+    """``message_id, brand_spoofing`` for a large dictionary ``brand, domain``.
+
+    "The name contains the brand" becomes an equi join: each distinct name is cut
+    into its pieces of the lengths that brands have (a handful, read up front).
+    A second equi join, on the endings of the sender's domain, tells the brand's
+    own domains.  No row meets the whole dictionary.
+    """
+    sizes = [r[0] for r in brands.select(F.length("brand")).distinct().collect() if r[0]]
+    senders = messages.select(
+        "message_id", display_name(F.col("from_email")).alias("name"), F.lower("from_domain").alias("host")
+    )
+    pairs = senders.filter(has_text(F.col("name")) & has_text(F.col("host"))).select(
+        "name", "host"
+    ).distinct()
+
+    def pieces(size: int) -> Column:
+        starts = F.greatest(F.length("name") - size + 1, F.lit(0))
+        places = F.when(starts > 0, F.sequence(F.lit(1), starts)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(places, lambda i: F.substr(F.col("name"), i, F.lit(size)))
+
+    cut = pairs.select(
+        "name", "host",
+        F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]))).alias("brand"),
+    )
+    known = brands.select("brand", F.lit(True).alias("_known")).distinct()
+    named = lookup_join(cut, known, ["brand"], ["name", "host"], params).filter("_known")
+    labels = F.split("host", r"\.")
+    endings = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
+    own = brands.select("brand", F.lower("domain").alias("ending"), F.lit(True).alias("_own")).distinct()
+    ended = named.select("name", "host", "brand", F.explode(endings).alias("ending"))
+    judged = lookup_join(ended, own, ["brand", "ending"], ["name", "host"], params)
+    foreign = (
+        judged.groupBy("name", "host", "brand")
+        .agg(F.max(F.coalesce("_own", F.lit(False))).alias("own"))
+        .filter(~F.col("own"))
+        .select("name", "host", F.lit(True).alias("_foreign"))
+        .distinct()
+    )
+    return lookup_join(senders, foreign, ["name", "host"], ["message_id"], params).select(
+        "message_id", F.coalesce("_foreign", F.lit(False)).alias("brand_spoofing")
+    )
+
+
 def foreign_address_in_name(name: Column, domain: Column) -> Column:
     """The display name holds an address of another domain."""
     claimed = F.regexp_replace(

@@ -135,6 +135,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A handful of text rows as a literal relation, whose size the planner knows."""
+    values = ", ".join("(" + ", ".join(_quoted(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
 def messages_from(documents: DataFrame) -> DataFrame:
     """Messages of a (batch or streaming) ``documents`` frame."""
     return documents.select(F.col("doc_id").alias("d"), "text").selectExpr(

@@ -9,7 +9,7 @@ from tamarisk.operators import features as ft
 from tamarisk.operators import scoring as sc
 from tamarisk.plans.verdicts import flagged_messages
 from workload import duck
-from workload.mail import messages
+from workload.mail import literal_table, messages
 from workload.registry import query
 
 
@@ -142,3 +142,13 @@ def combination_triggers(spark, sf):
         .groupBy("trig")
         .agg(F.count("*").alias("n"))
     )
+
+
+@query(
+    "brand_table",
+    _FEATURES + f"SELECT message_id, coalesce(dn <> '' AND ({duck._brand_rule()}), false) AS brand_spoofing FROM mt",
+)
+def brand_table(spark, sf):
+    pairs = [(b, d) for b, own in fv.BRAND_DOMAINS.items() for d in own]
+    brands = literal_table(spark, ["brand", "domain"], pairs)
+    return ft.brand_spoofed_by_table(messages(spark, sf), brands)

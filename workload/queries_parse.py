@@ -137,7 +137,7 @@ _SUFFIXES = ["com", "net", "org", "co.uk", "*.ck", "!www.ck", "example.com", "ex
 
 def _suffix_rules(spark, sf):
     """Suffix table: fixed rules and one rule per language of the documents."""
-    fixed = spark.createDataFrame([(s,) for s in _SUFFIXES], "suffix string")
+    fixed = mail.literal_table(spark, ["suffix"], [(s,) for s in _SUFFIXES])
     langs = table(spark, sf, "documents").selectExpr("lang || '.example' AS suffix").distinct()
     return fixed.unionByName(langs)
 
