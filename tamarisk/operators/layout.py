@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tamarisk.functions.redact import redact
+from tamarisk.operators.lookup import estimated_bytes
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out over all cores when the input has fewer splits than that.
+    """Deal the rows of a small input out over all cores.
 
-    A small table often sits in one file that one task would scan alone.  Large
-    tables have more splits than the cluster has cores; they pass unchanged, so
-    no text is shuffled where it matters.
+    A small table often sits in one file that one task would scan alone.  The
+    number of splits is judged by the planner's size estimate, nothing is run.
+    Inputs whose splits can keep a quarter of the cores busy pass unchanged, so
+    no text is shuffled where there is much of it.
     """
-    if df.isStreaming:
+    size = None if df.isStreaming else estimated_bytes(df)
+    if size is None:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    except AttributeError:
-        return df
-    return df.repartition(cores * 2) if splits < cores else df
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    splits = -(-size // split)
+    return df.repartition(cores * 2) if splits * 4 <= cores else df
 
 
 def redact_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Redact the named text columns of a table."""
-    from tamarisk.functions.redact import redact
-
     return spread(df).withColumns({c: redact(df[c]) for c in columns})

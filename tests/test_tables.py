@@ -119,3 +119,16 @@ def test_partition_count_does_not_matter(spark):
     m = mail.messages(spark, SF)
     pick = lambda df: rows(offline_verdicts(df).select("message_id", "score", "threat_category", "user_explanation"))
     assert pick(m.repartition(7)) == pick(m.coalesce(1))
+
+
+def test_only_small_inputs_are_spread(spark):
+    from tamarisk.operators.layout import spread
+
+    m = mail.messages(spark, SF)
+    assert "RoundRobinPartitioning" in spread(m)._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert spread(m) is m
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
