@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,10 +22,6 @@ def local_session(name: str, cpus: int | str = 8) -> SparkSession:
         .config("spark.local.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     )
-    if "SPARK_CHECKPOINT_DIR" not in os.environ:
-        builder = builder.config(
-            "spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

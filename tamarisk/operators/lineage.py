@@ -16,13 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
     A local session without the setting gets a temporary folder of its own; on
     a cluster the setting must be there, since executors have to see the files.
     """
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = (
+        spark.conf.get(_SETTING, None)
+        or context.getConf().get(_SETTING)
+        or context.getCheckpointDir()
+    )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"{_SETTING} must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(folder)
     return folder
 
 

@@ -409,11 +409,6 @@ def recent_five(spark, sf):
     )
 
 
-_THREADS_OF_CONVERSATIONS = (
-    "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'"
-)
-
-
 def _conversation_mail(spark, sf):
     return mail.table(spark, sf, "conversations").filter("role <> 'system'").selectExpr(
         "CAST(conv_id % 7 AS STRING) AS mailbox_id",

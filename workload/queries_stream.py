@@ -12,7 +12,7 @@ from tamarisk.streaming import jobs
 from workload import duck, mail
 from workload import duck_intel as di
 from workload.queries_core import _OFFLINE
-from workload.queries_intel import _HIST, _INTEL_ONLY, _VERDICT, snapshots
+from workload.queries_intel import _INTEL_ONLY, _VERDICT, snapshots
 from workload.registry import query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
