@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from tamarisk.operators.features import HISTORY_FLAGS, INTEL_FLAGS, without_flags
@@ -21,6 +24,31 @@ EVENTS = (
 )
 
 
+@contextmanager
+def stream_settings(spark):
+    """Settings of one run, put back afterwards.  On a local session state is
+    kept in as many stores as there are cores; a cluster keeps its own number."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass"]
+    old = {n: spark.conf.get(n) for n in names}
+    if spark.sparkContext.master.startswith("local"):
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(names[0], str(min(cores, int(old[names[0]]))))
+    try:
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def with_stream_settings(run):
+    @wraps(run)
+    def inside(spark, sf):
+        with stream_settings(spark):
+            return run(spark, sf)
+
+    return inside
+
+
 def document_stream(spark, sf):
     return jobs.read_stream(spark, sf, DOCUMENTS, glob="documents.parquet")
 
@@ -37,12 +65,14 @@ def _verdict_columns(df):
 
 
 @query("stream_verdicts_offline", _OFFLINE + _VERDICT)
+@with_stream_settings
 def stream_verdicts_offline(spark, sf):
     """Stateless scoring of a stream."""
     return jobs.run_to_table(_verdict_columns(offline_verdicts(message_stream(spark, sf))), "offline")
 
 
 @query("stream_verdicts_intel", _INTEL_ONLY + _VERDICT)
+@with_stream_settings
 def stream_verdicts_intel(spark, sf):
     """The whole batch plan with reputation, per micro-batch."""
     known = snapshots(spark, sf)
@@ -68,6 +98,7 @@ def _history_stream(spark, sf):
     " ot.iso AS oldest_thread_iso_date, CAST(coalesce(rc.n, 0) AS INT) AS n_recent"
     " FROM hs LEFT JOIN ot ON ot.d = hs.d LEFT JOIN rc ON rc.d = hs.d",
 )
+@with_stream_settings
 def stream_sender_history(spark, sf):
     out = _history_stream(spark, sf).withColumn("n_recent", F.size("recent")).drop("recent")
     return jobs.run_to_table(out, "history")
@@ -79,6 +110,7 @@ def stream_sender_history(spark, sf):
     " AND NOT EXISTS (SELECT 1 FROM events e WHERE event_type IN ('error', 'signup') AND e.event_id % 5 = 0"
     " AND CAST(e.user_id % 20 AS STRING) = m.mailbox_id AND CAST(e.event_id % 400 AS STRING) = m.thread_id)",
 )
+@with_stream_settings
 def stream_act_once(spark, sf):
     box = mail.table(spark, sf, "events").filter("event_id % 5 = 0").selectExpr(
         f"{mail.MAILBOX['mailbox_id']} AS mailbox_id", "CAST(event_id % 400 AS STRING) AS thread_id",
@@ -103,6 +135,7 @@ g AS (SELECT f.*, false AS is_first_time_sender, false AS has_user_replied_to_se
     "stream_timely_answers",
     duck.with_mail(duck.FEATURES, di.ANSWERS, _TIMELY_G, duck.SCORED) + _VERDICT,
 )
+@with_stream_settings
 def stream_timely_answers(spark, sf):
     """Answers come 0, 10 or 20 seconds late; 15 seconds are waited for.
 
