@@ -9,6 +9,7 @@ from tamarisk import fixed_values as fv
 from tamarisk.operators.features import ALL_FLAGS
 from tests.conftest import SF
 from workload.queries_intel import full_scored
+from workload.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -20,14 +21,14 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     state, _n, _took, detail = compare(spark, con, SF, name)
     assert state == "OK", detail
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
