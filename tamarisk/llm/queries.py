@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
+from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
 
 
 @query("op8_minmax_near_dedup")
 def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDupParams(percent=85))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
