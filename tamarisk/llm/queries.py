@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tamarisk.llm.lm_scoring import fit_lm, score_lm
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
 from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
@@ -16,3 +19,12 @@ def op8(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_lm_scoring")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = fit_lm(docs.where(~F.coalesce(held, F.lit(False))), seed_col=F.xxhash64("doc_id"))
+    scored = score_lm(docs, model)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), *scored.columns[1:])
