@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.components import components
+from tamarisk.llm.skew import join_statistics
 from tamarisk.llm.textbytes import Chunk, chunks, mix, signed, words
 from tamarisk.operators.lineage import written
 
@@ -219,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts.mapInArrow(_banded(p), "doc_id long, n_shingles long, digest binary, bands array<long>"), "near-base"
     )
     live = base.where("doc_id is not null and n_shingles > 0")
-    heads = live.groupBy("digest").agg(F.min("doc_id").alias("head"))
+    total = live.count()
+    heads = written(live.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "near-heads")
     placed = written(
-        live.join(heads, "digest").select(
+        join_statistics(live, heads, "digest", "n", total).select(
             "doc_id", "head", F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands")
         ),
         "near-placed",
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     block = F.pmod(F.xxhash64("head", "bucket"), F.col("blocks")).cast("int")
     inside = written(
-        member.join(chosen, "bucket").select(
+        member.join(chosen.hint("merge"), "bucket").select(
             "bucket", "head",
             F.explode(F.transform(
                 F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -250,10 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "near-inside",
     )
     asked = inside.select("head").distinct()
-    head_texts = texts.join(asked, texts["doc_id"] == asked["head"]).select("head", "text").dropDuplicates(["head"])
+    head_texts = texts.join(asked.hint("merge"), texts["doc_id"] == asked["head"]).select("head", "text").dropDuplicates(["head"])
     sets = head_texts.mapInArrow(_sets(p.shingle_words), "head long, shingles binary")
     links = (
-        inside.join(sets, "head").select("bucket", "part", "head", "shingles")
+        inside.join(sets.hint("merge"), "head").select("bucket", "part", "head", "shingles")
         .repartition("bucket", "part").sortWithinPartitions("bucket", "part")
         .mapInArrow(_confirm(p.percent), "a long, b long")
     )
