@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.gru import Model, Shape, initial, shape_for
-from tamarisk.llm.textbytes import chunks, signed, words
+from tamarisk.llm.textbytes import HashTable, chunks, signed, words
 from tamarisk.operators.lineage import written
 
 _U = np.uint64
@@ -43,46 +43,6 @@ class LmParams:
     seed: int = 5
 
 
-class HashTable:
-    """Positions of known 64-bit hashes, by open addressing in numpy arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length() + 1)
-        self.shift = _U(64 - bits)
-        self.mask = (1 << bits) - 1
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.at = np.full(1 << bits, -1, dtype=np.int32)
-        left = np.arange(len(keys))
-        slot = (keys >> self.shift).astype(np.int64)
-        self.probes = 0
-        while len(left):
-            self.probes += 1
-            free = np.flatnonzero(self.at[slot] < 0)
-            _, first = np.unique(slot[free], return_index=True)
-            won = free[first]
-            self.keys[slot[won]] = keys[left[won]]
-            self.at[slot[won]] = left[won]
-            lost = np.ones(len(left), dtype=bool)
-            lost[won] = False
-            left, slot = left[lost], (slot[lost] + 1) & self.mask
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Position of each hash among the keys, or -1."""
-        slot = (h >> self.shift).astype(np.int64)
-        out = np.where(self.keys[slot] == h, self.at[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.at[slot] >= 0))
-        slot = slot[open_]
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            slot = (slot + 1) & self.mask
-            hit = (self.keys[slot] == h[open_]) & (self.at[slot] >= 0)
-            out[open_[hit]] = self.at[slot[hit]]
-            go = ~hit & (self.at[slot] >= 0)
-            open_, slot = open_[go], slot[go]
-        return out
-
-
 @dataclass
 class LanguageModel:
     """What scoring needs: totals, the frequent tokens, and the recurrent model."""

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm.lm_scoring import fit_lm, score_lm
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
+from tamarisk.llm.piece_sampling import encode, load_pieces
 from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
+from tamarisk.llm.secret_scan import corpus_samples, fit_secrets, scan_secrets
 
 
 @query("op8_minmax_near_dedup")
@@ -28,3 +30,15 @@ def op1(spark, sf_dir):
     model = fit_lm(docs.where(~F.coalesce(held, F.lit(False))), seed_col=F.xxhash64("doc_id"))
     scored = score_lm(docs, model)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
+@query("op3_secret_scan")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_secrets(corpus_samples(docs)))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+@query("op9_piece_sampling")
+def op9(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"), load_pieces())
