@@ -9,6 +9,7 @@ from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
 from tamarisk.llm.piece_sampling import encode, load_pieces
 from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
+from tamarisk.llm.sharding import shard_rows
 from tamarisk.llm.secret_scan import corpus_samples, fit_secrets, scan_secrets
 
 
@@ -42,3 +43,12 @@ def op3(spark, sf_dir):
 @query("op9_piece_sampling")
 def op9(spark, sf_dir):
     return encode(table(spark, sf_dir, "documents"), load_pieces())
+
+
+@query("op7_ring_sharding")
+def op7(spark, sf_dir):
+    placed = shard_rows(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
