@@ -129,6 +129,24 @@ def _trained(table: HashTable, output: np.ndarray, rest: int, shape: Shape, flat
     return run
 
 
+def _most_frequent(tokens: DataFrame, most: int) -> list:
+    """Tokens above the lowest count step that leaves at most ``most`` of them, most frequent first.
+
+    Steps are sixteenths of powers of two, so about a thousand numbers decide, and
+    never more than ``most`` rows reach the driver.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(tokens.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    taken, least = 0, None
+    for at, n in sizes:
+        if taken + n > most:
+            break
+        taken, least = taken + n, at
+    if least is None:
+        return []
+    return sorted(tokens.where(step >= least).collect(), key=lambda r: (-r["n"], r["token"]))
+
+
 def fit_lm(docs: DataFrame, text_col: str = "text", seed_col: Column | None = None,
            params: LmParams = LmParams()) -> LanguageModel:
     """Learn from every row of ``docs``; ``seed_col`` decides a row's round (default: hash of the text)."""
@@ -141,7 +159,7 @@ def fit_lm(docs: DataFrame, text_col: str = "text", seed_col: Column | None = No
         "lm-tokens",
     )
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    top = tokens.orderBy(F.desc("n"), "token").limit(p.frequent).collect()
+    top = _most_frequent(tokens, p.frequent)
     keys = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
     counts = np.array([r["n"] for r in top], dtype=np.int64)
     chosen = np.arange(min(p.vocabulary, len(keys)))
