@@ -11,6 +11,7 @@ from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
 from tamarisk.llm.sharding import shard_rows
 from tamarisk.llm.secret_scan import corpus_samples, fit_secrets, scan_secrets
+from tamarisk.llm.url_filter import Rule, filter_urls, fit_urls, host_path, rule_of
 
 
 @query("op8_minmax_near_dedup")
@@ -52,3 +53,19 @@ def op7(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: fixed values: the rules of the URL query
+URL_RULES = [
+    Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"),
+    Rule("block", "net/es/"), Rule("block", "net/fr/"),
+]
+
+
+@query("op2_url_filter")
+def op2(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # what the rules decide labels the URLs that the trees learn from
+    host, path = host_path(F.col("url"))
+    labelled = pages.select("url", rule_of(host, path, URL_RULES)[1].alias("verdict"))
+    return filter_urls(pages, URL_RULES, fit_urls(labelled))
