@@ -12,6 +12,8 @@ from tamarisk.llm.registry import query, table
 from tamarisk.llm.sharding import shard_rows
 from tamarisk.llm.secret_scan import corpus_samples, fit_secrets, scan_secrets
 from tamarisk.llm.url_filter import Rule, filter_urls, fit_urls, host_path, rule_of
+from tamarisk.llm.warc import read_archives, with_roles, write_archives
+from tamarisk.operators.lineage import new_folder
 
 
 @query("op8_minmax_near_dedup")
@@ -69,3 +71,11 @@ def op2(spark, sf_dir):
     host, path = host_path(F.col("url"))
     labelled = pages.select("url", rule_of(host, path, URL_RULES)[1].alias("verdict"))
     return filter_urls(pages, URL_RULES, fit_urls(labelled))
+
+
+@query("op4_warc_salvage")
+def op4(spark, sf_dir):
+    folder = new_folder(spark, "warc")
+    write_archives(with_roles(table(spark, sf_dir, "pages")), folder)
+    found = read_archives(spark, folder).where("gap_reason is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
