@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamarisk.llm.decontaminate import judge_leaks
 from tamarisk.llm.lm_scoring import fit_lm, score_lm
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
 from tamarisk.llm.piece_sampling import encode, load_pieces
@@ -79,3 +80,8 @@ def op4(spark, sf_dir):
     write_archives(with_roles(table(spark, sf_dir, "pages")), folder)
     found = read_archives(spark, folder).where("gap_reason is null")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_template_decontamination")
+def op5(spark, sf_dir):
+    return judge_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
