@@ -12,6 +12,7 @@ from tamarisk.llm.quality import fit_quality, judge
 from tamarisk.llm.registry import query, table
 from tamarisk.llm.sharding import shard_rows
 from tamarisk.llm.secret_scan import corpus_samples, fit_secrets, scan_secrets
+from tamarisk.llm.suffix_dedup import remove_repeats
 from tamarisk.llm.url_filter import Rule, filter_urls, fit_urls, host_path, rule_of
 from tamarisk.llm.warc import read_archives, with_roles, write_archives
 from tamarisk.operators.lineage import new_folder
@@ -85,3 +86,8 @@ def op4(spark, sf_dir):
 @query("op5_template_decontamination")
 def op5(spark, sf_dir):
     return judge_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
