@@ -133,6 +133,24 @@ def smallest_owners(frags: list[bytes], least: np.ndarray, length: int) -> np.nd
     return owner[left >= length]
 
 
+def _met(frags: list[bytes], length: int) -> np.ndarray:
+    """Whether a fragment may share a string with another one: a string's hash is there twice."""
+    size = np.array([len(x) for x in frags])
+    end = np.cumsum(size)
+    start = np.arange(end[-1])
+    frag_of = np.repeat(np.arange(len(frags)), size)
+    full = end[frag_of] - start >= length
+    start, frag_of = start[full], frag_of[full]
+    prefix = prefix_hash(np.frombuffer(b"".join(frags), dtype=np.uint8))
+    hashes = span_hash(prefix, start, start + length)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    out = np.zeros(len(frags), dtype=bool)
+    out[frag_of[order[1:][same]]] = True
+    out[frag_of[order[:-1][same]]] = True
+    return out
+
+
 _RUN = "array<struct<from_:int,to_:int,owner:long>>"
 
 
@@ -141,9 +159,16 @@ def _sorted_shards(p: RepeatParams):
         [("from_", pa.int32()), ("to_", pa.int32()), ("owner", pa.int64())])))])
 
     def solved(rows):
-        owner = smallest_owners([r[3] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), p.length)
+        # a fragment whose strings stand nowhere else in the shard has no neighbour to be sorted with
+        met = _met([r[3] for r in rows], p.length)
+        among = [r for r, x in zip(rows, met, strict=True) if x]
+        if among:
+            owner = smallest_owners([r[3] for r in among], np.array([r[2] for r in among], dtype=np.int64), p.length)
         out, at = [], 0
-        for h, f, _, frag in rows:
+        for (h, f, least, frag), x in zip(rows, met, strict=True):
+            if not x:
+                out.append((h, f, [{"from_": 0, "to_": len(frag) - p.length + 1, "owner": least}]))
+                continue
             own = owner[at : at + len(frag) - p.length + 1]
             at += len(own)
             edge = np.append(0, np.flatnonzero(np.diff(own)) + 1)
