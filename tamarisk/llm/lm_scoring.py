@@ -202,6 +202,7 @@ def _scored(m: dict, most: int):
     def run(batches):
         table = HashTable(m["keys"])
         base = np.log10((m["counts"] + 1) / (m["total"] + m["distinct"] + 1))
+        output = np.append(m["output"], m["rest"]).astype(np.int32)  # its last place, -1, is for tokens not found
         # a token outside the vocabulary: the shared output, then its share of the rest
         extra = np.where(m["output"] == m["rest"], np.log10((m["counts"] + 1) / m["norm"]), 0.0)
         model = Model(m["shape"], m["weights"])
@@ -213,7 +214,7 @@ def _scored(m: dict, most: int):
             for h in docs:
                 at = table.find(h)
                 hit = at[at >= 0]
-                tokens.append(np.where(at < 0, m["rest"], m["output"][at]).astype(np.int32))
+                tokens.append(output[at])
                 rare, n = np.unique(h[at < 0], return_counts=True)
                 out["n"].append(len(h))
                 out["known"].append(len(hit))

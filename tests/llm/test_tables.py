@@ -1,0 +1,164 @@
+"""Near-duplicates, shards, URL verdicts and pieces against plain Python."""
+
+import random
+import zlib
+
+import brute
+import pyarrow.parquet as pq
+
+from tamarisk.llm.components import components
+from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
+from tamarisk.llm.piece_sampling import decode, encode, load_pieces
+from tamarisk.llm.queries import URL_RULES
+from tamarisk.llm.registry import QUERIES
+from tamarisk.llm.sharding import RingParams, shard_rows
+from tamarisk.llm.url_filter import filter_urls, fit_urls
+
+SF = "/root/testdata/sf0.001"
+
+
+def assert_near(got, docs, percent):
+    want = brute.near(docs, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len(got) == len(want)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_query(spark, sf_docs):
+    assert_near(QUERIES["op8_minmax_near_dedup"](spark, SF).collect(), sf_docs, 85)
+
+
+def test_near_odd(make, odd_docs):
+    assert_near(near_duplicates(make(odd_docs)).collect(), odd_docs, 80)
+    assert_near(near_duplicates(make(odd_docs), params=NearDupParams(block_rows=3)).collect(), odd_docs, 80)
+    assert near_duplicates(make([])).collect() == []
+
+
+def test_near_null_and_repeated_ids(make):
+    text = "one two three four five six"
+    got = near_duplicates(make([(None, text), (None, text), (2, text), (2, "other"), (5, "other"), (7, text)])).collect()
+    seen = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in got))
+    assert seen == [(0, 0, True), (0, 0, True), (2, 2, True), (2, 2, True), (5, 2, False), (7, 2, False)]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
+    links += [(1, 1), (None, 3), (9, 8), (8, 9)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def assert_shards(got, docs, shards):
+    size = {d: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in docs}
+    assert len(got) == len(docs)
+    assert all((r.size, r.text_crc32) == size[r.doc_id] for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    n = [len(slots.get(s, [])) for s in range(shards)]
+    assert sum(n) == len(docs)
+    return n
+
+
+def test_shard_query(spark, sf_docs):
+    got = QUERIES["op7_ring_sharding"](spark, SF).collect()
+    n = assert_shards(got, sf_docs, 24)
+    assert max(n) - min(n) <= 1
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
+def test_shards_odd(make, odd_docs):
+    docs = odd_docs + [(7, odd_docs[6][1])] * 50
+    n = assert_shards(shard_rows(make(docs)).collect(), docs, 24)
+    assert max(n) - min(n) <= 1
+    assert shard_rows(make([])).collect() == []
+    assert len(shard_rows(make([(None, None), (None, "x"), (1, None)])).collect()) == 3
+
+
+def test_shards_move_little(make):
+    docs = [(i, "x") for i in range(6000)]
+    before, after = ({r.doc_id: r.shard for r in shard_rows(make(docs), params=RingParams(s, load_factor=1.25)).collect()}
+                     for s in (24, 25))
+    n = [list(before.values()).count(s) for s in range(24)]
+    assert max(n) <= 1.25 * 6000 / 24 + 1
+    assert sum(before[i] != after[i] for i in before) < 6000 * 0.3
+
+
+def test_url_query(spark):
+    pages = pq.read_table(f"{SF}/pages.parquet", columns=["page_id", "url"]).to_pylist()
+    want = {p["page_id"]: brute.url(p["url"]) for p in pages}
+    verdict = {r.pattern: r.verdict for r in URL_RULES}
+    got = QUERIES["op2_url_filter"](spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.host, r.path, r.rule) == want[r.page_id]
+        assert r.verdict == verdict[r.rule] if r.rule else r.verdict in ("allow", "block")
+
+
+def test_urls_odd(spark):
+    odd = [None, "", "nothing", "http://", "http://COM/", "http://example.com/en/x", "http://www.Example.com/en/",
+           "http://a.www.example.com/en/q?x=/fr/", "x://notexample.com/en/", "http://net/es/", "http://anet/fr/",
+           "http://b.net/fr", "http://b.net?/fr/", "http://b.net#y://com/", "a://b://c.com/", "http://b.net/fr/\n/x", "http://\u00c9.com/\u00e9",
+           "http://u:p@b.net:80/es/"] + ["http://h/" + "x" * 50_000]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(odd)], "page_id long, url string, host string")
+    got = {r.page_id: r for r in filter_urls(pages, URL_RULES, None).collect()}
+    for i, u in enumerate(odd):
+        assert (got[i].host, got[i].path, got[i].rule) == brute.url(u), u
+    assert filter_urls(pages.limit(0), URL_RULES, None).collect() == []
+
+
+def test_url_trees(spark):
+    """Held-out URLs of hosts never seen: digits and depth tell."""
+    rng = random.Random(3)
+
+    def address(bad):
+        host = "".join(rng.choice("abcdefgh" + "0123456789" * bad) for _ in range(12))
+        return f"http://{host}.org/" + "/".join("p" * rng.randint(2, 5) for _ in range(rng.randint(1, 2) + 3 * bad))
+
+    def rows(n):
+        return [(i, address(i % 2), ("allow", "block")[i % 2]) for i in range(n)]
+
+    model = fit_urls(spark.createDataFrame(rows(600), "page_id long, url string, verdict string"))
+    test = rows(200)
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(test, "page_id long, url string, verdict string"), [], model).collect()}
+    assert sum(got[i].verdict == v for i, _, v in test) >= 190
+    assert fit_urls(spark.createDataFrame([], "url string, verdict string")) is None
+
+
+def assert_pieces(make, docs):
+    pieces = load_pieces()
+    coded = encode(make(docs), pieces)
+    rows = {r.doc_id: r for r in coded.collect()}
+    texts = {r.doc_id: r.text for r in decode(coded, pieces).collect()}
+    for d, t in docs:
+        assert texts[d] == (t or "") and rows[d].lossless
+        assert rows[d].n_bytes == len((t or "").encode()) and rows[d].n_pieces == len(rows[d].pieces)
+    return rows
+
+
+def test_pieces(make, sf_docs, odd_docs):
+    first = assert_pieces(make, sf_docs)
+    again = {r.doc_id: r.pieces for r in encode(make(sf_docs).repartition(3), load_pieces()).collect()}
+    assert again == {d: r.pieces for d, r in first.items()}
+    odd = assert_pieces(make, odd_docs)
+    assert odd[8].pieces != odd[9].pieces  # equal texts, different keys
+    assert encode(make([]), load_pieces()).collect() == []
+
+
+def test_pieces_query(spark, sf_docs):
+    got = QUERIES["op9_piece_sampling"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in sf_docs)
+    assert all(r.lossless for r in got)
