@@ -32,13 +32,13 @@ def signal_rows(scored: DataFrame) -> DataFrame:
 
 
 def write_by_day(df: DataFrame, path: str, time_column: str = "received_at", mode: str = "overwrite") -> None:
-    """Parquet partitioned by the day of ``time_column``.
+    """Parquet partitioned by the day of ``time_column``; overwriting replaces the days of ``df`` alone.
 
     The rows are rebalanced on the day before the write, so a day gives a few
     large files rather than one per task, and a heavy day is split.
     """
     dated = df.withColumn("day", F.to_date(time_column)).hint("rebalance", "day")
-    dated.write.mode(mode).partitionBy("day").parquet(path)
+    dated.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -131,3 +131,12 @@ def test_only_small_inputs_are_spread(spark):
         assert spread(m) is m
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_day_replaces_only_itself(spark, tmp_path):
+    path = str(tmp_path / "days")
+    days = [("a", "2024-01-01 10:00:00"), ("b", "2024-01-02 10:00:00"), ("c", "2024-01-02 11:00:00"), ("d", None)]
+    for row in days:
+        df = spark.createDataFrame([row], "message_id string, at string").withColumn("at", F.col("at").cast("timestamp"))
+        sinks.write_by_day(df, path, "at")
+    assert sorted(r.message_id for r in spark.read.parquet(path).collect()) == ["a", "c", "d"]
