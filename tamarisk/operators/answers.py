@@ -17,8 +17,12 @@ def strip_code_fences(raw: Column) -> Column:
 
 
 def score_of(v: Column) -> Column:
-    """Whole number within 0..100; anything that is none gives 0."""
+    """Whole number within 0..100, also of numbers beyond int; anything that is none gives 0."""
     number = F.try_variant_get(v, "$.claude_score", "int")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.claude_score", "variant"))
+    wide = F.try_variant_get(v, "$.claude_score", "double")
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), wide)).cast("int")
+    number = F.coalesce(number, F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), clipped))
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(number, F.lit(0))))
 
 

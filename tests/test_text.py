@@ -13,7 +13,7 @@ from tamarisk.functions import address as ad
 from tamarisk.functions import redact as rd
 from tamarisk.functions import text as tx
 from tamarisk.functions import urls as ur
-from tamarisk.operators.answers import parse_answers
+from tamarisk.operators.answers import parse_answers, score_of
 
 NAMES = [
     "PayPal Security <a@gmail.com>", '"Quoted, Name" <a@b.com>', "a@b.com", "<a@b.com>", "a@b.com (Ann Lee)",
@@ -138,3 +138,11 @@ def test_answers(spark):
     assert [got[i]["available"] for i in range(9)] == [True, True, True, True, False, False, False, True, True]
     assert got[0]["main_findings"] == ["a", "True", "1.5"] and got[0]["threat_category"] == "BEC"
     assert got[3]["potential_damage"] == "" and got[8]["main_findings"] == []
+
+
+def test_scores_beyond_int(spark):
+    given = {"5000000000": 100, "-5000000000": 0, "1e30": 100, "99.9": 99, "12345678901234567890123": 100, "true": 1,
+             "null": 0, '"50"': 50, '"x"': 0, "[1]": 0}
+    df = spark.createDataFrame([(k, '{"claude_score": %s}' % k) for k in given], "k string, j string")
+    got = df.select("k", score_of(F.try_parse_json("j")).alias("score")).collect()
+    assert {r.k: r.score for r in got} == given
