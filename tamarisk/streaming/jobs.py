@@ -73,20 +73,26 @@ def run_batches_to_table(
 
 
 def once_per_thread(scored: DataFrame, delay: str, time_column: str = "received_at") -> DataFrame:
-    """The first actionable message of every thread within the delay.
+    """The first actionable message of every thread and risk level within the delay.
 
+    A worse message of a thread is never hidden by a milder one, and a message without
+    a thread is a thread of its own.
     Two steps: first per thread and slot, then per thread.  A thread that holds
     most of a batch is thus thinned out by many tasks before it meets in one.
     """
     due = routed_actions(scored).filter(F.col("risk_level") != "Safe")
     slot = F.pmod(F.xxhash64("message_id"), F.lit(_THREAD_SLOTS))
+    thread = F.when(F.col("thread_id").isNull(), F.concat(F.lit("m:"), "message_id")).otherwise(
+        F.concat(F.lit("t:"), "thread_id")
+    )
+    keys = ["mailbox_id", "_thread", "risk_level"]
     thinned = (
-        due.withColumn("_slot", slot)
+        due.withColumns({"_slot": slot, "_thread": thread})
         .withWatermark(time_column, delay)
-        .dropDuplicatesWithinWatermark(["mailbox_id", "thread_id", "_slot"])
+        .dropDuplicatesWithinWatermark([*keys, "_slot"])
         .drop("_slot")
     )
-    return thinned.dropDuplicatesWithinWatermark(["mailbox_id", "thread_id"])
+    return thinned.dropDuplicatesWithinWatermark(keys).drop("_thread")
 
 
 def act_once(

@@ -106,7 +106,7 @@ def stream_sender_history(spark, sf):
 
 @query(
     "stream_act_once",
-    _OFFLINE + "SELECT DISTINCT m.mailbox_id, m.thread_id FROM v JOIN m ON m.d = v.d WHERE risk_level <> 'Safe'"
+    _OFFLINE + "SELECT DISTINCT m.mailbox_id, m.thread_id, risk_level FROM v JOIN m ON m.d = v.d WHERE risk_level <> 'Safe'"
     " AND NOT EXISTS (SELECT 1 FROM events e WHERE event_type IN ('error', 'signup') AND e.event_id % 5 = 0"
     " AND CAST(e.user_id % 20 AS STRING) = m.mailbox_id AND CAST(e.event_id % 400 AS STRING) = m.thread_id)",
 )
@@ -118,7 +118,7 @@ def stream_act_once(spark, sf):
     )
     first, plan = jobs.act_once(offline_verdicts(message_stream(spark, sf)), box, "1 day")
     return jobs.run_batches_to_table(
-        first, lambda batch: plan(batch).select("mailbox_id", "thread_id"), "actions"
+        first, lambda batch: plan(batch).select("mailbox_id", "thread_id", "risk_level"), "actions"
     )
 
 
