@@ -33,16 +33,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the smallest by id, then text; rows without an id stay.
+
+    Rows of one id are documents of their own where their texts differ.
+    """
+    rows = _keyed(docs.where("doc_id is not null"))
+    group = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = written(rows.select("doc_id", "_row").distinct().join(group.distinct(), "_row"), "near-ids")
+    # texts are compared only where the smallest id of a group stands on several
+    per_id = ids.groupBy("_group", "doc_id").agg(F.min("_row").alias("_row"), F.count("*").alias("n"))
+    best = per_id.groupBy("_group").agg(F.min(F.struct("doc_id", "_row", "n")).alias("x")).select("_group", "x.*")
+    tied = (
+        best.where("n > 1").select("_group", "doc_id").join(ids, ["_group", "doc_id"]).select("_group", "_row")
+        .join(rows.select("_row", "text"), "_row").groupBy("_group").agg(F.min(F.struct("text", "_row")).alias("x"))
+    )
+    kept = best.where("n = 1").select("_row").unionByName(tied.select("x._row"))
+    one = rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    bad = judge_leaks(docs, table(spark, sf_dir, "benchmark")).where("not kept").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows that leak no benchmark item; rows of one id, or without one, are judged by their own texts."""
+    rows = _keyed(docs)
+    bad = judge_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("not kept")
+    return rows.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
