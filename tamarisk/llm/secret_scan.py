@@ -2,15 +2,16 @@
 
 Two character Markov models, of random strings and of ordinary identifiers, are
 counted from labelled samples.  A run of identifier characters is a secret when its
-log-likelihood ratio favours the random model by ``least_ratio``.  Scanning is a map
-over Arrow batches; the models are two small matrices.
+log-likelihood ratio favours the random model by ``least_ratio``; in a run that is not,
+the stretches whose own ratio does are secrets, up to the next joiner on either side.
+Fixed spans are cut out of runs first.  Scanning is a map over Arrow batches; the models
+are two small matrices.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +27,15 @@ ASSIGN = re.compile(
     rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_WORDS = re.compile(rb"[A-Za-z0-9+/_=-]{6,}")
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 _N = len(ALPHABET)
 _SYMBOL = np.full(256, _N, dtype=np.uint8)
 _SYMBOL[list(ALPHABET)] = np.arange(_N)
+_JOINER = np.zeros(256, dtype=bool)
+_JOINER[list(b"+/_=-")] = True
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -113,6 +117,38 @@ def base_spans(text: bytes, p: SecretParams) -> list[tuple[int, int, int]]:
     return out
 
 
+def stretches(sums: np.ndarray, joiner: np.ndarray, p: SecretParams) -> list[tuple[int, int]]:
+    """Secrets of a run, from the prefix sums of its ratios: the run itself, or its best stretches.
+
+    A stretch has the largest sum of all with ``least_run`` characters or more; it is
+    widened to the joiners around it, and what is left on either side is searched again.
+    """
+    n = len(joiner)
+    if sums[n] - sums[0] >= p.least_ratio:
+        return [(0, n)]
+    out, todo = [], [(0, n)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < p.least_run:
+            continue
+        least = np.minimum.accumulate(sums[lo : hi - p.least_run + 1])
+        gain = sums[lo + p.least_run : hi + 1] - least
+        k = int(np.argmax(gain))
+        if gain[k] < p.least_ratio:
+            continue
+        b = lo + p.least_run + k
+        a = lo + int(np.argmin(sums[lo : lo + k + 1]))
+        if not joiner[a]:
+            edges = np.flatnonzero(joiner[lo:a])
+            a = lo + int(edges[-1]) + 1 if len(edges) else lo
+        if not joiner[b - 1]:
+            edges = np.flatnonzero(joiner[b:hi])
+            b = b + int(edges[0]) if len(edges) else hi
+        out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
 def scan_chunk(chunk, model: SecretModel | None, p: SecretParams) -> list[list[tuple[int, int, int]]]:
     """Of each text its spans (start, kind, end) in bytes, sorted."""
     data, at = chunk.data, chunk.offsets
@@ -131,20 +167,27 @@ def scan_chunk(chunk, model: SecretModel | None, p: SecretParams) -> list[list[t
         found.setdefault(i, []).append((int(s - at[i]), 2, int(e - at[i])))
     if model is not None and len(data):
         symbol = _SYMBOL[data]
-        starts, ends = _runs(symbol < _N, edge)
+        free = symbol < _N
+        for i, spans in found.items():
+            for a, _, b in spans:
+                free[at[i] + a : at[i] + b] = False
+        starts, ends = _runs(free, edge)
         long = ends - starts >= p.least_run
         starts, ends = starts[long], ends[long]
         before = np.append(_N, symbol[:-1]).astype(np.uint8)
         before[starts] = _N
         wide = np.zeros((_N + 1, _N + 1), dtype=np.float32)
         wide[:, :_N] = model.ratio
-        sums = np.append(0.0, np.cumsum(wide[before, symbol], dtype=np.float64))
-        hot = sums[ends] - sums[starts] >= p.least_ratio
-        for s, e in zip(starts[hot], ends[hot], strict=True):
+        ratio = wide[before, symbol]
+        sums = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
+        most = np.append(0.0, np.cumsum(np.maximum(ratio, 0), dtype=np.float64))
+        # no stretch of a run scores more than its positive ratios
+        for k in np.flatnonzero(most[ends] - most[starts] >= p.least_ratio):
+            s, e = int(starts[k]), int(ends[k])
             i = int(np.searchsorted(at, s, side="right")) - 1
-            s, e = int(s - at[i]), int(e - at[i])
-            if not any(a < e and s < b for a, _, b in found.get(i, ())):
-                found.setdefault(i, []).append((s, 3, e))
+            own = stretches(sums[s : e + 1], _JOINER[data[s:e]], p)
+            if own:
+                found.setdefault(i, []).extend((int(s - at[i]) + a, 3, int(s - at[i]) + b) for a, b in own)
     return [sorted(found.get(i, ())) for i in range(len(chunk))]
 
 
@@ -183,13 +226,17 @@ def _scanned(model, p: SecretParams, mark: str | None):
     return run
 
 
-def redact(text: bytes, spans, mark: str) -> str:
+def redact_bytes(text: bytes, spans, mark: bytes) -> bytes:
     out, at = [], 0
     for s, _, e in spans:
         if s >= at:
-            out += [text[at:s], mark.encode()]
+            out += [text[at:s], mark]
         at = max(at, e)
-    return b"".join([*out, text[at:]]).decode("utf-8", "replace")
+    return b"".join([*out, text[at:]])
+
+
+def redact(text: bytes, spans, mark: str) -> str:
+    return redact_bytes(text, spans, mark.encode()).decode("utf-8", "replace")
 
 
 _OUT = ("doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, "
@@ -201,42 +248,33 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None, id_col: str = "doc_
     """Spans of secrets of every row, and with ``mark`` the text with each replaced.
 
     Positions are code points, ends exclusive.  A null text is empty.  Without a model
-    only the fixed patterns count.  A random run that overlaps a fixed span is not
-    listed again.  Null and repeated ids are rows like others.
+    only the fixed patterns count.  What fixed spans cover is not listed again as
+    random.  Null and repeated ids are rows like others.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_scanned(model, params, mark), _OUT)
 
 
-def _sampled(p: SecretParams, share: int):
+def _sampled(p: SecretParams):
     def run(batches):
         for batch in batches:
-            value, secret = [], []
+            secrets, words = set(), set()
             for chunk in chunks(batch.column(0)):
                 data, at = chunk.data, chunk.offsets
                 for i, own in enumerate(scan_chunk(chunk, None, p)):
                     text = data[at[i] : at[i + 1]].tobytes()
-                    for s, _, e in own:
-                        value.append(re.split(rb"[\"':= ]", text[s:e])[-1].decode())
-                        secret.append(True)
-                    if own or zlib.crc32(text) % share:
-                        continue
-                    words = set(re.findall(rb"[A-Za-z0-9+/_=-]{6,}", text))
-                    value += [w.decode() for w in words]
-                    secret += [False] * len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.string()), pa.array(secret, pa.bool_())],
-                                             ["value", "secret"])
+                    secrets.update(re.split(rb"[\"':= ]", text[s:e])[-1] for s, _, e in own)
+                    words.update(_WORDS.findall(redact_bytes(text, own, b" ") if own else text))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.decode() for w in (*secrets, *words)], pa.string()),
+                 pa.array([True] * len(secrets) + [False] * len(words), pa.bool_())], ["value", "secret"])
 
     return run
 
 
-def corpus_samples(docs: DataFrame, text_col: str = "text", share: int = 16,
-                   params: SecretParams = SecretParams()) -> DataFrame:
-    """Labelled strings of a corpus: values of fixed spans, and words of texts without any.
-
-    The words are those of a sample of texts by hash, one text in ``share``.
-    """
+def corpus_samples(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
+    """Labelled strings of a corpus: values of fixed spans, and words of all texts outside them."""
     spark = docs.sparkSession
     drawn = spark.createDataFrame([(v, True) for v in random_strings(2000)], "value string, secret boolean")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_sampled(params, share), "value string, secret boolean").unionByName(drawn)
+    return texts.mapInArrow(_sampled(params), "value string, secret boolean").unionByName(drawn)

@@ -85,6 +85,26 @@ def test_redaction(make):
     assert got == {1: "\u00e9 [secret] ok", 2: "", 3: "plain"}
 
 
+def test_secret_inside_a_run(make, sf_docs):
+    model = fit_secrets(corpus_samples(make(sf_docs)))
+    drawn = [s for s in random_strings(200, seed=41)[2::4] if len(s) >= 20][:30]
+    ways = ["/services/account/verification/{}", "customer_information_service_{}_and_responsibilities",
+            "/management/{}/administration/information/{}/international", "password=hunter22.{}"]
+    docs = [(100 * w + i, way.format(s, s)) for w, way in enumerate(ways) for i, s in enumerate(drawn)]
+    got = {r.doc_id: r.clean_text for r in scan_secrets(make(docs), model, mark="[secret]").collect()}
+    gone = sum(drawn[i % 100] not in t for i, t in got.items())
+    assert gone >= 0.9 * len(docs)
+    # the part of a run beside a fixed span is judged too
+    key = "AKIA" + "Q" * 16
+    got = scan_secrets(make([(i, f"{key}/{s}") for i, s in enumerate(drawn)]), model, mark="[secret]").collect()
+    assert sum(r.n_access == 1 and r.n_random == 1 for r in got) >= 0.9 * len(got)
+
+
+def test_samples_of_a_small_table(make):
+    docs = make([(1, "ordinary words of one document with password=hunter22")])
+    assert fit_secrets(corpus_samples(docs)) is not None
+
+
 def assert_quality(got, docs):
     texts = dict(docs)
     assert sorted(r.doc_id for r in got) == sorted(texts)
