@@ -1,10 +1,9 @@
 """Sampled segmentations over a SentencePiece vocabulary, and lossless decoding.
 
-A text is cut into units (before spaces and line ends, and inside longer runs at
-``UNIT`` bytes); every way to spell a unit with pieces is a path of its lattice, with
-probability proportional to the product of the pieces' weights.  Forward sums are
-computed once for each distinct unit of a group of texts, in columns over all of them;
-then every occurrence is sampled from its end to its start.  The random numbers are
+A text is cut into units, before spaces and at line ends; every way to spell a unit with
+pieces is a path of its lattice, with probability proportional to the product of the
+pieces' weights.  Forward sums are computed once for each distinct unit of a group of
+texts, byte by byte over all of them; a unit of any length is one lattice.  Then every occurrence is sampled from its end to its start.  The random numbers are
 hashes of the row's key and the place in its text, so a row gets the same pieces
 wherever and whenever it is encoded.
 
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from tamarisk.llm.textbytes import HashTable, chunks, mix, prefix_hash, span_hash
 
 _U = np.uint64
-UNIT = 40
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -46,7 +44,7 @@ class SamplingParams:
     rank_shift: float = 50.0
     byte_weight: float = 1e-7
     sharpness: float = 1.0  # above 1 the likeliest segmentation prevails
-    longest: int = 16  # bytes; the few longer pieces are not used
+    longest: int | None = None  # bytes; longer pieces are not used
     seed: int = 17
     group_bytes: int = 2_000_000
 
@@ -68,7 +66,7 @@ def load_pieces(path: str = MODEL, params: SamplingParams = SamplingParams()) ->
             rank = -model.get_score(i)
             spelled.append(model.id_to_piece(i).replace("▁", " ").encode())
             weight.append((1 / ((rank if rank < 1e6 else 1000) + params.rank_shift)) ** params.sharpness)
-            if len(spelled[-1]) <= params.longest:
+            if params.longest is None or len(spelled[-1]) <= params.longest:
                 ids.append(i)
     # a byte that is also an ordinary piece is spelled by the piece
     plain = {spelled[i] for i in ids if weight[i] > params.byte_weight}
@@ -99,15 +97,7 @@ class Lattice:
         space, line = data == 0x20, data == 0x0A
         cut[1:-1] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
         cut[-1] = True
-        at = np.flatnonzero(cut)
-        long = np.flatnonzero(np.diff(at) > UNIT)
-        extra = []
-        for i in long:
-            more = np.arange(at[i] + UNIT, at[i + 1], UNIT)
-            for _ in range(3):  # back to the first byte of a character
-                more = np.where((data[more] & 0xC0) == 0x80, more - 1, more)
-            extra.append(more)
-        return np.unique(np.concatenate([at, *extra])) if extra else at
+        return np.flatnonzero(cut)
 
     def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and the first of each text (one more at the end)."""
@@ -125,30 +115,28 @@ class Lattice:
         at = np.cumsum(size) - size
         own = data[np.repeat(starts[first] - at, size) + np.arange(at[-1] + size[-1])]
         prefix = prefix_hash(own)
-        # places in columns: after r bytes, the units of r bytes and more are the first ones
+        # after r bytes, the units of r bytes and more are the first ones
         width = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")
-        column = np.cumsum(width) - width
-        choice = np.full((width.sum(), self.longest), -1, dtype=np.int32)
+        inside = np.arange(len(own)) - np.repeat(at, size)
+        choice = np.full((len(own), self.longest), -1, dtype=np.int32)
+        for n in range(1, self.longest + 1):
+            entry = self.tables[n - 1]
+            ends_here = np.flatnonzero(inside >= n - 1) + 1
+            if entry is not None and len(ends_here):
+                found = entry[0].find(span_hash(prefix, ends_here - n, ends_here))
+                choice[ends_here - 1, n - 1] = np.where(found >= 0, entry[1][found], -1)
         sums = np.zeros(choice.shape, dtype=np.float32)
-        ahead = [np.ones(width[0])]
+        # forward sums of the last places, newest first; only ratios within a unit matter
+        ahead = np.zeros((len(size), self.longest))
+        ahead[:, 0] = 1
         for r in range(1, len(width)):
             m = width[r]
-            end = at[:m] + r
-            block = slice(column[r], column[r] + m)
-            total = np.zeros(m)
-            for n in range(1, self.longest + 1):
-                entry = self.tables[n - 1]
-                if n <= r and entry is not None:
-                    found = entry[0].find(span_hash(prefix, end - n, end))
-                    ids = np.where(found >= 0, entry[1][found], -1)
-                    choice[block, n - 1] = ids
-                    total = total + ahead[r - n][:m] * self.weight[ids]
-                sums[block, n - 1] = total
-            sums[block] /= total[:, None]
-            # only ratios within a unit matter: sums are kept relative to the newest
-            for n in range(1, min(r, self.longest - 1) + 1):
-                ahead[r - n][:m] /= total
-            ahead.append(np.ones(m))
+            row = at[:m] + (r - 1)
+            run = np.cumsum(ahead[:m] * self.weight[choice[row]], axis=1)
+            total = run[:, -1:]
+            sums[row] = run / total
+            ahead[:m, 1:] = ahead[:m, :-1] / total
+            ahead[:m, 0] = 1
         # backward: all occurrences at once
         text_of = np.searchsorted(offsets, starts, side="right") - 1
         key = mix(keys[text_of] ^ mix((starts - offsets[text_of]).astype(np.uint64) + _U(seed)))
@@ -157,7 +145,7 @@ class Lattice:
         steps = np.zeros(len(starts), dtype=np.int64)
         got = []
         while len(live):
-            now = column[left[live]] + which[live]
+            now = at[which[live]] + left[live] - 1
             u = (mix(key[live] + _U(len(got))) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
             n = np.minimum((sums[now] <= u[:, None]).sum(axis=1) + 1, self.longest)
             got.append((live, choice[now, n - 1]))

@@ -4,14 +4,16 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import pyarrow.parquet as pq
 
 from tamarisk.llm.components import components
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
-from tamarisk.llm.piece_sampling import decode, encode, load_pieces
+from tamarisk.llm.piece_sampling import Lattice, decode, encode, load_pieces
 from tamarisk.llm.queries import URL_RULES
 from tamarisk.llm.registry import QUERIES
 from tamarisk.llm.sharding import RingParams, shard_rows
+from tamarisk.llm.textbytes import mix
 from tamarisk.llm.url_filter import filter_urls, fit_urls
 
 SF = "/root/testdata/sf0.001"
@@ -158,6 +160,47 @@ def test_pieces(make, sf_docs, odd_docs):
     assert encode(make([]), load_pieces()).collect() == []
 
 
+def piece_probabilities(pieces, unit):
+    """{(start, end): probability that a sampled segmentation of the unit has this piece}."""
+    weight = {pieces.spelled[i]: float(pieces.weight[i]) for i in pieces.ids}
+    n = len(unit)
+    spans = [(a, b, weight[unit[a:b]]) for a in range(n) for b in range(a + 1, n + 1) if unit[a:b] in weight]
+    before, after = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for b in range(1, n + 1):
+        before[b] = sum(before[x] * w for x, y, w in spans if y == b)
+    for a in range(n - 1, -1, -1):
+        after[a] = sum(w * after[y] for x, y, w in spans if x == a)
+    return {(a, b): before[a] * w * after[b] / before[n] for a, b, w in spans}
+
+
+def test_piece_probabilities():
+    pieces, n = load_pieces(), 4000
+    lattice = Lattice(pieces)
+    assert pieces.longest == max(len(s) for s in pieces.spelled)
+    months = "\u0441\u0435\u043d\u0442\u044f\u0431\u0440\u044f"
+    for text in ("https://example.org/international/information/management/of/the/world", months, f" {months}",
+                 " \u043d\u0430\u0441\u0435\u043b\u0435\u043d\u0438\u044f", months * 4):
+        unit = text.encode()
+        want = piece_probabilities(pieces, unit)
+        data = np.frombuffer(unit * n, dtype=np.uint8)
+        out, edge = lattice.sample(data, np.arange(n + 1) * len(unit), mix(np.arange(n).astype(np.uint64)), 5)
+        got = {}
+        for i in range(n):
+            a = 0
+            for piece in out[edge[i] : edge[i + 1]]:
+                b = a + len(pieces.spelled[piece])
+                got[a, b] = got.get((a, b), 0) + 1 / n
+                a = b
+        assert set(got) <= set(want)
+        assert all(abs(got.get(k, 0) - p) < 0.04 for k, p in want.items())
+
+
+def test_pieces_of_a_very_long_run(make):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh/=\u0436") for _ in range(30_000))
+    assert_pieces(make, [(1, long), (2, long[7:]), (3, "\u4e2d\u6587" * 4000)])
+
+
 def test_pieces_query(spark, sf_docs):
     got = QUERIES["op9_piece_sampling"](spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(d for d, _ in sf_docs)
