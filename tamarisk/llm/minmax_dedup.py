@@ -93,6 +93,10 @@ def min_max(shingles: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray,
     return low, high
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _banded(p: NearDupParams):
     multipliers = _multipliers(p)
     salt = _weights(64)[: p.bands] if p.bands <= 64 else _weights(p.bands)
@@ -103,7 +107,7 @@ def _banded(p: NearDupParams):
             for chunk in chunks(batch.column(1)):
                 for own, shingles in shingle_sets(chunk, p.shingle_words):
                     n.append(len(shingles))
-                    digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(own))
                     if not len(shingles):
                         bands.append([])
                         continue
@@ -121,8 +125,15 @@ def _banded(p: NearDupParams):
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for c in chunks(batch.column(1)) for _, s in shingle_sets(c, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary())], ["head", "shingles"])
+            digest, sets = [], []
+            for chunk in chunks(batch.column(1)):
+                for own, shingles in shingle_sets(chunk, k):
+                    digest.append(_digest(own))
+                    sets.append(shingles.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sets, pa.large_binary())],
+                ["head", "digest", "shingles"],
+            )
 
     return run
 
@@ -168,10 +179,10 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _confirm(percent: int):
-    """Rows (bucket, part, head, shingles), sorted by bucket and part, to links of each group."""
+    """Rows (bucket, part, head, node, shingles), sorted by bucket and part, to links of heads in each group."""
 
     def run(batches):
-        key, heads, sets = None, [], []
+        key, heads, sets, seen = None, [], [], set()
 
         def flush():
             if len(heads) > 1:
@@ -183,15 +194,19 @@ def _confirm(percent: int):
             return np.empty(0, np.int64), np.empty(0, np.int64)
 
         for batch in batches:
-            bucket, part, head = (batch.column(i).to_numpy() for i in range(3))
+            bucket, part, head, node = (batch.column(i).to_numpy() for i in range(4))
             out = []
             for i in range(len(batch)):
                 now = (bucket[i], part[i])
                 if now != key:
                     out.append(flush())
-                    key, heads, sets = now, [], []
+                    key, heads, sets, seen = now, [], [], set()
+                # texts of one id may differ and have the same words
+                if (head[i], node[i]) in seen:
+                    continue
+                seen.add((head[i], node[i]))
                 heads.append(int(head[i]))
-                sets.append(np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64).copy())
+                sets.append(np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64).copy())
             if out:
                 yield _links(out)
         yield _links([flush()])
@@ -224,26 +239,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = written(live.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "near-heads")
     placed = written(
         join_statistics(live, heads, "digest", "n", total).select(
-            "doc_id", "head", F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands")
+            "doc_id", "head", F.xxhash64("digest").alias("node"),
+            F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands"),
         ),
         "near-placed",
     )
-    banded = placed.where("bands is not null").dropDuplicates(["head", "bands"])
-    member = banded.select("head", F.explode("bands").alias("bucket"))
+    # a node is a class of texts; its head may stand on several
+    banded = placed.where("bands is not null").dropDuplicates(["head", "node"])
+    member = banded.select("head", "node", F.explode("bands").alias("bucket"))
     shape = (
         member.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min("head").alias("least"),
-             F.bit_xor(F.xxhash64("head")).alias("x"), F.bit_xor(F.xxhash64(F.lit("near"), "head")).alias("y"))
+             F.bit_xor(F.xxhash64("head", "node")).alias("x"),
+             F.bit_xor(F.xxhash64(F.lit("near"), "head", "node")).alias("y"))
         .where("n > 1")
     )
     # buckets with the same members are one
     chosen = shape.groupBy("n", "least", "x", "y").agg(F.min("bucket").alias("bucket")).select(
         "bucket", F.ceil(F.col("n") / p.block_rows).cast("int").alias("blocks")
     )
-    block = F.pmod(F.xxhash64("head", "bucket"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("head", "node", "bucket"), F.col("blocks")).cast("int")
     inside = written(
         member.join(chosen.hint("merge"), "bucket").select(
-            "bucket", "head",
+            "bucket", "head", "node",
             F.explode(F.transform(
                 F.sequence(F.lit(0), F.col("blocks") - 1),
                 lambda j: F.least(j, block) * F.col("blocks") + F.greatest(j, block),
@@ -252,10 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "near-inside",
     )
     asked = inside.select("head").distinct()
-    head_texts = texts.join(asked.hint("merge"), texts["doc_id"] == asked["head"]).select("head", "text").dropDuplicates(["head"])
-    sets = head_texts.mapInArrow(_sets(p.shingle_words), "head long, shingles binary")
+    head_texts = texts.join(asked.hint("merge"), texts["doc_id"] == asked["head"]).select("head", "text").distinct()
+    sets = head_texts.mapInArrow(_sets(p.shingle_words), "head long, digest binary, shingles binary").select(
+        "head", F.xxhash64("digest").alias("node"), "shingles"
+    )
     links = (
-        inside.join(sets.hint("merge"), "head").select("bucket", "part", "head", "shingles")
+        inside.join(sets.hint("merge"), ["head", "node"]).select("bucket", "part", "head", "node", "shingles")
         .repartition("bucket", "part").sortWithinPartitions("bucket", "part")
         .mapInArrow(_confirm(p.percent), "a long, b long")
     )

@@ -43,6 +43,15 @@ def test_near_null_and_repeated_ids(make):
     assert seen == [(0, 0, True), (0, 0, True), (2, 2, True), (2, 2, True), (5, 2, False), (7, 2, False)]
 
 
+def test_near_copies_of_the_texts_of_one_id(make):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    docs = [(1, t) for t in texts] + [(1, texts[0].replace(" ", "  "))] + [(2 + i, t + " more") for i, t in enumerate(texts)]
+    for block_rows in (1024, 1):
+        got = near_duplicates(make(docs), params=NearDupParams(block_rows=block_rows)).collect()
+        assert len(got) == len(docs) and all(r.component_id == 1 and r.kept == (r.doc_id == 1) for r in got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
