@@ -106,19 +106,24 @@ def write_archives(rows: DataFrame, path: str, params: WarcParams = WarcParams()
     )
 
 
-def _member_end(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Contents and end of the gzip member that begins at a place, if it is sound."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """Contents of the gzip member that begins at a place, where it ends or breaks off, and whether it is sound."""
     unpack, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            if pos >= len(data):
-                return None
-            part = data[pos : pos + _BLOCK]
+    while not unpack.eof and pos < len(data):
+        part, before = data[pos : pos + _BLOCK], unpack.copy()
+        try:
             out.append(unpack.decompress(part))
-            pos += len(part)
-    except zlib.error:
-        return None
-    return b"".join(out), pos - len(unpack.unused_data)
+        except zlib.error:
+            # byte by byte up to the damage
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i : i + 1]))
+                    pos += 1
+            except zlib.error:
+                pass
+            return b"".join(out), pos, False
+        pos += len(part)
+    return b"".join(out), pos - len(unpack.unused_data), unpack.eof
 
 
 def _parsed(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
@@ -146,43 +151,56 @@ def _parsed(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
     return head, block, end + 4
 
 
+def _records(raw: bytes, sound: bool) -> tuple[list[tuple[dict, bytes]], str]:
+    """Records of a member's contents whose checks hold, and what is wrong with the rest.
+
+    In a damaged member the record that the damage reached is not among them.
+    """
+    found, why, pos = [], "", 0
+    while 0 <= pos < len(raw):
+        one = _parsed(raw, pos)
+        if isinstance(one, str):
+            why = why or one
+            pos = raw.find(VERSION, pos + 1)
+        elif not sound and one[2] == len(raw):
+            break
+        else:
+            found.append(one[:2])
+            pos = one[2]
+    return found, why if sound else "damaged member"
+
+
 def salvage(content: bytes):
-    """Sound records as (start, end, headers, block), and gaps as (start, end, None, reason), in order."""
+    """Sound records as (start, end, headers, block), and gaps as (start, end, None, reason), in order.
+
+    Sound records of a member that is not sound as a whole come before its gap.
+    """
     data, at, gap, why = memoryview(content), 0, None, ""
 
     def records(at):
-        """Records of the member or plain record at a place, and its end."""
+        """Records at a place, where they end, what is wrong there, and where the search goes on if not at a mark."""
         if content.startswith(MEMBER, at):
-            got = _member_end(data, at)
-            if got is None:
-                return "damaged member", None
-            raw, end, pos, found = *got, 0, []
-            while pos < len(raw):
-                one = _parsed(raw, pos)
-                if isinstance(one, str):
-                    return one, None
-                found.append(one[:2])
-                pos = one[2]
-            return found, end
+            raw, end, sound = _member(data, at)
+            found, wrong = _records(raw, sound)
+            return found, end, wrong, end if sound else None
         if content.startswith(VERSION, at):
             one = _parsed(content, at)
-            return (one, None) if isinstance(one, str) else ([one[:2]], one[2])
-        return "no member or version line", None
+            return ([], None, one, None) if isinstance(one, str) else ([one[:2]], one[2], "", one[2])
+        return [], None, "no member or version line", None
 
     while at < len(content):
-        found, end = records(at)
-        if end is not None:
-            if gap is not None:
-                yield gap, at, None, why
-                gap = None
-            for head, block in found:
-                yield at, end, head, block
-            at = end
-            continue
-        if gap is None:
-            gap, why = at, found
-        nexts = [x for x in (content.find(MEMBER, at + 1), content.find(VERSION, at + 1)) if x >= 0]
-        at = min(nexts) if nexts else len(content)
+        found, end, wrong, after = records(at)
+        if gap is not None and (found or not wrong):
+            yield gap, at, None, why
+            gap = None
+        for head, block in found:
+            yield at, end, head, block
+        if wrong and gap is None:
+            gap, why = at, wrong
+        if after is None:
+            nexts = [x for x in (content.find(MEMBER, at + 1), content.find(VERSION, at + 1)) if x >= 0]
+            after = min(nexts) if nexts else len(content)
+        at = after
     if gap is not None:
         yield gap, len(content), None, why
 

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import random
 import hashlib
 
 from tamarisk.llm.warc import payload_digest, read_archives, record, salvage, with_roles, write_archives
@@ -58,3 +59,23 @@ def test_salvage():
     at = 4 + len(members[0]) + len(plain[1])
     assert gaps == [(0, 4), (at, at + len(bad)), (at + len(bad) + len(members[3]), len(content))]
     assert list(salvage(b"")) == []
+
+
+def test_salvage_inside_members():
+    url = "warc-target-uri"
+    rng = random.Random(6)
+    pay = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(6)]
+    plain = [record(i, f"http://h/{i}", pay[i], digest(pay[i]), None, "2024-01-01T00:00:00Z") for i in range(6)]
+    torn = plain[2].replace(pay[2][:9], b"otherwise", 1)
+    sound = gzip.compress(b"".join([*plain[:2], torn, *plain[3:5]]), mtime=0)
+    tail = gzip.compress(plain[5], mtime=0)
+    found = list(salvage(sound + tail))
+    assert [h[url] if h else (a, b, w) for a, b, h, w in found] == [
+        "http://h/0", "http://h/1", "http://h/3", "http://h/4", (0, len(sound), "payload digest differs"), "http://h/5"]
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    cut = whole[: len(whole) - 4000]
+    found = list(salvage(cut + tail))
+    assert [h[url] for _, _, h, _ in found if h] == [f"http://h/{i}" for i in (0, 1, 2, 3, 5)]
+    assert [(a, b) for a, b, h, _ in found if h is None] == [(0, len(cut))]
+    hurt = cut + b"\xff" * 200 + whole[len(cut) + 200 :]
+    assert [h[url] for _, _, h, _ in salvage(hurt + tail) if h][:4] == [f"http://h/{i}" for i in range(4)]
