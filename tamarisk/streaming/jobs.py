@@ -7,20 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators.actions import pending_actions, routed_actions
 from tamarisk.operators.answers import parse_answers, unavailable
 from tamarisk.operators.lineage import new_folder
-from tamarisk.params import RiskParams
 
 ANSWER_BOUND = "15 seconds"
-_THREAD_SLOTS = 32
+#: files of a micro-batch, if nothing else is asked for
+FILES_PER_TRIGGER = 256
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None,
+    spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = FILES_PER_TRIGGER,
     glob: str | None = None, fmt: str = "parquet",
 ) -> DataFrame:
-    """File stream with a declared schema; ``files_per_trigger`` bounds a batch."""
+    """File stream with a declared schema; ``files_per_trigger`` bounds a batch (None: no bound)."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -72,40 +71,6 @@ def run_batches_to_table(
     return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
-def once_per_thread(scored: DataFrame, delay: str, time_column: str = "received_at") -> DataFrame:
-    """The first actionable message of every thread and risk level within the delay.
-
-    A worse message of a thread is never hidden by a milder one, and a message without
-    a thread is a thread of its own.
-    Two steps: first per thread and slot, then per thread.  A thread that holds
-    most of a batch is thus thinned out by many tasks before it meets in one.
-    """
-    due = routed_actions(scored).filter(F.col("risk_level") != "Safe")
-    slot = F.pmod(F.xxhash64("message_id"), F.lit(_THREAD_SLOTS))
-    thread = F.when(F.col("thread_id").isNull(), F.concat(F.lit("m:"), "message_id")).otherwise(
-        F.concat(F.lit("t:"), "thread_id")
-    )
-    keys = ["mailbox_id", "_thread", "risk_level"]
-    thinned = (
-        due.withColumns({"_slot": slot, "_thread": thread})
-        .withWatermark(time_column, delay)
-        .dropDuplicatesWithinWatermark([*keys, "_slot"])
-        .drop("_slot")
-    )
-    return thinned.dropDuplicatesWithinWatermark(keys).drop("_thread")
-
-
-def act_once(
-    scored: DataFrame, mailbox: DataFrame, delay: str, params: RiskParams = RiskParams()
-) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Stream of first messages per thread and the plan that drops threads which
-    the mailbox already holds in spam or trash; feed both to ``write_batches``."""
-    return (
-        once_per_thread(scored, delay),
-        lambda batch: pending_actions(batch, mailbox, params),
-    )
-
-
 def with_timely_answers(
     messages: DataFrame, raw_answers: DataFrame, bound: str = ANSWER_BOUND, delay: str = "1 minute"
 ) -> DataFrame:

@@ -86,3 +86,16 @@ g AS (SELECT f.*, hs.total_threads = 0 AS is_first_time_sender, hs.has_user_repl
   coalesce(proven, CAST([] AS VARCHAR[])) AS proven, an.ok AS ai_ok, an.ai_score, an.ai_category, 1.0 AS tc,
   an.findings, an.damage, an.todo, an.avoid
   FROM f JOIN hs ON hs.d = f.d JOIN an ON an.d = f.d LEFT JOIN im ON im.d = f.d LEFT JOIN pt ON pt.d = f.d)"""
+
+# what a thread's place is before each message that is not Safe; over ``v`` and ``m``
+ACTIONS = f"""
+te AS (SELECT mailbox_id, thread_id, received_at AS seen_at, 0 AS turn, message_id AS tie, folder IN ('spam', 'trash') AS q,
+    0 AS level, NULL AS message_id, NULL AS risk_level FROM (SELECT {_BOX} FROM events) WHERE folder <> 'sent'
+  UNION ALL SELECT m.mailbox_id, m.thread_id, m.received_at, 1, m.message_id, CASE WHEN risk_level = 'Malicious' THEN true END,
+    CASE risk_level WHEN 'Malicious' THEN 2 WHEN 'Suspicious' THEN 1 ELSE 0 END, m.message_id, risk_level FROM v JOIN m ON m.d = v.d),
+ts AS (SELECT *, last_value(q IGNORE NULLS) OVER w AS placed, max(level) OVER w AS worst FROM te
+  WINDOW w AS (PARTITION BY mailbox_id, thread_id ORDER BY seen_at, turn, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+act AS (SELECT mailbox_id, thread_id, message_id, risk_level,
+    CASE worst WHEN 2 THEN 'Malicious' WHEN 1 THEN 'Suspicious' ELSE 'Safe' END AS worst_before
+  FROM ts WHERE turn = 1 AND level > 0 AND NOT coalesce(placed, false))
+"""

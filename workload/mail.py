@@ -39,7 +39,8 @@ _IPS = "' client-ip=10.0.0.1 relay=203.0.113.' || CAST(d % 250 AS STRING)"
 SCALARS = {
     "message_id": "CAST(d AS STRING)",
     "mailbox_id": "CAST((d % 200) % 20 AS STRING)",
-    "thread_id": "CAST(d % 400 AS STRING)",
+    # threads of the mailbox below, each with several messages
+    "thread_id": "CAST(d % 200 AS STRING) || '-' || CAST(CAST(floor(d / 200) AS BIGINT) % 3 AS STRING)",
     "sender": "CAST(d % 200 AS STRING)",
     "subject": """CASE d % 6
  WHEN 0 THEN 'Urgent: action required' WHEN 1 THEN 'Invoice for payment'

@@ -236,19 +236,11 @@ def action_routing(spark, sf):
     )
 
 
-@query(
-    "mailbox_actions",
-    FULL + "SELECT v.message_id, risk_level = 'Malicious' AS move_to_trash FROM v JOIN m ON m.d = v.d WHERE risk_level <> 'Safe'"
-    " AND NOT EXISTS (SELECT 1 FROM events e WHERE event_type IN ('error', 'signup') AND e.event_id % 5 = 0"
-    " AND CAST(e.user_id % 20 AS STRING) = m.mailbox_id AND CAST(e.event_id % 400 AS STRING) = m.thread_id)",
-)
+@query("mailbox_actions", FULL + ", " + di.ACTIONS + "SELECT message_id, risk_level, worst_before, risk_level = 'Malicious' AS move_to_trash FROM act")
 def mailbox_actions(spark, sf):
-    # every fifth mail of the mailbox belongs to a thread of the scored messages
-    box = mail.table(spark, sf, "events").filter("event_id % 5 = 0").selectExpr(
-        f"{mail.MAILBOX['mailbox_id']} AS mailbox_id", "CAST(event_id % 400 AS STRING) AS thread_id",
-        f"{mail.MAILBOX['folder']} AS folder",
+    return pending_actions(full_scored(spark, sf), mail.mailbox(spark, sf)).select(
+        "message_id", "risk_level", "worst_before", "move_to_trash"
     )
-    return pending_actions(full_scored(spark, sf), box).select("message_id", "move_to_trash")
 
 
 # --- redaction ---------------------------------------------------------------

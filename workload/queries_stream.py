@@ -12,6 +12,7 @@ from tamarisk.operators.scoring import score
 from tamarisk.plans.verdicts import flagged_messages, offline_verdicts, verdicts
 from tamarisk.streaming import history as sh
 from tamarisk.streaming import jobs
+from tamarisk.streaming.actions import act_once
 from workload import duck, mail
 from workload import duck_intel as di
 from workload.queries_core import _OFFLINE
@@ -106,20 +107,15 @@ def stream_sender_history(spark, sf):
 
 @query(
     "stream_act_once",
-    _OFFLINE + "SELECT DISTINCT m.mailbox_id, m.thread_id, risk_level FROM v JOIN m ON m.d = v.d WHERE risk_level <> 'Safe'"
-    " AND NOT EXISTS (SELECT 1 FROM events e WHERE event_type IN ('error', 'signup') AND e.event_id % 5 = 0"
-    " AND CAST(e.user_id % 20 AS STRING) = m.mailbox_id AND CAST(e.event_id % 400 AS STRING) = m.thread_id)",
+    _OFFLINE.rstrip() + ", " + di.ACTIONS
+    + "SELECT mailbox_id, thread_id, message_id, risk_level, worst_before, risk_level = 'Malicious' AS move_to_trash FROM act",
 )
 @with_stream_settings
 def stream_act_once(spark, sf):
-    box = mail.table(spark, sf, "events").filter("event_id % 5 = 0").selectExpr(
-        f"{mail.MAILBOX['mailbox_id']} AS mailbox_id", "CAST(event_id % 400 AS STRING) AS thread_id",
-        f"{mail.MAILBOX['folder']} AS folder",
-    )
-    first, plan = jobs.act_once(offline_verdicts(message_stream(spark, sf)), box, "1 day")
-    return jobs.run_batches_to_table(
-        first, lambda batch: plan(batch).select("mailbox_id", "thread_id", "risk_level"), "actions"
-    )
+    sh.use_state_store(spark)
+    box = mail.mailbox_from(jobs.read_stream(spark, sf, EVENTS, glob="events.parquet"))
+    due = act_once(offline_verdicts(message_stream(spark, sf)), box)
+    return jobs.run_to_table(due, "actions").drop("received_at", "send_alert", "send_notice")
 
 
 _TIMELY_G = """
