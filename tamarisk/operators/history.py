@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk import schemas
 from tamarisk.functions.text import has_text, text_or_empty
+from tamarisk.operators.asof import DAY, asof_join, one_per_key
+from tamarisk.operators.keys import join_on_message, message_key
 from tamarisk.operators.lookup import lookup_join
-from tamarisk.operators.recent_threads import RecentThreads
 from tamarisk.params import RiskParams
 
 SENDER_KEY = ["mailbox_id", "sender"]
@@ -65,7 +66,7 @@ def thread_openings(mailbox: DataFrame, params: RiskParams = RiskParams()) -> Da
 def thread_counts(
     messages: DataFrame, mailbox: DataFrame, params: RiskParams = RiskParams()
 ) -> DataFrame:
-    """``message_id`` with thread counts and flags as of ``received_at``.
+    """``mailbox_id, message_id`` with thread counts and flags as of ``received_at``.
 
     ``messages``: ``message_id, mailbox_id, sender, thread_id, received_at``.
     """
@@ -87,7 +88,7 @@ def thread_counts(
     known = has_text(F.col("sender"))
     none = F.lit(0)
     return joined.select(
-        "message_id",
+        "mailbox_id", "message_id",
         F.when(known, total).otherwise(none).alias("total_threads"),
         (known & (total == 0)).alias("is_first_time_sender"),
         (known & F.coalesce(F.col("replied_at") < F.col("received_at"), F.lit(False))).alias(
@@ -100,157 +101,157 @@ def thread_counts(
 
 
 # --- recent mail and oldest thread -----------------------------------------
+#
+# A mail is the latest of its thread from its arrival to the thread's next mail.  So what a
+# sender's latest threads are at a moment is a question of which of these intervals hold the
+# moment: a join on time bins, of ids alone.  An interval also ends once more threads than can
+# matter have newer mail, so a moment meets few of them however long a history is.
 
-_MAIL = "subject string, body_snippet string, has_attachments boolean, url_count int"
-_SCAN = (
-    "mailbox_id string, sender string, slice int, at bigint, is_mail boolean,"
-    f"thread_id string, message_id string, {_MAIL}"
-)
-_SCAN_NAMES = [f.strip().split()[0] for f in _SCAN.split(",")]
-_MAIL_NAMES = [f.strip().split()[0] for f in _MAIL.split(",")]
+_HOUR = 3_600_000_000
+_FACTOR = 8
+_LEVELS = 8
+_EVER = 253_402_300_799_000_000  # the last second of the year 9999
 
 
-def _mail_rows(mailbox: DataFrame) -> DataFrame:
-    """Received mail outside spam and trash, bodies cut."""
-    snippet = F.substring(text_or_empty(F.col("body")), 1, fv.RECENT_BODY_CHARS)
-    urls = F.regexp_extract_all(snippet, F.lit(fv.CLIENT_URL_PATTERN), F.lit(0))
+def _bin(micros: Column, level: int) -> Column:
+    return F.floor(micros / F.lit(_HOUR * _FACTOR**level)).cast("long")
+
+
+def _received(mailbox: DataFrame) -> DataFrame:
+    """Received mail outside spam and trash, ids only."""
     return (
         correspondence(mailbox)
-        .filter((F.col("place") == "inbox") & F.col("sender").isNotNull())
-        .select(
-            *SENDER_KEY, F.unix_micros("received_at").alias("at"), F.lit(True).alias("is_mail"),
-            "thread_id", "message_id", "subject", snippet.alias("body_snippet"),
-            (F.coalesce("n_attachments", F.lit(0)) > 0).alias("has_attachments"),
-            F.size(F.array_distinct(urls)).alias("url_count"),
-        )
+        .filter((F.col("place") == "inbox") & F.col("sender").isNotNull() & F.col("received_at").isNotNull())
+        .select(*SENDER_KEY, "thread_id", F.unix_micros("received_at").alias("at"), F.col("message_id").alias("mail_id"))
     )
 
 
-def _asked_rows(messages: DataFrame) -> DataFrame:
-    blank = [F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in _MAIL.split(", "))]
-    return messages.filter(has_text(F.col("sender"))).select(
-        *SENDER_KEY, F.unix_micros("received_at").alias("at"), F.lit(False).alias("is_mail"),
-        "thread_id", "message_id", *blank,
-    )
+def _asked(messages: DataFrame) -> DataFrame:
+    return messages.filter(has_text(F.col("sender")) & F.col("received_at").isNotNull()).select(
+        *SENDER_KEY, F.col("thread_id").alias("asked_thread"), "message_id",
+        F.unix_micros("received_at").alias("asked_at"),
+    ).distinct()
+
 
+def _crowded_bins(mails: DataFrame, cap: int) -> DataFrame:
+    """Time bins in which a sender has mail of more than ``cap`` threads: ``start, crowded_by``.
 
-def _long_histories(rows: DataFrame, params: RiskParams) -> DataFrame:
-    """Senders whose rows are cut into time slices; a bounded list."""
-    n_slices = F.least(
-        F.lit(params.history_max_slices), F.ceil(F.col("_n") / F.lit(params.history_slice_rows))
+    ``crowded_by`` is the first end of a crowded bin that starts no earlier.
+    """
+    levels = F.array(*[
+        F.struct(F.lit(k).alias("level"), _bin(F.col("at"), k).alias("bin")) for k in range(_LEVELS)
+    ])
+    threads = mails.select(*SENDER_KEY, "thread_id", F.inline(levels)).distinct()
+    width = F.lit(_HOUR) * F.pow(F.lit(_FACTOR), "level").cast("long")
+    bins = (
+        threads.groupBy(*SENDER_KEY, "level", "bin").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
+        .select(*SENDER_KEY, (F.col("bin") * width).alias("start"), ((F.col("bin") + 1) * width).alias("end"))
     )
-    return (
-        rows.groupBy(*SENDER_KEY)
-        .agg(F.count("*").alias("_n"), F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-        .filter(F.col("_n") > params.history_slice_rows)
-        .orderBy(F.col("_n").desc(), *SENDER_KEY)
-        .limit(params.hot_key_limit)
-        .select(*SENDER_KEY, "_lo", "_hi", n_slices.cast("int").alias("_slices"))
+    # bins of one start are peers, so each knows the ends of all
+    onward = Window.partitionBy(*SENDER_KEY).orderBy(F.col("start").desc())
+    return bins.select(*SENDER_KEY, "start", F.min("end").over(onward).alias("crowded_by"))
+
+
+def _backwards(micros: Column) -> Column:
+    return F.timestamp_micros(-micros)
+
+
+def latest_intervals(mailbox: DataFrame, asked: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+    """``mailbox_id, sender, thread_id, at, mail_id, until``: when a mail is the latest of its thread
+    and not behind more than ``max_history_threads`` others; senders nobody asks about are left out."""
+    mails = _received(mailbox).join(asked.select(*SENDER_KEY).distinct(), SENDER_KEY, "left_semi")
+    # of mails of one moment all but the last end where they begin
+    later = Window.partitionBy(*SENDER_KEY, "thread_id").orderBy("at", "mail_id")
+    ended = mails.withColumn("until", F.coalesce(F.lead("at").over(later), F.lit(_EVER))).filter("at < until")
+    crowded = _crowded_bins(mails, params.max_history_threads)
+    # the next crowded bin after a mail is the last one before it when time runs backwards
+    left = ended.withColumn("_when", _backwards(F.col("at") + 1))
+    right = crowded.withColumn("_when", _backwards(F.col("start")))
+    cut = asof_join(left, right, SENDER_KEY, "_when", "_when", {"crowded_by": F.col("crowded_by")}, 64 * DAY)
+    return cut.select(
+        *SENDER_KEY, "thread_id", "at", "mail_id", F.least("until", F.coalesce("crowded_by", F.lit(_EVER))).alias("until")
     )
 
 
-def _slice_of() -> Column:
-    span = F.col("_hi") - F.col("_lo") + 1
-    part = F.floor((F.col("at") - F.col("_lo")) * F.col("_slices") / span)
-    return F.coalesce(F.least(part, F.col("_slices") - 1), F.lit(0)).cast("int")
+def _level_of(length: Column) -> Column:
+    """The finest level at which an interval touches few bins."""
+    level = F.lit(_LEVELS - 1)
+    for k in reversed(range(_LEVELS - 1)):
+        level = F.when(length <= F.lit(_HOUR * _FACTOR ** (k + 1)), k).otherwise(level)
+    return level
 
 
-def _carried(rows: DataFrame, long: DataFrame, cap: int) -> DataFrame:
-    """State at the start of every later slice of a long history.
+def threads_before(messages: DataFrame, mailbox: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+    """``mailbox_id, message_id, thread_id, threads``: per asking message the latest threads of its sender
+    before it, newest first, as ``(at, mail_id, thread_id)``; messages with none are left out.
 
-    Each slice is first reduced to its ``cap`` latest threads; what one group
-    then sees is at most ``history_max_slices * cap`` rows.
+    The list holds at least the ``max_history_threads + 1`` latest threads, or all.
     """
-    inside = rows.filter("is_mail").join(F.broadcast(long), SENDER_KEY).withColumn("slice", _slice_of())
-    order = F.struct("at", "message_id")
-    latest = inside.groupBy(*SENDER_KEY, "slice", "_slices", "thread_id").agg(
-        F.max_by(F.struct("at", "message_id", *_MAIL_NAMES), order).alias("m")
-    ).select(*SENDER_KEY, "slice", "_slices", "thread_id", "m.*")
-    w = Window.partitionBy(*SENDER_KEY, "slice").orderBy(F.col("at").desc(), F.col("message_id").desc())
-    few = latest.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["slice", "at", "message_id"])
-        state, out = RecentThreads(cap), []
-        n_slices = int(pdf["_slices"].iloc[0])
-        rows_of = {k: g for k, g in pdf.groupby("slice", sort=True)}
-        box, who = pdf["mailbox_id"].iloc[0], pdf["sender"].iloc[0]
-        for s in range(n_slices - 1):
-            if s in rows_of:
-                for r in rows_of[s][["thread_id", "at", "message_id", *_MAIL_NAMES]].itertuples(
-                    index=False, name=None
-                ):
-                    state.note(r[0], r[1], r[2:])
-            for thread, (at, mail) in state.threads.items():
-                out.append((box, who, s + 1, at, True, thread, *mail))
-        return pd.DataFrame(out, columns=_SCAN_NAMES)
-
-    return few.groupBy(*SENDER_KEY).applyInPandas(fold, _SCAN)
+    asked = _asked(messages)
+    mails = latest_intervals(mailbox, asked, params).withColumn("level", _level_of(F.col("until") - F.col("at")))
+    width = F.lit(_HOUR) * F.pow(F.lit(_FACTOR), "level").cast("long")
+    bins = F.sequence(F.floor(F.col("at") / width).cast("long"), F.floor(F.col("until") / width).cast("long"))
+    held = mails.withColumn("bin", F.explode(bins))
+    levels = F.array(*[
+        F.struct(F.lit(k).alias("level"), _bin(F.col("asked_at"), k).alias("bin")) for k in range(_LEVELS)
+    ])
+    probes = asked.select("*", F.inline(levels))
+    met = probes.join(held, [*SENDER_KEY, "level", "bin"]).filter("at < asked_at AND asked_at <= until")
+    return met.groupBy("mailbox_id", "message_id", "asked_thread", "asked_at").agg(
+        F.sort_array(F.collect_list(F.struct("at", "mail_id", "thread_id")), asc=False).alias("threads")
+    ).select("mailbox_id", "message_id", F.col("asked_thread").alias("thread_id"), "threads")
+
+
+def oldest_threads(messages: DataFrame, mailbox: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+    """``mailbox_id, message_id, oldest_thread_at``: the last mail of the oldest of the latest
+    threads besides the message's own."""
+    return _with_oldest(threads_before(messages, mailbox, params), params).drop("threads")
+
+
+def _with_oldest(found: DataFrame, params: RiskParams) -> DataFrame:
+    others = params.max_history_threads - (1 if params.include_current_thread else 0)
+    kept = F.slice(
+        F.filter("threads", lambda t: ~t["thread_id"].eqNullSafe(F.col("thread_id"))), 1, others
+    )
+    oldest = F.timestamp_micros(F.try_element_at(kept, F.lit(-1))["at"])
+    return found.select("mailbox_id", "message_id", "threads", oldest.alias("oldest_thread_at"))
+
+
+def _excerpts(mailbox: DataFrame) -> DataFrame:
+    """What is shown of a mail, by its key."""
+    snippet = F.substring(text_or_empty(F.col("body")), 1, fv.RECENT_BODY_CHARS)
+    urls = F.regexp_extract_all(snippet, F.lit(fv.CLIENT_URL_PATTERN), F.lit(0))
+    return mailbox.select(
+        "mailbox_id", F.col("message_id").alias("mail_id"), F.unix_micros("received_at").alias("at"),
+        F.struct(
+            "subject", snippet.alias("body_snippet"), iso_utc(F.col("received_at")).alias("received_iso_date"),
+            (F.coalesce("n_attachments", F.lit(0)) > 0).alias("has_attachments"),
+            F.size(F.array_distinct(urls)).alias("url_count"),
+        ).cast(schemas.RECENT_EMAIL).alias("mail"),
+    )
 
 
 def recent_mail(
     messages: DataFrame, mailbox: DataFrame, params: RiskParams = RiskParams()
 ) -> DataFrame:
-    """``message_id, oldest_thread_at, recent`` as of each message's arrival.
+    """``mailbox_id, message_id, oldest_thread_at, recent`` as of each message's arrival.
 
-    Mail and messages are laid out by (sender, time slice) in time order and
-    folded once.  Only senders with very long histories have more than one
-    slice; their slices start from a carried-over state, so no task ever holds
-    one sender's whole history.
+    Ids are joined first; only the few mails that are shown are joined to their bodies.
+    Messages of senders without earlier mail are left out.
     """
-    cap, limit = params.max_history_threads + 1, fv.MAX_RECENT_EMAILS
-    others = params.max_history_threads - (1 if params.include_current_thread else 0)
-    rows = _mail_rows(mailbox).unionByName(_asked_rows(messages))
-    long = _long_histories(rows, params)
-    sliced = (
-        rows.join(F.broadcast(long), SENDER_KEY, "left")
-        .withColumn("slice", _slice_of())
-        .select(*_SCAN_NAMES)
-        .unionByName(_carried(rows, long, cap))
-    )
-    laid_out = sliced.repartition(*SENDER_KEY, "slice").sortWithinPartitions(
-        *SENDER_KEY, "slice", "at", "is_mail", "message_id"
-    )
-
-    def fold(batches):
-        import pandas as pd
-
-        key, state = None, RecentThreads(cap)
-        for pdf in batches:
-            out = []
-            for r in pdf[_SCAN_NAMES].itertuples(index=False, name=None):
-                if r[:3] != key:
-                    key, state = r[:3], RecentThreads(cap)
-                at, is_mail, thread, message = r[3:7]
-                if is_mail:
-                    state.note(thread, at, {"at": at, **dict(zip(_MAIL_NAMES, r[7:]))})
-                else:
-                    out.append((message, state.oldest_of(others, thread), state.recent(limit)))
-            done = pd.DataFrame(out, columns=["message_id", "oldest_at", "mails"])
-            done["oldest_at"] = done["oldest_at"].astype("Int64")
-            yield done
-
-    folded = laid_out.mapInPandas(
-        fold, f"message_id string, oldest_at bigint, mails array<struct<at:bigint,{_colons(_MAIL)}>>"
+    found = _with_oldest(threads_before(messages, mailbox, params), params)
+    first = F.slice("threads", 1, fv.MAX_RECENT_EMAILS)
+    shown = found.select("mailbox_id", "message_id", "oldest_thread_at", F.posexplode(first).alias("pos", "t")).select(
+        "mailbox_id", "message_id", "oldest_thread_at", "pos", "t.at", "t.mail_id"
     )
-    return folded.select(
-        "message_id",
-        F.timestamp_micros("oldest_at").alias("oldest_thread_at"),
-        F.transform(
-            "mails",
-            lambda m: F.struct(
-                m["subject"], m["body_snippet"],
-                iso_utc(F.timestamp_micros(m["at"])).alias("received_iso_date"),
-                m["has_attachments"], m["url_count"],
-            ),
-        ).cast(f"array<{schemas.RECENT_EMAIL}>").alias("recent"),
+    bodies = shown.join(_excerpts(mailbox), ["mailbox_id", "mail_id", "at"])
+    listed = bodies.groupBy("mailbox_id", "message_id").agg(
+        F.max("oldest_thread_at").alias("oldest_thread_at"),
+        F.sort_array(F.collect_set(F.struct("pos", "mail"))).alias("r"),
     )
-
-
-def _colons(ddl: str) -> str:
-    return ",".join(":".join(f.split()) for f in ddl.split(","))
+    # a mail that the mailbox holds twice is shown once
+    once = F.filter("r", lambda x, i: (i == 0) | (F.get(F.col("r"), i - 1)["pos"] != x["pos"]))
+    return listed.select("mailbox_id", "message_id", "oldest_thread_at", F.transform(once, lambda x: x["mail"]).alias("recent"))
 
 
 # --- compositions ----------------------------------------------------------
@@ -273,7 +274,7 @@ def with_sender_history(
     known = thread_counts(messages, mailbox, params)
     oldest = F.lit(None).cast("string")
     if recent:
-        known = known.join(recent_mail(messages, mailbox, params), "message_id", "left")
+        known = join_on_message(known, recent_mail(messages, mailbox, params))
         oldest = iso_utc(F.col("oldest_thread_at"))
     history = F.struct(
         *[
@@ -281,20 +282,21 @@ def with_sender_history(
             for n in schemas.fields_of(schemas.SENDER_HISTORY)
         ]
     ).cast(schemas.SENDER_HISTORY)
-    columns = ["message_id", history.alias("sender_history")]
+    columns = ["mailbox_id", "message_id", history.alias("sender_history")]
     if recent:
         nothing = F.array().cast(f"array<{schemas.RECENT_EMAIL}>")
         columns.append(F.coalesce("recent", nothing).alias("recent_emails_from_sender"))
     mine = known.select(*columns)
     stale = [c for c in ("sender_history", "recent_emails_from_sender") if c in mine.columns]
-    return rows.drop(*stale).join(mine, "message_id", "left")
+    # a message that is given twice has one history
+    return join_on_message(rows.drop(*stale), one_per_key(mine, message_key(rows, mine)))
 
 
 def latest_per_thread(mailbox: DataFrame, except_ids: DataFrame | None = None) -> DataFrame:
     """Latest message of every (mailbox, sender, thread), some messages left out."""
     rows = mailbox
     if except_ids is not None:
-        rows = rows.join(except_ids.select("message_id"), "message_id", "left_anti")
+        rows = join_on_message(rows, except_ids, "left_anti")
     order = F.struct("received_at", "message_id")
     kept = [c for c in mailbox.columns if c not in (*SENDER_KEY, "thread_id")]
     return (

@@ -49,9 +49,6 @@ class RiskParams:
     hot_key_rows: int = 1_000_000
     hot_key_limit: int = 1_000
     hot_key_slots: int = 64
-    # a sender's history longer than this is folded in time slices
-    history_slice_rows: int = 2_000_000
-    history_max_slices: int = 1_024
     product_name: str = "Mail Risk Analytics"
     subject_tag: str = "[MAIL RISK]"
     soc_address: str = "soc@example.com"

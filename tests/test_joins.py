@@ -129,7 +129,7 @@ def test_history_against_brute_force(spark):
 
 def test_history_in_slices_is_the_same(spark, no_broadcast):
     box, asked = mailbox_and_messages(spark, seed=9)
-    sliced = RiskParams(history_slice_rows=15, history_max_slices=12, hot_key_rows=10, hot_key_slots=3)
+    sliced = RiskParams(hot_key_rows=10, hot_key_slots=3)
     assert history_of(spark, box, asked, sliced) == brute(box, asked)
 
 

@@ -54,7 +54,7 @@ pt AS (SELECT d, list(t ORDER BY grp, pos) AS proven FROM (
 _BOX = ", ".join(f"{sql} AS {c}" for c, sql in mail.MAILBOX.items())
 HISTORY = f"""
 bx AS (SELECT {_BOX}, event_id FROM events),
-hc AS (SELECT m.d, m.message_id, m.mailbox_id, m.sender, m.received_at, b.folder, b.thread_id AS th, b.received_at AS bt,
+hc AS (SELECT m.d, m.message_id, m.mailbox_id, m.sender, m.received_at, m.thread_id AS own, b.folder, b.thread_id AS th, b.received_at AS bt,
     b.subject AS bsubject, b.body, b.n_attachments, b.event_id
   FROM m JOIN bx b ON b.mailbox_id = m.mailbox_id
     AND CASE WHEN b.folder = 'sent' THEN b.recipient ELSE b.sender END = m.sender AND b.received_at < m.received_at),

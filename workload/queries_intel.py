@@ -375,7 +375,7 @@ def history_flags(spark, sf):
 
 
 _THREADS = """
-tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' GROUP BY ALL)"""
+tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' AND th <> own GROUP BY ALL)"""
 
 
 @query(
@@ -385,7 +385,7 @@ tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' GROUP BY
     " FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY last_at DESC) AS rn FROM tl) WHERE rn <= 50 GROUP BY d",
 )
 def oldest_thread(spark, sf):
-    found = hist.recent_mail(_asked(messages(spark, sf)), mail.mailbox(spark, sf))
+    found = hist.oldest_threads(_asked(messages(spark, sf)), mail.mailbox(spark, sf))
     return found.filter("oldest_thread_at IS NOT NULL").select(
         "message_id", hist.iso_utc(F.col("oldest_thread_at")).alias("oldest_thread_iso_date")
     )

@@ -334,7 +334,7 @@ _STATE = lambda c: f"CASE WHEN {c} THEN 'fail' ELSE 'pass/unknown' END"  # noqa:
 _H = {k: T(v) for k, v in fv.PROMPT_HEADINGS.items()}
 
 PROMPTS = f"""
-tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' GROUP BY ALL),
+tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' AND th <> own GROUP BY ALL),
 ot AS (SELECT d, strftime(min(last_at), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM
   (SELECT *, row_number() OVER (PARTITION BY d ORDER BY last_at DESC) AS rn FROM tl) WHERE rn <= 50 GROUP BY d),
 rc AS (SELECT d, string_agg('Prior email #' || rn || ':' || {_NL} || '  Received: ' || iso || {_NL} || '  Subject: ' || bsubject ||

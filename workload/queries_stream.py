@@ -90,7 +90,7 @@ def _history_stream(spark, sf):
 
 @query(
     "stream_sender_history",
-    duck.with_mail(di.HISTORY, "tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' GROUP BY ALL)",
+    duck.with_mail(di.HISTORY, "tl AS (SELECT d, th, max(bt) AS last_at FROM hc WHERE folder = 'inbox' AND th <> own GROUP BY ALL)",
         "ot AS (SELECT d, strftime(min(last_at), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM"
         " (SELECT *, row_number() OVER (PARTITION BY d ORDER BY last_at DESC) AS rn FROM tl) WHERE rn <= 50 GROUP BY d)",
         "rc AS (SELECT d, least(5, count(DISTINCT th)) AS n FROM hc WHERE folder = 'inbox' GROUP BY d)")
