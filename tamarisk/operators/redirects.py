@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk import fixed_values as fv
 from tamarisk.operators.lineage import written
-from tamarisk.operators.lookup import lookup_join
 from tamarisk.params import RiskParams
 
+#: hops that are planned at once; after them the paths are written and those still open counted
+HOPS_AT_ONCE = 10
 
-def _extend(paths: DataFrame, hops: DataFrame, params: RiskParams) -> DataFrame:
-    """Append to each path the hops that start at its last URL."""
-    tails = hops.select(F.col("src").alias("_end"), F.col("path").alias("_more"))
-    ended = paths.withColumn("_end", F.element_at("path", -1))
-    joined = lookup_join(ended, tails, ["_end"], ["src"], params)
-    longer = F.concat("path", F.coalesce("_more", F.array().cast("array<string>")))
-    return joined.select("src", longer.alias("path"))
+
+def _follow(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """One hop of every open path; a URL that the path has seen already closes it as a cycle."""
+    # a closed path asks for a key of its own that no edge has, so closed paths meet in no task
+    probe = F.when(F.col("open"), F.element_at("path", -1)).otherwise(F.concat(F.lit("\0"), "src"))
+    met = paths.withColumn("_at", probe).join(edges, F.col("_at") == F.col("_from"), "left")
+    again = F.coalesce(F.array_contains("path", F.col("_to")), F.lit(False))
+    onward = F.col("_to").isNotNull() & ~again
+    return met.select(
+        "src", F.when(onward, F.concat("path", F.array("_to"))).otherwise(F.col("path")).alias("path"),
+        onward.alias("open"), (F.col("cycle") | again).alias("cycle"),
+    )
 
 
 def expand_urls(
@@ -25,37 +30,34 @@ def expand_urls(
 ) -> DataFrame:
     """Expansion record of every distinct ``url``; ``redirects`` is ``src, dst``.
 
-    Paths double: two joins of the edge table give paths of up to four hops, two
-    more joins of the URLs give eight, the last one asks whether a ninth hop
-    exists.  A cycle always has one, so it ends as "too many redirects" too.
-    Each step reads the step before more than once, so the steps are written to
-    the shared folder.
+    Only the asked URLs travel: each hop joins the ends of the paths that are still open with
+    the edges, which never meet each other.  A path ends where no edge leaves, where it comes
+    back to a URL of its own, or one hop beyond ``max_redirects``; the last two are "too many
+    redirects".  Of several targets of a URL the smallest is taken.  Up to HOPS_AT_ONCE hops
+    are one plan; for more, the paths so far are written to the shared folder and the work
+    stops as soon as none is open.
     """
-    one = (
+    edges = (
         redirects.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-        .groupBy("src")
-        .agg(F.min("dst").alias("dst"))
-        .select("src", F.array("dst").alias("path"))
+        .groupBy(F.col("src").alias("_from")).agg(F.min("dst").alias("_to"))
     )
-    one = written(one, "hops1")
-    two = written(_extend(one, one, params), "hops2")
-    four = written(_extend(two, two, params), "hops4")
-    starts = urls.select(F.coalesce("url", F.lit("")).alias("src")).distinct()
-    paths = starts.select("src", F.array("src").alias("path"))
-    paths = written(_extend(paths, four, params), "paths4")
-    paths = written(_extend(paths, four, params), "paths8")
-    more = one.select(F.col("src").alias("_end"), F.lit(True).alias("_onward"))
-    ended = paths.withColumn("_end", F.element_at("path", -1))
-    checked = lookup_join(ended, more, ["_end"], ["src"], params)
-    return checked.select(*_expansion(F.col("src"), F.col("path"), F.col("_onward")))
+    asked = urls.select(F.coalesce("url", F.lit("")).alias("src")).distinct()
+    paths = asked.select("src", F.array("src").alias("path"), F.lit(True).alias("open"), F.lit(False).alias("cycle"))
+    for hop in range(params.max_redirects + 1):
+        if hop and hop % HOPS_AT_ONCE == 0:
+            paths = written(paths, "paths")
+            if paths.filter("open").isEmpty():
+                break
+        paths = _follow(paths, edges)
+    return paths.select(*_expansion(F.col("src"), F.col("path"), F.col("cycle"), params.max_redirects))
 
 
-def _expansion(url: Column, path: Column, onward: Column) -> list[Column]:
+def _expansion(url: Column, path: Column, cycle: Column, limit: int) -> list[Column]:
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     error = (
         F.when(url == "", "empty url")
         .when(~scheme.isin("http", "https"), F.concat(F.lit("unsupported scheme: "), scheme))
-        .when(onward | (F.size(path) > fv.MAX_REDIRECTS + 1), "too many redirects")
+        .when(cycle | (F.size(path) > limit + 1), "too many redirects")
     )
     fine = error.isNull()
     hops = F.size(path) - 1

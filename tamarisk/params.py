@@ -43,6 +43,7 @@ class RiskParams:
     max_urls: int = fv.MAX_URLS_LOOKED_UP
     max_hashes: int = fv.MAX_HASHES_LOOKED_UP
     max_history_threads: int = fv.MAX_HISTORY_THREADS
+    max_redirects: int = fv.MAX_REDIRECTS
     include_current_thread: bool = False
     observed_severity_order: bool = False
     # a key with at least this many rows is spread over `hot_key_slots` tasks

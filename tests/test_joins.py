@@ -168,6 +168,28 @@ def test_redirects(spark, no_broadcast):
     assert got[""]["error"] == "empty url" and got["ftp://x"]["error"] == "unsupported scheme: ftp"
 
 
+def test_long_redirects(spark):
+    """Chains beyond one plan, cycles that are met late, many URLs with one target, several targets."""
+    edges = [(f"http://c/{i}", f"http://c/{i + 1}") for i in range(40)]
+    edges += [(f"http://in/{i}", "http://c/30") for i in range(50)]
+    edges += [(f"http://l/{i}", f"http://l/{i + 1}") for i in range(25)] + [("http://l/25", "http://l/13")]
+    edges += [("http://two", "http://c/39"), ("http://two", "http://b"), (None, "x"), ("http://d", None), ("http://two", "http://b")]
+    urls = ["http://c/0", "http://l/0", "http://two", "http://d", None] + [f"http://in/{i}" for i in range(50)]
+    asked = spark.createDataFrame([(u,) for u in urls], "url string")
+    links = spark.createDataFrame(edges, "src string, dst string")
+    far = {r["original_url"]: r for r in expand_urls(asked, links, RiskParams(max_redirects=50)).collect()}
+    assert (far["http://c/0"]["redirect_count"], far["http://c/0"]["final_url"], len(far["http://c/0"]["redirect_chain"])) == (40, "http://c/40", 41)
+    assert far["http://l/0"]["error"] == "too many redirects" and far["http://l/0"]["redirect_chain"] == []
+    assert far["http://two"]["redirect_chain"] == ["http://two", "http://b"] and far["http://d"]["expanded"] is False
+    assert all(far[f"http://in/{i}"]["redirect_count"] == 11 for i in range(50)) and far[""]["error"] == "empty url"
+    for limit, error in ((39, "too many redirects"), (40, None)):
+        r = expand_urls(asked.limit(1), links, RiskParams(max_redirects=limit)).head()
+        assert r["error"] == error
+    plan = expand_urls(asked, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 9
+    assert expand_urls(asked.limit(0), links).count() == 0 and expand_urls(asked, links.limit(0)).count() == len(far)
+
+
 def test_suffixes(spark):
     rules = spark.createDataFrame([(s,) for s in ["com", "uk", "co.uk", "*.ck", "!www.ck"]], "suffix string")
     want = {"a.b.com": "b.com", "com": None, "x.co.uk": "x.co.uk", "y.z.co.uk": "z.co.uk", "q.uk": "q.uk",

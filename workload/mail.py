@@ -294,8 +294,21 @@ def redirects(messages: DataFrame) -> DataFrame:
     return chains.unionByName(landing)
 
 
+def long_redirects(messages: DataFrame) -> DataFrame:
+    """Chains of 8, 9 and 40 hops and cycles of three by k % 4, of the t.co URLs of all messages."""
+    numbers = short_urls(messages).selectExpr("regexp_extract(url, 't.co/q([0-9]+)$', 1) AS k").filter("k <> ''")
+    hops = numbers.distinct().selectExpr(
+        "CAST(k AS BIGINT) AS k", "CASE CAST(k AS BIGINT) % 4 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 40 ELSE 3 END AS n"
+    ).selectExpr("k", "n", "explode(sequence(1, n)) AS i")
+    return hops.selectExpr(
+        "CASE WHEN i = 1 THEN 'https://t.co/q' || k ELSE 'https://far.example/' || k || '/' || (i - 1) END AS src",
+        "CASE WHEN k % 4 = 3 AND i = n THEN 'https://t.co/q' || k ELSE 'https://far.example/' || k || '/' || i END AS dst",
+    )
+
+
 def short_urls(messages: DataFrame) -> DataFrame:
-    return messages.filter("d % 9 IN (0, 8)").select(F.explode("urls.url").alias("url"))
+    """URLs of all messages that go through a link shortener of the tables."""
+    return messages.select(F.inline("urls")).filter("domain IN ('bit.ly', 't.co')").select("url")
 
 
 # --- mailbox <- events -------------------------------------------------------

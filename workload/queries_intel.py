@@ -11,6 +11,7 @@ from tamarisk.operators import history as hist
 from tamarisk.operators import intel as ti
 from tamarisk.operators import scoring as sc
 from tamarisk.operators.redirects import expand_urls
+from tamarisk.params import RiskParams
 from tamarisk.plans.verdicts import verdicts
 from tamarisk.sources import snapshots as snap
 from workload import duck, mail
@@ -147,7 +148,7 @@ def malware_feed_join(spark, sf):
 
 _CHAINS = """
 ex AS (SELECT url, k, CASE WHEN k < 0 THEN 1 ELSE CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 8 ELSE -1 END END AS hops
-  FROM (SELECT DISTINCT url, CASE WHEN d % 9 = 0 THEN -1 ELSE d % 200 END AS k FROM mu WHERE d % 9 IN (0, 8))),
+  FROM (SELECT DISTINCT url, CASE WHEN d % 9 = 0 THEN -1 ELSE d % 200 END AS k FROM mu WHERE domain IN ('bit.ly', 't.co'))),
 xp AS (SELECT url AS original_url,
   CASE WHEN hops < 0 THEN NULL WHEN hops = 0 THEN url WHEN k < 0 THEN 'https://land.example/0'
        ELSE 'https://hop.example/' || k || '/' || hops END AS final_url,
@@ -167,6 +168,25 @@ def redirect_chains(spark, sf):
     )
 
 
+@query(
+    "redirect_chains_long",
+    duck.with_mail()
+    + """SELECT url AS original_url, CASE WHEN n > 0 THEN 'https://far.example/' || k || '/' || n WHEN n = 0 THEN url END AS final_url,
+      CAST(greatest(n, 0) AS INT) AS redirect_count, CASE WHEN n < 0 THEN 'too many redirects' END AS error,
+      CASE WHEN n < 0 THEN '' ELSE array_to_string(list_concat([url],
+        list_transform(range(1, n + 1), lambda i: 'https://far.example/' || k || '/' || i)), ' ') END AS chain
+    FROM (SELECT url, k, CASE WHEN k = '' THEN 0 ELSE CASE CAST(k AS INT) % 4 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 40 ELSE -1 END END AS n
+      FROM (SELECT DISTINCT url, regexp_extract(url, 't.co/q([0-9]+)$', 1) AS k FROM mu WHERE domain IN ('bit.ly', 't.co')))""",
+)
+def redirect_chains_long(spark, sf):
+    """A limit of fifty hops."""
+    m = messages(spark, sf)
+    found = expand_urls(mail.short_urls(m), mail.long_redirects(m), RiskParams(max_redirects=50))
+    return found.select(
+        "original_url", "final_url", "redirect_count", "error", F.array_join("redirect_chain", " ").alias("chain")
+    )
+
+
 @query(
     "shortener_expansions",
     duck.with_mail(_CHAINS)
