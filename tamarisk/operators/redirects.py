@@ -15,13 +15,11 @@ HOPS_AT_ONCE = 10
 def _follow(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """One hop of every open path; a URL that the path has seen already closes it as a cycle."""
     # a closed path asks for a key of its own that no edge has, so closed paths meet in no task
-    probe = F.when(F.col("open"), F.element_at("path", -1)).otherwise(F.concat(F.lit("\0"), "src"))
-    met = paths.withColumn("_at", probe).join(edges, F.col("_at") == F.col("_from"), "left")
-    again = F.coalesce(F.array_contains("path", F.col("_to")), F.lit(False))
-    onward = F.col("_to").isNotNull() & ~again
-    return met.select(
-        "src", F.when(onward, F.concat("path", F.array("_to"))).otherwise(F.col("path")).alias("path"),
-        onward.alias("open"), (F.col("cycle") | again).alias("cycle"),
+    probe = F.expr("CASE WHEN open THEN element_at(path, -1) ELSE concat('\\0', src) END = _from")
+    return paths.join(edges, probe, "left").selectExpr(
+        "src", "CASE WHEN _to IS NULL OR array_contains(path, _to) THEN path ELSE concat(path, array(_to)) END AS path",
+        "_to IS NOT NULL AND NOT array_contains(path, _to) AS open",
+        "cycle OR coalesce(array_contains(path, _to), false) AS cycle",
     )
 
 
