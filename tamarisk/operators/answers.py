@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk import schemas
 from tamarisk.functions.text import string_array, text_or_empty, trim_space
+from tamarisk.operators.asof import one_per_key
+from tamarisk.operators.keys import join_on_message, message_key
 
 MAX_FINDINGS, MAX_ADVICE = 5, 3
 
@@ -33,28 +35,30 @@ def texts_of(v: Column, path: str, limit: int) -> Column:
     false turns into text.
     """
     items = F.try_variant_get(v, path, "array<variant>")
-
-    def filled(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
-        number = F.try_variant_get(x, "$", "double")
-        return (
-            F.when(kind == "VOID", False)
-            .when(kind == "STRING", F.try_variant_get(x, "$", "string") != "")
-            .when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
-            .when(kind.like("ARRAY<%"), F.size(F.try_variant_get(x, "$", "array<variant>")) > 0)
-            .when(
-                kind.like("OBJECT<%"),
-                F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0,
-            )
-            .otherwise(number != 0)
+    kept = F.filter(items, lambda x: F.coalesce(_filled(x), F.lit(False)))
+    return F.coalesce(F.slice(F.transform(kept, _shown), 1, limit), string_array([]))
+
+
+def _filled(x: Column) -> Column:
+    """False for null, "", false, 0, [] and {}; null where there is no value."""
+    kind = F.schema_of_variant(x)
+    number = F.try_variant_get(x, "$", "double")
+    return (
+        F.when(kind == "VOID", False)
+        .when(kind == "STRING", F.try_variant_get(x, "$", "string") != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+        .when(kind.like("ARRAY<%"), F.size(F.try_variant_get(x, "$", "array<variant>")) > 0)
+        .when(
+            kind.like("OBJECT<%"),
+            F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0,
         )
+        .otherwise(number != 0)
+    )
 
-    def shown(x: Column) -> Column:
-        text = F.try_variant_get(x, "$", "string")
-        return F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
-    kept = F.filter(items, lambda x: F.coalesce(filled(x), F.lit(False)))
-    return F.coalesce(F.slice(F.transform(kept, shown), 1, limit), string_array([]))
+def _shown(x: Column) -> Column:
+    text = F.try_variant_get(x, "$", "string")
+    return F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def unavailable() -> Column:
@@ -68,34 +72,36 @@ def unavailable() -> Column:
 
 
 def parse_answers(raw: DataFrame, *kept: str) -> DataFrame:
-    """``message_id, raw_text`` -> ``message_id, analysis`` and the kept columns."""
+    """``message_id, raw_text`` -> key of the message, ``analysis`` and the kept columns."""
+    key = message_key(raw)
     parsed = raw.select(
-        "message_id", *kept, F.try_parse_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
+        *key, *kept, F.try_parse_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
     )
     v = F.col("v")
     category = F.try_variant_get(v, "$.threat_category", "string")
     damage = F.try_variant_get(v, "$.potential_damage", "variant")
-    damage_text = F.try_variant_get(v, "$.potential_damage", "string")
-    empty_damage = F.coalesce(
-        F.schema_of_variant(damage).isin("VOID")
-        | damage_text.isin("", "0", "false", "[]", "{}"),
-        F.lit(True),
-    )
     record = F.struct(
         score_of(v).alias("score"),
         F.when(category.isin(fv.THREAT_CATEGORIES), category)
         .otherwise("SUSPICIOUS").alias("threat_category"),
         texts_of(v, "$.main_findings", MAX_FINDINGS).alias("main_findings"),
-        F.when(empty_damage, "").otherwise(damage_text).alias("potential_damage"),
+        F.when(_filled(damage), _shown(damage)).otherwise("").alias("potential_damage"),
         texts_of(v, "$.what_to_do.do", MAX_ADVICE).alias("do"),
         texts_of(v, "$.what_to_do.do_not", MAX_ADVICE).alias("do_not"),
         F.lit(True).alias("available"),
     ).cast(schemas.ANSWER)
     usable = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return parsed.select("message_id", *kept, F.when(usable, record).otherwise(unavailable()).alias("analysis"))
+    return parsed.select(*key, *kept, F.when(usable, record).otherwise(unavailable()).alias("analysis"))
 
 
 def with_analysis(messages: DataFrame, answers: DataFrame) -> DataFrame:
-    """Add ``analysis``; a message without an answer gets the unavailable record."""
-    joined = messages.join(answers.select("message_id", "analysis"), "message_id", "left")
+    """Add ``analysis``; a message without an answer gets the unavailable record.
+
+    Of several answers to a message the latest by ``answered_at`` counts; without that
+    column, or between answers of one moment, the greatest by its JSON text.
+    """
+    at = "answered_at" if "answered_at" in answers.columns else None
+    key = message_key(messages, answers)
+    kept = answers.select(*key, "analysis", *([at] if at else []))
+    joined = join_on_message(messages, one_per_key(kept, key, at).select(*key, "analysis"))
     return joined.withColumn("analysis", F.coalesce("analysis", unavailable()))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tamarisk import schemas
 from tamarisk.functions.address import sender_ip
-from tamarisk.functions.text import any_true, has_text, text_or_empty
+from tamarisk.functions.text import has_text, text_or_empty
+from tamarisk.operators.asof import asof_join, one_per_key
+from tamarisk.operators.keys import join_on_message, message_key
 from tamarisk.operators.lookup import lookup_join
 from tamarisk.params import RiskParams
 
@@ -20,7 +22,10 @@ class Snapshots:
 
     ``vt``: columns of ``schemas.VT_RESULT`` (any subset with ``kind``,
     ``target``); ``abuse``, ``safe_browsing``, ``malware_feed``, ``expansions``:
-    columns of the schema of that name.
+    columns of the schema of that name.  A table may hold several records of a key:
+    with ``fetched_at``, a message sees the latest fetched by the time it was received
+    (records without a time are always valid, but older than all others); without, one
+    record of a key is taken for all messages.
     """
 
     vt: DataFrame | None = None
@@ -30,27 +35,34 @@ class Snapshots:
     expansions: DataFrame | None = None
 
 
+FETCHED, ASKED = "fetched_at", "received_at"
+
 # --- child rows ------------------------------------------------------------
 
 
+def _named(messages: DataFrame) -> list[str]:
+    """What a row keeps of its message: its key and, where it is known, the time."""
+    return [*message_key(messages), *[c for c in (ASKED,) if c in messages.columns]]
+
+
 def url_rows(messages: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """The first URLs of each message: ``message_id, pos, url, domain``."""
-    first = F.slice("urls", 1, params.max_urls)
-    return messages.select("message_id", F.posexplode(first).alias("pos", "u")).select(
-        "message_id", "pos", F.col("u.url").alias("url"), F.col("u.domain").alias("domain")
+    """The first URLs of each message: its key, ``pos, url, domain``."""
+    first, named = F.slice("urls", 1, params.max_urls), _named(messages)
+    return messages.select(*named, F.posexplode(first).alias("pos", "u")).select(
+        *named, "pos", F.col("u.url").alias("url"), F.col("u.domain").alias("domain")
     )
 
 
 def hash_rows(messages: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """Hashes among the first attachments: ``message_id, pos, sha256``.
+    """Hashes among the first attachments: key of the message, ``pos, sha256``.
 
     The list is cut first and filtered second, so a file without a hash still
     uses up one of the places.
     """
-    first = F.slice("attachments", 1, params.max_hashes)
+    first, named = F.slice("attachments", 1, params.max_hashes), _named(messages)
     return (
-        messages.select("message_id", F.posexplode(first).alias("pos", "a"))
-        .select("message_id", "pos", F.col("a.sha256").alias("sha256"))
+        messages.select(*named, F.posexplode(first).alias("pos", "a"))
+        .select(*named, "pos", F.col("a.sha256").alias("sha256"))
         .filter(has_text(F.col("sha256")))
     )
 
@@ -65,12 +77,26 @@ def shortener_rows(messages: DataFrame, params: RiskParams = RiskParams()) -> Da
 
 
 def _keyed(snapshot: DataFrame, key: str, on: str, name: str, ddl: str | None = None) -> DataFrame:
-    """Snapshot as ``on, <name> struct``, absent columns as nulls."""
-    names = schemas.fields_of(ddl) if ddl else snapshot.columns
+    """Snapshot as ``on, <name> struct`` and the time of each record, absent columns as nulls."""
+    names = schemas.fields_of(ddl) if ddl else [c for c in snapshot.columns if c != FETCHED]
     record = F.struct(
         *[(F.col(n) if n in snapshot.columns else F.lit(None)).alias(n) for n in names]
     )
-    return snapshot.select(F.col(key).alias(on), (record.cast(ddl) if ddl else record).alias(name))
+    when = [_valid_from(snapshot)] if FETCHED in snapshot.columns else []
+    return snapshot.select(F.col(key).alias(on), (record.cast(ddl) if ddl else record).alias(name), *when)
+
+
+def _valid_from(snapshot: DataFrame) -> Column:
+    always = F.timestamp_seconds(F.lit(0))
+    return (F.coalesce(FETCHED, always) if FETCHED in snapshot.columns else always).alias(FETCHED)
+
+
+def _lookup(left: DataFrame, known: DataFrame, key: str, name: str, spread_by, params: RiskParams) -> DataFrame:
+    """Every row of ``left`` with the record of its key: the one valid when it was received, if times are known."""
+    if FETCHED in known.columns and ASKED in left.columns and not left.isStreaming:
+        return asof_join(left, known.filter(F.col(key).isNotNull()), [key], ASKED, FETCHED, {name: F.col(name)})
+    at = FETCHED if FETCHED in known.columns else None
+    return lookup_join(left, one_per_key(known, [key], at).select(key, name), [key], list(spread_by), params)
 
 
 def with_engines(
@@ -82,33 +108,30 @@ def with_engines(
     params: RiskParams = RiskParams(),
 ) -> DataFrame:
     """Add the engine record of a URL, file, domain or IP as struct ``vt``."""
-    return lookup_join(
-        left, _keyed(vt.filter(F.col("kind") == kind), "target", key, "vt"), [key], list(spread_by), params
-    )
+    return _lookup(left, _keyed(vt.filter(F.col("kind") == kind), "target", key, "vt"), key, "vt", spread_by, params)
 
 
 def with_abuse(left, abuse, key: str = "sender_ip", spread_by=("message_id",), params=RiskParams()):
     """Add the abuse record of an IP as struct ``abuse``."""
-    return lookup_join(left, _keyed(abuse, "ip", key, "abuse", schemas.ABUSE_RESULT), [key], list(spread_by), params)
+    return _lookup(left, _keyed(abuse, "ip", key, "abuse", schemas.ABUSE_RESULT), key, "abuse", spread_by, params)
 
 
 def with_safe_browsing(left, snapshot, key: str = "url", spread_by=("message_id",), params=RiskParams()):
     """Add the safe-browsing record of a URL; a URL without match is clean."""
-    joined = lookup_join(left, _keyed(snapshot, "url", key, "gsb", schemas.SAFE_BROWSING), [key], list(spread_by), params)
+    joined = _lookup(left, _keyed(snapshot, "url", key, "gsb", schemas.SAFE_BROWSING), key, "gsb", spread_by, params)
     return joined.withColumn("gsb", checked_browsing(F.col("gsb"), F.col(key)))
 
 
 def with_malware_feed(left, snapshot, key: str = "url", spread_by=("message_id",), params=RiskParams()):
     """Add the malware-feed record of a URL; a URL not listed is clean."""
-    joined = lookup_join(left, _keyed(snapshot, "url", key, "feed", schemas.MALWARE_FEED), [key], list(spread_by), params)
+    joined = _lookup(left, _keyed(snapshot, "url", key, "feed", schemas.MALWARE_FEED), key, "feed", spread_by, params)
     return joined.withColumn("feed", checked_feed(F.col("feed"), F.col(key)))
 
 
 def with_expansion(left, expansions, key: str = "url", spread_by=("message_id",), params=RiskParams()):
     """Add the redirect expansion of a URL as struct ``expansion``."""
-    return lookup_join(
-        left, _keyed(expansions, "original_url", key, "expansion", schemas.EXPANSION), [key], list(spread_by), params
-    )
+    known = _keyed(expansions, "original_url", key, "expansion", schemas.EXPANSION)
+    return _lookup(left, known, key, "expansion", spread_by, params)
 
 
 def checked_browsing(found: Column, url: Column) -> Column:
@@ -148,7 +171,7 @@ def _key(kind: str, pos: Column, key: Column, short: Column) -> Column:
 
 
 def lookup_keys(messages: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """All lookup keys: ``message_id, kind, pos, key, shortened``.
+    """All lookup keys: key of the message, ``kind, pos, key, shortened``.
 
     At most ten narrow rows per message; caps apply before the explode.
     """
@@ -170,7 +193,7 @@ def lookup_keys(messages: DataFrame, params: RiskParams = RiskParams()) -> DataF
         F.concat(F.coalesce(urls, empty), F.coalesce(files, empty), single),
         lambda k: has_text(k["key"]),
     )
-    return messages.select("message_id", F.inline(keys))
+    return messages.select(*_named(messages), F.inline(keys))
 
 
 _PARTS = {
@@ -182,8 +205,8 @@ _PARTS = {
 }
 
 
-def reputation_table(snapshots: Snapshots) -> DataFrame | None:
-    """All snapshots as one table ``kind, key, vt, abuse, gsb, feed, expansion``.
+def reputation_records(snapshots: Snapshots) -> DataFrame | None:
+    """All snapshots as one table ``kind, key, fetched_at, vt, abuse, gsb, feed, expansion``.
 
     Putting the sources side by side under one key lets a message's keys travel
     once instead of once per source.
@@ -192,7 +215,7 @@ def reputation_table(snapshots: Snapshots) -> DataFrame | None:
     def side(snapshot: DataFrame, kind: Column, key: str, part: str) -> DataFrame:
         keyed = _keyed(snapshot, key, "key", part, _PARTS[part])
         return keyed.select(
-            kind.alias("kind"), "key",
+            kind.alias("kind"), "key", _valid_from(keyed),
             *[
                 (F.col(p) if p == part else F.lit(None).cast(ddl)).alias(p)
                 for p, ddl in _PARTS.items()
@@ -215,30 +238,45 @@ def reputation_table(snapshots: Snapshots) -> DataFrame | None:
     table = sides[0]
     for other in sides[1:]:
         table = table.unionByName(other)
-    return table.groupBy("kind", "key").agg(
-        *[F.first(p, ignorenulls=True).alias(p) for p in _PARTS]
-    )
+    return table
+
+
+def reputation_table(snapshots: Snapshots) -> DataFrame | None:
+    """One row per key, of every source the latest record (of undated ones the greatest by JSON text)."""
+    table = reputation_records(snapshots)
+    if table is None:
+        return None
+    order = lambda p: F.when(F.col(p).isNotNull(), F.struct(FETCHED, F.to_json(p)))
+    return table.groupBy("kind", "key").agg(*[F.max_by(p, order(p)).alias(p) for p in _PARTS])
+
+
+def _dated(snapshots: Snapshots) -> bool:
+    return any(s is not None and FETCHED in s.columns for s in vars(snapshots).values())
 
 
 def gather(
     messages: DataFrame, snapshots: Snapshots, params: RiskParams = RiskParams()
 ) -> DataFrame:
-    """``message_id, intel`` for every message that asks for something.
+    """Key of the message and ``intel``, for every message that asks for something.
 
     Results stand in list order of the message's URLs and files.
     """
-    keys = lookup_keys(messages, params)
-    table = reputation_table(snapshots)
-    if table is None:
+    keys, named = lookup_keys(messages, params), message_key(messages)
+    records = reputation_records(snapshots)
+    if records is None:
         found = keys.select("*", *[F.lit(None).cast(d).alias(p) for p, d in _PARTS.items()])
+    elif _dated(snapshots) and ASKED in keys.columns and not keys.isStreaming:
+        # all sources in one look back
+        found = asof_join(keys, records, ["kind", "key"], ASKED, FETCHED, {p: F.col(p) for p in _PARTS})
     else:
-        found = lookup_join(keys, table, ["kind", "key"], ["message_id", "pos"], params)
-    listed = found.groupBy("message_id").agg(
+        found = lookup_join(keys, reputation_table(snapshots), ["kind", "key"], ["message_id", "pos"], params)
+    # a set: a message that is given twice asks once
+    listed = found.groupBy(*named).agg(
         F.sort_array(
-            F.collect_list(F.struct("kind", "pos", "key", "shortened", *_sortable()))
+            F.collect_set(F.struct("kind", "pos", "key", "shortened", *_sortable()))
         ).alias("r")
     )
-    return listed.select("message_id", _record(F.col("r"), snapshots).alias("intel"))
+    return listed.select(*named, _record(F.col("r"), snapshots).alias("intel"))
 
 
 def _sortable():
@@ -320,12 +358,12 @@ def with_intel(
 ) -> DataFrame:
     """Add the ``intel`` struct to every row.
 
-    The rows are shuffled on ``message_id``, so drop the bodies first.  Give the
+    The rows are shuffled on the message key, so drop the bodies first.  Give the
     plain ``messages`` where ``rows`` is a longer plan: the keys are then read
     from them and nothing of that plan runs twice.
     """
     gathered = gather(rows if messages is None else messages, snapshots, params)
-    joined = rows.join(gathered, "message_id", "left")
+    joined = join_on_message(rows, gathered)
     return joined.withColumn("intel", F.coalesce("intel", empty_intel()))
 
 
@@ -338,7 +376,3 @@ def proven_by_engines(malicious_count: Column, params: RiskParams = RiskParams()
 
 def proven_by_abuse(confidence: Column, params: RiskParams = RiskParams()) -> Column:
     return F.coalesce(confidence >= params.proven_abuse_confidence, F.lit(False))
-
-
-def proven_by_listing(*flags: Column) -> Column:
-    return any_true(F.coalesce(f, F.lit(False)) for f in flags)

@@ -69,7 +69,7 @@ def verdicts(
     """Verdict of every message.
 
     Order of work: flags from the text (map side only), then the narrow rows
-    meet history, reputation and answers, all keyed by ``message_id``, then one
+    meet history, reputation and answers, all keyed by mailbox and message, then one
     projection scores.  Without ``mailbox`` the messages' own ``sender_history``
     is used if they have one.
     """
@@ -83,5 +83,6 @@ def verdicts(
     rows = with_intel_flags(with_intel(rows, snapshots, params, messages), params)
     analysis = None
     if raw_answers is not None:
-        rows, analysis = with_analysis(rows, parse_answers(raw_answers)), "analysis"
+        dated = [c for c in ("answered_at",) if c in raw_answers.columns]
+        rows, analysis = with_analysis(rows, parse_answers(raw_answers, *dated)), "analysis"
     return with_explanation(score(rows, params, analysis=analysis))

@@ -51,6 +51,34 @@ pt AS (SELECT d, list(t ORDER BY grp, pos) AS proven FROM (
     UNION ALL SELECT d, pos, 6, 'URLHAUS_FLAGGED:' || coalesce(threat, 'malware') FROM lv WHERE in_database)
   GROUP BY d)"""
 
+_V = f"(SELECT unnest([{mail.VERSIONS}]) AS v)"
+
+
+def _fetched(key: str) -> str:
+    return f"TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST({mail.fetched_hours(key)} AS INTEGER)) AS fetched_at"
+
+
+# the same with snapshots that hold several dated records of a key
+_LOOKUPS, _GATHERED = REPUTATION.split("lv AS (")
+DATED = (
+    _LOOKUPS
+    + f"""vtd AS (SELECT kind, target, {mail.later('malicious_count', 3, 8)} AS malicious_count, total_engines,
+    first_submission_date, creation_date, {_fetched('target')} FROM vt, {_V}),
+abd AS (SELECT 'ip' AS kind, ip, {mail.later('abuse_confidence', 31, 101)} AS abuse_confidence, country_name, total_reports,
+    {_fetched('ip')} FROM ab, {_V}),
+gsd AS (SELECT 'url' AS kind, url, CASE WHEN v = 1 THEN 'MALWARE' ELSE types END AS types, {_fetched('url')} FROM gs, {_V}),
+fdd AS (SELECT 'url' AS kind, url, in_database AND v <> 1 AS in_database, threat, tags, {_fetched('url')} FROM fd, {_V}),
+lv AS (SELECT lk.d, lk.kind, pos, key, malicious_count, total_engines, first_submission_date, creation_date,
+    abuse_confidence, country_name, total_reports, gs.types, fd.in_database, fd.threat, fd.tags, m.received_at
+  FROM lk JOIN m ON m.d = lk.d
+  ASOF LEFT JOIN vtd vt ON vt.kind = lk.kind AND vt.target = key AND m.received_at >= vt.fetched_at
+  ASOF LEFT JOIN abd ab ON ab.kind = lk.kind AND ab.ip = key AND m.received_at >= ab.fetched_at
+  ASOF LEFT JOIN gsd gs ON gs.kind = lk.kind AND gs.url = key AND m.received_at >= gs.fetched_at
+  ASOF LEFT JOIN fdd fd ON fd.kind = lk.kind AND fd.url = key AND m.received_at >= fd.fetched_at),
+im AS ("""
+    + _GATHERED.split("im AS (", 1)[1]
+)
+
 _BOX = ", ".join(f"{sql} AS {c}" for c, sql in mail.MAILBOX.items())
 HISTORY = f"""
 bx AS (SELECT {_BOX}, event_id FROM events),

@@ -273,6 +273,30 @@ def malware_feed(messages: DataFrame) -> DataFrame:
     )
 
 
+# --- reputation over time ------------------------------------------------------
+# Four records of each key: an older one, a later one, and one more later still that the table
+# holds twice.  A key's name says when it was first fetched; some only after all messages.
+
+VERSIONS = "0, 1, 2, 2"
+
+
+def fetched_hours(key: str) -> str:
+    age = f"(ascii(right({key}, 1)) * 7 + length({key}))"
+    return f"({age} % 50 + v * 200 + CASE WHEN {age} % 6 = 0 THEN 100000 ELSE 0 END)"
+
+
+def later(column: str, step: int, below: int) -> str:
+    """A number that differs from version to version."""
+    return f"CAST(({column} + {step} * v) % {below} AS INT)"
+
+
+def dated(snapshot: DataFrame, key: str, **changed: str) -> DataFrame:
+    rows = snapshot.withColumn("v", F.expr(f"explode(array({VERSIONS}))"))
+    rows = rows.withColumns({c: F.expr(sql) for c, sql in changed.items()})
+    hours = f"timestampadd(HOUR, CAST({fetched_hours(key)} AS INT), TIMESTAMP '2024-01-01 00:00:00')"
+    return rows.withColumn("fetched_at", F.expr(hours)).drop("v")
+
+
 # --- redirect edges of the shortened URLs ------------------------------------
 # k = number in the URL; k % 5 gives no hop, one, eight, nine hops or a cycle
 

@@ -146,6 +146,90 @@ def malware_feed_join(spark, sf):
     )
 
 
+# --- the record that was valid when a message came ---------------------------
+
+_DATED = duck.with_mail(di.DATED)
+
+
+def dated_snapshots(spark, sf):
+    m = messages(spark, sf)
+    listed = snap.normalise_safe_browsing(mail.browsing_matches(m))
+    return ti.Snapshots(
+        vt=mail.dated(mail.engines(m), "target", malicious_count=mail.later("malicious_count", 3, 8)),
+        abuse=mail.dated(mail.abuse(m), "ip", abuse_confidence=mail.later("abuse_confidence", 31, 101)),
+        safe_browsing=mail.dated(
+            listed, "url", threat_types="CASE WHEN v = 1 THEN array('MALWARE') ELSE threat_types END"
+        ),
+        malware_feed=mail.dated(mail.malware_feed(m), "url", in_database="in_database AND v <> 1"),
+    )
+
+
+@query(
+    "engines_as_of",
+    _DATED + "SELECT CAST(d AS STRING) AS message_id, kind, CAST(pos AS INT) AS pos, key, malicious_count, total_engines"
+    " FROM lv",
+)
+def engines_as_of(spark, sf):
+    m, vt = messages(spark, sf), dated_snapshots(spark, sf).vt
+    key = ["message_id", "received_at"]
+    kinds = {
+        "url": ti.url_rows(m).select(*key, F.col("pos") + 1, F.col("url").alias("key")),
+        "file": ti.hash_rows(m).select(*key, F.col("pos") + 1, F.col("sha256").alias("key")),
+        "domain": m.select(*key, F.lit(1), F.col("from_domain").alias("key")).filter("key IS NOT NULL"),
+        "ip": m.select(*key, F.lit(1), sender_ip(F.col("authentication_results")).alias("key")).filter("key IS NOT NULL"),
+    }
+    parts = [
+        ti.with_engines(rows.toDF(*key, "pos", "key"), vt, kind, "key").select(
+            "message_id", F.lit(kind).alias("kind"), "pos", "key", "vt.malicious_count", "vt.total_engines"
+        )
+        for kind, rows in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(
+    "lists_as_of",
+    _DATED + "SELECT CAST(d AS STRING) AS message_id, CAST(pos AS INT) AS pos, key AS url, types IS NOT NULL AS is_threat,"
+    " coalesce(types, '') AS threat_types, coalesce(in_database, false) AS in_database, coalesce(tags, '') AS tags"
+    " FROM lv WHERE kind = 'url'",
+)
+def lists_as_of(spark, sf):
+    m, known = messages(spark, sf), dated_snapshots(spark, sf)
+    rows = ti.url_rows(m).withColumn("pos", F.col("pos") + 1)
+    both = ti.with_malware_feed(ti.with_safe_browsing(rows, known.safe_browsing), known.malware_feed)
+    return both.select(
+        "message_id", "pos", "url", "gsb.is_threat", F.array_join("gsb.threat_types", ",").alias("threat_types"),
+        "feed.in_database", F.coalesce(F.array_join("feed.tags", ","), F.lit("")).alias("tags"),
+    )
+
+
+@query(
+    "abuse_as_of",
+    _DATED + "SELECT CAST(d AS STRING) AS message_id, key AS sender_ip, abuse_confidence, country_name, total_reports"
+    " FROM lv WHERE kind = 'ip'",
+)
+def abuse_as_of(spark, sf):
+    m = messages(spark, sf)
+    ip = sender_ip(F.col("authentication_results"))
+    rows = m.select("message_id", "received_at", ip.alias("sender_ip")).filter("sender_ip IS NOT NULL")
+    return ti.with_abuse(rows, dated_snapshots(spark, sf).abuse).select(
+        "message_id", "sender_ip", "abuse.abuse_confidence", "abuse.country_name", "abuse.total_reports"
+    )
+
+
+@query(
+    "verdicts_as_of",
+    duck.with_mail(duck.FEATURES, di.DATED, di.HISTORY, di.ANSWERS, di.FULL_G, duck.SCORED)
+    + "SELECT message_id, score, risk_level, threat_category, action_taken, triggered_by FROM v",
+)
+def verdicts_as_of(spark, sf):
+    """The full verdict with reputation as it stood when each message came."""
+    m = messages(spark, sf)
+    return _verdict_columns(
+        verdicts(m, dated_snapshots(spark, sf), mail.mailbox(spark, sf), mail.raw_answers(m))
+    )
+
+
 _CHAINS = """
 ex AS (SELECT url, k, CASE WHEN k < 0 THEN 1 ELSE CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 8 ELSE -1 END END AS hops
   FROM (SELECT DISTINCT url, CASE WHEN d % 9 = 0 THEN -1 ELSE d % 200 END AS k FROM mu WHERE domain IN ('bit.ly', 't.co'))),
