@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.operators.asof import one_per_key
+from tamarisk.operators.keys import message_key
+from tamarisk.operators.lineage import written
+
 VERDICT_COLUMNS = [
-    "message_id", "received_at", "score", "risk_level", "alert", "threshold",
+    "mailbox_id", "message_id", "received_at", "score", "risk_level", "alert", "threshold",
     "threat_category", "reasons", "signals", "actions", "user_explanation",
     "layer_scores", "evidence", "quarantine_action",
 ]
@@ -41,6 +46,47 @@ def write_by_day(df: DataFrame, path: str, time_column: str = "received_at", mod
     dated.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
+def merge_by_day(
+    df: DataFrame, path: str, time_column: str = "received_at", scored_column: str | None = None
+) -> None:
+    """Put the rows of ``df`` into a table of ``write_by_day``: those of known messages replace the
+    old ones, those of new messages are added, all other rows stay.
+
+    Only the days that ``df`` holds are read and rewritten, in one commit; a failure before it
+    leaves the table as it was.  A message keeps its day, since ``time_column`` says when it was
+    received.  Of several rows of a message the latest by ``scored_column`` counts, without
+    that column the greatest by JSON text.  Columns that either side lacks are null there.
+    """
+    spark = df.sparkSession
+    dated = df.withColumn("day", F.to_date(time_column))
+    # rows and days are needed apart from each other, and the rows come from a long plan
+    new = written(one_per_key(dated, message_key(dated), scored_column), "merge")
+    days = [r.day for r in new.select("day").distinct().collect()]
+    if not days:
+        return
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        table = None
+    merged = new
+    if table is not None:
+        # plain dates, so that the scan is cut to these partitions
+        affected = F.col("day").isin([d for d in days if d is not None])
+        if None in days:
+            affected = affected | F.col("day").isNull()
+        key = message_key(table, new)
+        replaced = new.select(*[F.col(k).alias(f"_new_{k}") for k in key], F.col("day").alias("_new_day"))
+        same = F.col("day").eqNullSafe(F.col("_new_day"))
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"_new_{k}"))
+        merged = table.filter(affected).join(replaced, same, "left_anti").unionByName(new, allowMissingColumns=True)
+    merged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "day"
+    ).parquet(path)
+
+
 def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Plain parquet, JSON lines or ORC."""
     df.write.mode(mode).format(fmt).save(path)

@@ -9,11 +9,11 @@ from tamarisk.functions import redact as rd
 from tamarisk.operators import reports as rp
 from tamarisk.operators.layout import redact_table
 from tamarisk.operators.actions import pending_actions, routed_actions
-from tamarisk.plans.verdicts import prompt_rows
+from tamarisk.plans.verdicts import offline_verdicts, prompt_rows, verdicts
 from workload import duck, mail
 from workload import duck_intel as di
 from workload.mail import messages
-from workload.queries_core import _FLAG_SIGNAL_ROWS
+from workload.queries_core import _FLAG_SIGNAL_ROWS, _OFFLINE
 from workload.queries_intel import _CHAINS, FULL, full_scored, snapshots
 from workload.registry import query
 
@@ -78,6 +78,55 @@ def signals_full(spark, sf):
     )
 
 
+@query(
+    "verdict_records",
+    SIGNAL_FULL + "SELECT v.mailbox_id, v.message_id, score, score >= 35 AS alert, 35 AS threshold, coalesce(reasons, '') AS reasons,"
+    " coalesce(n, 0) AS n_signals, action_taken, CASE WHEN len(trig) > 0 THEN " + T(fv.OVERRIDE_REASON)
+    + " WHEN comp >= lim THEN " + T(fv.COMPOSITE_REASON) + " ELSE '' END AS quarantine_reason"
+    " FROM (SELECT v.*, m.mailbox_id FROM v JOIN m ON m.d = v.d) v LEFT JOIN (SELECT d, string_agg(title, '|' ORDER BY pos) AS reasons,"
+    " CAST(count(*) AS INT) AS n FROM sg GROUP BY d) r ON r.d = v.d",
+)
+def verdict_records(spark, sf):
+    """The record as it is stored."""
+    from tamarisk.sources.sinks import verdict_rows
+
+    return verdict_rows(full_scored(spark, sf)).select(
+        "mailbox_id", "message_id", "score", "alert", "threshold", F.array_join("reasons", "|").alias("reasons"),
+        F.size("signals").alias("n_signals"), "quarantine_action.action_taken",
+        F.col("quarantine_action.reason").alias("quarantine_reason"),
+    )
+
+
+_STORED = "message_id, score, risk_level, CASE WHEN score >= 35 THEN 'alert' ELSE '' END AS alert"
+
+
+@query(
+    "verdicts_by_day",
+    f"SELECT day, count(*) AS n, sum(score) AS scores, count(*) FILTER (WHERE alert <> '') AS alerts,"
+    " count(*) FILTER (WHERE ai) AS with_answer, md5(string_agg(message_id || ':' || score || ':' || risk_level, ',' ORDER BY message_id)) AS rows_md5"
+    f" FROM (SELECT a.*, CAST(m.received_at AS DATE) AS day FROM (SELECT {_STORED}, true AS ai FROM ({FULL} SELECT * FROM v WHERE d % 8 <> 7)"
+    f" UNION ALL SELECT {_STORED}, false FROM ({_OFFLINE} SELECT * FROM v WHERE d % 8 = 7)) a"
+    " JOIN (" + duck.with_mail() + "SELECT * FROM m) m USING (message_id)) GROUP BY day",
+)
+def verdicts_by_day(spark, sf):
+    """Offline verdicts of all messages are stored by day; those whose answers came in later are
+    scored again in full and merged into their days."""
+    from tamarisk.operators.lineage import new_folder
+    from tamarisk.sources import sinks
+
+    m, folder = messages(spark, sf), new_folder(spark, "verdicts")
+    sinks.write_by_day(sinks.verdict_rows(offline_verdicts(m)), folder)
+    answers = mail.raw_answers(m)
+    answered = m.join(answers.select("message_id"), "message_id", "left_semi")
+    again = verdicts(answered, snapshots(spark, sf), mail.mailbox(spark, sf), answers)
+    sinks.merge_by_day(sinks.verdict_rows(again).withColumn("answered", F.lit(True)), folder)
+    listed = F.sort_array(F.collect_list(F.struct("message_id", F.concat_ws(":", "message_id", "score", "risk_level").alias("t"))))
+    return spark.read.parquet(folder).groupBy("day").agg(
+        F.count("*").alias("n"), F.sum("score").alias("scores"), F.count_if("alert").alias("alerts"),
+        F.count_if("answered").alias("with_answer"), F.md5(F.array_join(listed["t"], ",")).alias("rows_md5"),
+    )
+
+
 def _group_rule() -> str:
     groups: dict = {}
     for code, group in fv.SIGNAL_GROUPS.items():
