@@ -29,6 +29,13 @@ def mailbox_domain(header: Column) -> Column:
     return F.when(at > 0, F.regexp_replace(F.lower(trim_space(after)), '[>"]', ""))
 
 
+def last_domain(header: Column) -> Column:
+    """Lower-cased text after the last ``@`` of the address; null without one."""
+    address = mailbox_address(header)
+    after = F.lower(trim_space(F.substring_index(address, "@", -1)))
+    return F.when(F.instr(address, "@") > 0, F.regexp_replace(after, '[>"]', ""))
+
+
 # A phrase made of words and quoted strings; the characters left out would make
 # a strict address parser see a list, a group or a broken address.
 _PHRASE = r'(?:[^"<>,;:@()\[\]\\]|"(?:[^"\\]|\\.)*")'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.functions.text import any_true
 from tamarisk.params import RiskParams
 
 
@@ -53,8 +54,8 @@ def lookup_join(
       checked) joins without moving the left side at all.
     * A larger one is joined by a shuffle in which the rows of each hot key are
       spread over ``hot_key_slots`` tasks by the hash of ``spread_by``, and only
-      the snapshot rows of hot keys are repeated that often.  The list of hot
-      keys is bounded by ``hot_key_limit``, so it is always safe to broadcast.
+      the snapshot rows of hot keys are repeated that often.  Rows with a null
+      key are spread too.  The list of hot keys is bounded by ``hot_key_limit``, so it is always safe to broadcast.
 
     The result does not depend on which way is taken.  On a stream the static
     snapshot is joined plainly, since rows per trigger are bounded already.
@@ -64,8 +65,10 @@ def lookup_join(
     hot = F.broadcast(hot_keys(left, keys, params))
     slots = params.hot_key_slots
     slot_of = F.pmod(F.xxhash64(*spread_by), F.lit(slots)).cast("int")
+    # a null key meets nothing, so its rows may go to any task
+    blank = any_true(F.col(k).isNull() for k in keys)
     spread = left.join(hot, keys, "left").withColumn(
-        "_slot", F.when(F.col("_hot"), slot_of).otherwise(0)
+        "_slot", F.when(F.col("_hot") | blank, slot_of).otherwise(0)
     )
     repeated = snapshot.join(hot, keys, "left").select(
         *snapshot.columns,

@@ -352,14 +352,15 @@ def raw_message_bodies(spark, sf):
 
 @query(
     "raw_message_headers",
-    "SELECT CAST(doc_id AS STRING) AS message_id, 'Doc ' || doc_id AS subject, 'mail.example.com' AS from_domain, 'reply.example.net' AS reply_to_domain,"
+    "SELECT CAST(doc_id AS STRING) AS message_id, 'Doc ' || doc_id AS subject, 'example.com' AS from_domain, 'example.net' AS reply_to_domain,"
     " 'arc spf=fail' AS authentication_results, '<b@c.example>' AS return_path,"
-    " CASE WHEN doc_id % 4 = 1 THEN 'https://x.example/p' || doc_id || '|Shop & go' ELSE '' END AS links FROM documents",
+    " CASE WHEN doc_id % 4 = 1 THEN 'https://x.example/p' || doc_id || '|x.example|Shop & go' ELSE '' END AS links FROM documents",
 )
 def raw_message_headers(spark, sf):
     # the documents hold no URL of their own
-    links = F.array_join(F.transform("urls", lambda u: F.concat_ws("|", u["url"], u["visible_text"])), ";")
-    return mime.parse_raw_messages(raw_messages(spark, sf)).select(
+    links = F.array_join(F.transform("urls", lambda u: F.concat_ws("|", u["url"], u["domain"], u["visible_text"])), ";")
+    rules = mail.literal_table(spark, ["suffix"], [("com",), ("net",), ("example",)])
+    return mime.parse_raw_messages(raw_messages(spark, sf), rules=rules).select(
         "message_id", "subject", "from_domain", "reply_to_domain", "authentication_results",
         "return_path", links.alias("links"),
     )
