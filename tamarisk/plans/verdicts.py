@@ -76,13 +76,23 @@ def verdicts(
     rows = flagged_messages(messages, params)
     if mailbox is not None:
         rows = with_sender_history(rows, mailbox, params, recent=recent, messages=messages)
+    if raw_answers is not None:
+        dated = [c for c in ("answered_at",) if c in raw_answers.columns]
+        rows = with_analysis(rows, parse_answers(raw_answers, *dated))
+    return judged(rows, snapshots, params, messages)
+
+
+def judged(
+    rows: DataFrame, snapshots: Snapshots, params: RiskParams = RiskParams(), messages: DataFrame | None = None
+) -> DataFrame:
+    """Verdict of flagged messages that have, where it is known, ``sender_history`` and ``analysis``.
+
+    Give the plain ``messages`` where ``rows`` is a longer plan.
+    """
     if "sender_history" in rows.columns:
         rows = with_history_flags(rows, params)
     else:
         rows = without_flags(rows, HISTORY_FLAGS)
     rows = with_intel_flags(with_intel(rows, snapshots, params, messages), params)
-    analysis = None
-    if raw_answers is not None:
-        dated = [c for c in ("answered_at",) if c in raw_answers.columns]
-        rows, analysis = with_analysis(rows, parse_answers(raw_answers, *dated)), "analysis"
+    analysis = "analysis" if "analysis" in rows.columns else None
     return with_explanation(score(rows, params, analysis=analysis))

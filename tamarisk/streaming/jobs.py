@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.operators.answers import parse_answers, unavailable
+from tamarisk.operators.keys import MESSAGE_KEY, message_key
 from tamarisk.operators.lineage import new_folder
 
 ANSWER_BOUND = "15 seconds"
@@ -71,21 +72,29 @@ def run_batches_to_table(
     return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
+def _timed(rows: DataFrame) -> list[str]:
+    """Columns that carry event time already."""
+    return [f.name for f in rows.schema if f.metadata.get("spark.watermarkDelayMs") is not None]
+
+
 def with_timely_answers(
     messages: DataFrame, raw_answers: DataFrame, bound: str = ANSWER_BOUND, delay: str = "1 minute"
 ) -> DataFrame:
     """Add ``analysis`` from a stream of answers.
 
-    ``raw_answers``: ``message_id, raw_text, answered_at``.  An answer counts if
-    it comes within ``bound`` after the message; a message that gets none is
+    ``raw_answers``: key of the message, ``raw_text, answered_at``.  An answer counts if
+    it is the first and comes within ``bound`` after the message; a message that gets none is
     released with the unavailable record once the watermark has passed.
     """
     right = raw_answers.withWatermark("answered_at", delay)
-    parsed = parse_answers(right, "answered_at").withColumnRenamed("message_id", "_answered")
-    left = messages.withWatermark("received_at", delay)
+    key = message_key(messages, raw_answers)
+    # the first answer counts, what comes again is not waited for
+    first = right.dropDuplicatesWithinWatermark(key)
+    parsed = parse_answers(first, "answered_at").withColumnsRenamed({k: f"_{k}" for k in key})
+    left = messages if "received_at" in _timed(messages) else messages.withWatermark("received_at", delay)
     timely = F.expr(
-        "message_id = _answered AND answered_at >= received_at"
-        f" AND answered_at <= received_at + INTERVAL {bound}"
+        " AND ".join(f"{k} = _{k}" for k in key)
+        + f" AND answered_at >= received_at AND answered_at <= received_at + INTERVAL {bound}"
     )
-    joined = left.join(parsed, timely, "leftOuter").drop("_answered", "answered_at")
+    joined = left.join(parsed, timely, "leftOuter").drop(*[f"_{k}" for k in MESSAGE_KEY], "answered_at")
     return joined.withColumn("analysis", F.coalesce("analysis", unavailable()))

@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from tamarisk.operators import history as hist
-from tamarisk.plans.verdicts import offline_verdicts
+from tamarisk.plans.verdicts import offline_verdicts, verdicts
 from tamarisk.streaming import history as sh
 from tamarisk.streaming import jobs
+from tamarisk.streaming.verdicts import full_rows, verdict_plan
 from tests.conftest import SF, rows
 from workload import mail
-from workload.queries_stream import DOCUMENTS
+from workload.queries_intel import snapshots
+from workload.queries_stream import DOCUMENTS, EVENTS
 
 
 def split_by_time(df, path, column, n):
@@ -58,3 +60,43 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
     for run in ("a", "b"):  # a new checkpoint repeats batch 0
         jobs.write_batches(stream, lambda b: b.select("doc_id"), str(tmp_path / "out"), str(tmp_path / run)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_full_verdict_over_batches(spark, tmp_path):
+    """History, answers and reputation of a stream in several batches equal the batch verdict."""
+    sh.use_state_store(spark)
+    docs = mail.table(spark, SF, "documents").filter("doc_id < 60").select("doc_id", "text", "lang", "source", "n_chars")
+    events = mail.table(spark, SF, "events")
+    cuts = [(0, 20), (20, 40), (40, 60)]
+    hour = "(unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00')) / 3.6e9"
+    for lo, hi in cuts:
+        docs.filter(f"doc_id >= {lo} AND doc_id < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+        events.filter(f"{hour} >= {lo} AND {hour} < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    close = docs.filter("doc_id = 0").withColumn("doc_id", F.lit(-1).cast("long")).coalesce(1)
+    close.write.mode("append").parquet(str(tmp_path / "d"))
+    events.filter("event_id = 0").withColumns({"ts": F.lit("2100-01-01 00:00:00").cast("timestamp"), "user_id": F.lit(7777777)}).select(
+        *events.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    at = F.expr("CASE WHEN d < 0 THEN TIMESTAMP '2100-01-01 00:00:00' ELSE received_at END")
+    read = lambda: mail.messages_from(jobs.read_stream(spark, str(tmp_path / "d"), DOCUMENTS, 1)).withColumn("received_at", at)
+    answers = read().filter("d % 8 <> 7").selectExpr(
+        "mailbox_id", "message_id", f"{mail.ANSWER_TEXT} AS raw_text",
+        # every third comes too late, every second twice
+        "received_at + make_interval(0, 0, 0, 0, 0, 0, CASE d % 3 WHEN 2 THEN 40 ELSE 5 END) AS answered_at",
+    ).withColumn("again", F.explode(F.expr("CASE WHEN message_id % 2 = 0 THEN array(1, 2) ELSE array(1) END"))).drop("again")
+    box = mail.mailbox_from(jobs.read_stream(spark, str(tmp_path / "e"), EVENTS, 1))
+    versions = []
+
+    def known():
+        versions.append(1)
+        return snapshots(spark, SF)
+
+    plan = verdict_plan(known)
+    pick = lambda df: df.select("message_id", "score", "risk_level", "threat_category", F.array_join("triggered_by", ";").alias("t"))
+    out = jobs.run_batches_to_table(full_rows(read(), box, answers), lambda b: pick(plan(b)), "t").filter("message_id <> '-1'")
+    m = mail.messages_from(docs)
+    timely = mail.raw_answers(m.filter("d % 3 <> 2"))
+    want = pick(verdicts(m, snapshots(spark, SF), mail.mailbox(spark, SF), timely))
+    assert rows(out) == rows(want) and len(versions) > 1
+    got = {r.has_history for r in jobs.run_batches_to_table(
+        full_rows(read(), box, answers), lambda b: b.select(F.col("sender_history").isNotNull().alias("has_history")), "h").collect()}
+    assert got == {True}

@@ -13,10 +13,11 @@ from tamarisk.plans.verdicts import flagged_messages, offline_verdicts, verdicts
 from tamarisk.streaming import history as sh
 from tamarisk.streaming import jobs
 from tamarisk.streaming.actions import act_once
+from tamarisk.streaming.verdicts import full_rows, verdict_plan
 from workload import duck, mail
 from workload import duck_intel as di
 from workload.queries_core import _OFFLINE
-from workload.queries_intel import _INTEL_ONLY, _VERDICT, snapshots
+from workload.queries_intel import _INTEL_ONLY, _VERDICT, FULL, snapshots
 from workload.registry import query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -101,7 +102,9 @@ def _history_stream(spark, sf):
 )
 @with_stream_settings
 def stream_sender_history(spark, sf):
-    out = _history_stream(spark, sf).withColumn("n_recent", F.size("recent")).drop("recent")
+    out = _history_stream(spark, sf).withColumn("n_recent", F.size("recent")).drop(
+        "recent", "mailbox_id", "sender", "received_at"
+    )
     return jobs.run_to_table(out, "history")
 
 
@@ -157,3 +160,30 @@ def stream_timely_answers(spark, sf):
     judged = score(jobs.with_timely_answers(rows, answered), intel=None)
     # filtered after the stream: before, the closing rows would not be seen
     return jobs.run_to_table(_verdict_columns(judged), "answers").filter("message_id <> '-1'")
+
+
+@query("stream_verdicts_full", FULL + _VERDICT)
+@with_stream_settings
+def stream_verdicts_full(spark, sf):
+    """History, answers and reputation of a stream; answers come 0, 5 or 10 seconds late.
+
+    A message and an answer in the far future close the streams, else the last messages would
+    wait for ever.
+    """
+    sh.use_state_store(spark)
+    closing = "CASE WHEN d < 0 THEN TIMESTAMP '2100-01-01 00:00:00' ELSE received_at END"
+
+    def closed():
+        last = document_stream(spark, sf).filter("doc_id = 0").withColumn("doc_id", F.lit(-1).cast("long"))
+        return mail.messages_from(document_stream(spark, sf).unionByName(last))
+
+    m = closed().withColumn("received_at", F.expr(closing))
+    answers = closed().filter("d % 8 <> 7").selectExpr(
+        "mailbox_id", "message_id", f"{mail.ANSWER_TEXT} AS raw_text",
+        f"{closing} + make_interval(0, 0, 0, 0, 0, 0, (abs(d) % 3) * 5) AS answered_at",
+    )
+    box = mail.mailbox_from(jobs.read_stream(spark, sf, EVENTS, glob="events.parquet"))
+    rows = full_rows(m, box, answers)
+    plan = verdict_plan(lambda: snapshots(spark, sf))
+    out = jobs.run_batches_to_table(rows, lambda batch: _verdict_columns(plan(batch)), "full")
+    return out.filter("message_id <> '-1'")
