@@ -71,11 +71,29 @@ def unavailable() -> Column:
     ).cast(schemas.ANSWER)
 
 
+_FIELDS = ("claude_score", "threat_category", "main_findings", "potential_damage", "what_to_do")
+
+
+def answer_json(text: Column) -> Column:
+    """The answer as a variant; null where it is no JSON.
+
+    Of a key that an object repeats the last value counts.  The plain parser refuses such
+    texts, so those alone are read again by field.
+    """
+    fields = ",".join(f"{n}:variant" for n in _FIELDS)
+    # as the only element of a list, since the parsers stop at the end of the first value
+    alone = F.concat(F.lit("["), text, F.lit("]"))
+    again = F.get(F.from_json(alone, f"array<struct<{fields}>>"), F.lit(0))
+    by_field = F.to_variant_object(F.struct(*[again[n].alias(n) for n in _FIELDS]))
+    refused = F.when(text.startswith("{") & again.isNotNull(), by_field)
+    return F.when(F.json_array_length(alone) == 1, F.coalesce(F.try_parse_json(text), refused))
+
+
 def parse_answers(raw: DataFrame, *kept: str) -> DataFrame:
     """``message_id, raw_text`` -> key of the message, ``analysis`` and the kept columns."""
     key = message_key(raw)
     parsed = raw.select(
-        *key, *kept, F.try_parse_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
+        *key, *kept, answer_json(strip_code_fences(text_or_empty(F.col("raw_text")))).alias("v")
     )
     v = F.col("v")
     category = F.try_variant_get(v, "$.threat_category", "string")

@@ -23,7 +23,11 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 
 def read_messages(spark, path: str, fmt: str = "parquet") -> DataFrame:
     """Parsed messages with the defaults of the absent lists filled in."""
-    df = read_table(spark, path, schemas.MESSAGE, fmt)
+    return with_absent_lists(read_table(spark, path, schemas.MESSAGE, fmt))
+
+
+def with_absent_lists(df: DataFrame) -> DataFrame:
+    """Messages with empty lists where they have none."""
     lists = {
         "urls": schemas.URL_INFO,
         "attachments": schemas.ATTACHMENT,

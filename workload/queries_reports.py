@@ -292,6 +292,45 @@ def mailbox_actions(spark, sf):
     )
 
 
+# --- rows that do not parse ------------------------------------------------------
+
+
+@query(
+    "quarantined_messages",
+    """SELECT reason, count(*) AS n, CAST(sum(d) AS BIGINT) AS ids FROM (SELECT doc_id AS d,
+      CASE WHEN doc_id % 7 = 3 OR doc_id % 11 = 5 THEN 'does not fit the schema' WHEN doc_id % 13 = 4 THEN 'no message_id' ELSE 'good' END AS reason
+      FROM documents) GROUP BY reason""",
+)
+def quarantined_messages(spark, sf):
+    """All messages as JSON lines, some cut off, some with a wrong type, some without an id."""
+    from tamarisk.operators.lineage import new_folder
+    from tamarisk.sources.quarantine import read_checked_messages
+
+    folder = new_folder(spark, "lines")
+    m = messages(spark, sf).withColumn("message_id", F.expr("CASE WHEN d % 13 <> 4 THEN message_id END"))
+    line = F.to_json(F.struct(*[c for c in m.columns if c != "d"], F.col("d").cast("string").alias("return_path")))
+    wrong = F.regexp_replace(line, '"received_at":"[^"]*"', '"received_at":["soon"]')
+    cut = F.concat(F.lit('{"return_path":"'), F.col("d"), F.lit('","subject":"cut'))
+    m.select(F.when(F.col("d") % 7 == 3, cut).when(F.col("d") % 11 == 5, wrong).otherwise(line).alias("value")).write.text(folder)
+    found = read_checked_messages(spark, folder)
+    number = lambda c: F.regexp_extract(c, '"return_path":"([0-9]+)"', 1).cast("long")
+    bad = found.bad.select("reason", number(F.col("raw")).alias("d"))
+    good = found.good.select(F.lit("good").alias("reason"), F.col("return_path").cast("long").alias("d"))
+    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"), F.sum("d").alias("ids"))
+
+
+@query(
+    "quarantined_answers",
+    "SELECT CASE d % 8 WHEN 6 THEN 'not JSON' ELSE 'good' END AS reason, count(*) AS n FROM (SELECT doc_id AS d FROM documents) WHERE d % 8 <> 7 GROUP BY 1",
+)
+def quarantined_answers(spark, sf):
+    from tamarisk.sources.quarantine import check_answers
+
+    found = check_answers(mail.raw_answers(messages(spark, sf)))
+    both = found.good.select(F.lit("good").alias("reason")).unionByName(found.bad.select("reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 # --- redaction ---------------------------------------------------------------
 
 _INJECTED = """text || CASE doc_id % 10 WHEN 1 THEN ' pay GB29 NWBK 6016 1331 9268 19 now'
