@@ -16,6 +16,7 @@ from tamarisk.functions.text import (
     strip_tags,
     text_or_empty,
 )
+from tamarisk.operators.keys import message_key
 from tamarisk.operators.lookup import lookup_join
 from tamarisk.params import RiskParams
 
@@ -60,37 +61,48 @@ def brand_spoofed(name: str, domain: str, brands: dict) -> Column:
     return has_text(F.col(name)) & has_text(F.col(domain)) & F.coalesce(hit, F.lit(False))
 
 
+_GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All pieces of the text of that length."""
+    last = F.length(text) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substr(text, i, F.lit(size)))
+
+
 def brand_spoofed_by_table(
     messages: DataFrame, brands: DataFrame, params: RiskParams = RiskParams()
 ) -> DataFrame:
-    """``message_id, brand_spoofing`` for a large dictionary ``brand, domain``.
+    """Key of the message and ``brand_spoofing``, for a large dictionary ``brand, domain``.
 
-    "The name contains the brand" becomes an equi join: each distinct name is cut
-    into its pieces of the lengths that brands have (a handful, read up front).
-    A second equi join, on the endings of the sender's domain, tells the brand's
-    own domains.  No row meets the whole dictionary.
+    "The name contains the brand" becomes an equi join through an inverted index: each brand
+    stands under one of its grams, the one that fewest names hold (a brand with a gram that no
+    name holds is in no name), and each distinct name asks with all of its grams.  What meets
+    is verified.  A second equi join, on the endings of the sender's domain, tells the brand's
+    own domains.  No row meets the whole dictionary, and nothing runs while the plan is built.
     """
-    sizes = [r[0] for r in brands.select(F.length("brand")).distinct().collect() if r[0]]
+    key = message_key(messages)
     senders = messages.select(
-        "message_id", display_name(F.col("from_email")).alias("name"), F.lower("from_domain").alias("host")
+        *key, display_name(F.col("from_email")).alias("name"), F.lower("from_domain").alias("host")
     )
     pairs = senders.filter(has_text(F.col("name")) & has_text(F.col("host"))).select(
         "name", "host"
     ).distinct()
-
-    def pieces(size: int) -> Column:
-        starts = F.greatest(F.length("name") - size + 1, F.lit(0))
-        places = F.when(starts > 0, F.sequence(F.lit(1), starts)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(places, lambda i: F.substr(F.col("name"), i, F.lit(size)))
-
-    cut = pairs.select(
-        "name", "host",
-        F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]))).alias("brand"),
+    asked = pairs.select(
+        "name", "host", F.explode(F.array_distinct(F.concat(*[_grams(F.col("name"), n) for n in range(1, _GRAM + 1)]))).alias("gram")
+    )
+    held = asked.groupBy("gram").agg(F.count("*").alias("n_names"))
+    known = brands.filter(has_text(F.col("brand"))).select("brand").distinct()
+    own_grams = F.coalesce(*[
+        F.when(F.length("brand") >= n, _grams(F.col("brand"), n)) for n in range(_GRAM, 0, -1)
+    ])
+    index = (
+        known.select("brand", F.explode(own_grams).alias("gram")).join(held, "gram", "left")
+        .groupBy("brand").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+        .filter("rarest.n > 0").select("brand", F.col("rarest.gram").alias("gram"))
     )
-    known = brands.select("brand", F.lit(True).alias("_known")).distinct()
-    named = lookup_join(cut, known, ["brand"], ["name", "host"], params).filter("_known")
+    named = asked.join(index, "gram").filter(F.contains("name", "brand")).select("name", "host", "brand")
     labels = F.split("host", r"\.")
     endings = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -107,7 +119,7 @@ def brand_spoofed_by_table(
         .distinct()
     )
     return lookup_join(senders, foreign, ["name", "host"], ["message_id"], params).select(
-        "message_id", F.coalesce("_foreign", F.lit(False)).alias("brand_spoofing")
+        *key, F.coalesce("_foreign", F.lit(False)).alias("brand_spoofing")
     )
 
 

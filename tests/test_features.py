@@ -131,3 +131,35 @@ def test_spam_history(spark, total, spam, trash, available, want):
     assert row["sender_has_spam_history"] is want
     assert row["has_user_replied_to_sender"] is available
     assert row["is_first_time_sender"] is (available and total == 0)
+
+
+def test_large_dictionary_against_brute_force(spark):
+    """Brands of one letter and more, names without any, own domains and their subdomains; no job while planning."""
+    import random
+
+    from tamarisk.operators.features import brand_spoofed_by_table
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcé") for _ in range(n))
+    brands = [(word(rnd.choice([1, 2, 3, 4, 6])), f"{word(3)}.com") for _ in range(60)] + [("", "x.com"), (None, "x.com"), ("zzzz", "z.com")]
+    brands += [("own", "own.com"), ("own", "own.net")]
+    sent = [(str(i), f"{word(rnd.randrange(1, 9))} <a@b.c>", rnd.choice([d for _, d in brands] + ["mail.own.com", "own.net.ru"])) for i in range(150)]
+    sent += [("n1", "the own shop <x@y>", "mail.own.com"), ("n2", "the own shop <x@y>", "own.org"), ("n3", None, "own.org"), ("n4", "own <x@y>", None),
+             ("n5", "zz <x@y>", "other.org")]
+    messages = spark.createDataFrame(sent, "message_id string, from_email string, from_domain string")
+    table = spark.createDataFrame(brands, "brand string, domain string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    df = brand_spoofed_by_table(messages, table)
+    assert not tracker.getJobIdsForGroup("plan")
+    own = {}
+    for b, d in brands:
+        own.setdefault(b, []).append(d)
+    want = {}
+    for i, sender, host in sent:
+        name = sender.rsplit(" <", 1)[0] if sender else ""
+        want[i] = bool(name and host) and any(
+            b in name and not any(host == d or host.endswith("." + d) for d in ds) for b, ds in own.items() if b)
+    assert {r.message_id: r.brand_spoofing for r in df.collect()} == want
+    assert want["n2"] and not want["n1"] and 20 < sum(want.values()) < 150
+    assert brand_spoofed_by_table(messages, table.limit(0)).filter("brand_spoofing").count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamarisk import fixed_values as fv
 from tamarisk.operators import features as ft
 from tamarisk.operators import scoring as sc
+from tamarisk.params import RiskParams
 from tamarisk.plans.verdicts import flagged_messages
 from workload import duck
 from workload.mail import literal_table, messages
@@ -76,6 +77,20 @@ def verdicts_offline(spark, sf):
     )
 
 
+@query(
+    "verdicts_by_parameters",
+    _OFFLINE.replace("THEN 70 ELSE 60 END AS lim", "THEN 50 ELSE 22 END AS lim").replace("comp >= 35 THEN", "comp >= 0 THEN")
+    + "SELECT message_id, score, risk_level, threat_category, score >= 0 AS alert, 0 AS threshold, triggered_by FROM v",
+)
+def verdicts_by_parameters(spark, sf):
+    """Thresholds of one's own; an alert threshold of 0 is a threshold."""
+    params = RiskParams(alert_threshold=0, high_risk_threshold=50, no_ai_high_risk_threshold=22)
+    return sc.score(offline_flags(spark, sf), params, intel=None, analysis=None).select(
+        "message_id", "score", "risk_level", "threat_category", "alert", "threshold",
+        F.array_join("triggered_by", ";").alias("triggered_by"),
+    )
+
+
 _FLAG_SIGNAL_ROWS = " UNION ALL ".join(
     f"SELECT d, message_id, {i} AS ord, '{code}' AS code, '{layer}' AS layer, {points} AS points,"
     f" '{severity}' AS severity, {duck.text(title)} AS title, {duck.text(told)} AS explanation"
@@ -151,4 +166,4 @@ def combination_triggers(spark, sf):
 def brand_table(spark, sf):
     pairs = [(b, d) for b, own in fv.BRAND_DOMAINS.items() for d in own]
     brands = literal_table(spark, ["brand", "domain"], pairs)
-    return ft.brand_spoofed_by_table(messages(spark, sf), brands)
+    return ft.brand_spoofed_by_table(messages(spark, sf), brands).drop("mailbox_id")
