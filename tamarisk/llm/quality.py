@@ -1,7 +1,7 @@
 """Quality rules: counts of a text, and a calibrated n-gram classifier.
 
 ``fit_quality`` learns a logistic regression on hashed n-grams (words, word pairs and
-four-byte strings, each as shares of its kind) from labelled rows, and fits the
+strings of four code points, each as shares of its kind) from labelled rows, and fits the
 probability on rows it did not learn from.  ``judge`` counts and scores whole texts in
 Arrow batches; nothing is shuffled.
 """
@@ -56,18 +56,18 @@ def _grams(chunk: Chunk, found: Words) -> list[tuple[np.ndarray, np.ndarray, np.
     single = (h >> _U(64 - BITS)).astype(np.int32)
     pair = np.zeros(len(h), dtype=np.int32)
     pair[:-1] = (mix(h[:-1] * _U(3) + h[1:]) >> _U(64 - BITS)).astype(np.int32)
+    # windows of four code points, whatever number of bytes each takes
     data = chunk.data
-    four = np.zeros(len(data), dtype=np.uint32)
-    if len(data) > 3:
-        part = four[:-3]
-        for j in range(4):
-            part |= data[j : len(data) - 3 + j].astype(np.uint32) << np.uint32(8 * j)
-        four *= np.uint32(2654435769)
-    at = chunk.offsets
+    char = np.flatnonzero((data & 0xC0) != 0x80)
+    four = np.zeros(len(char), dtype=np.int32)
+    if len(char) > 3:
+        ends = np.append(char[4:], len(data))
+        four[:-3] = (span_hash(prefix_hash(data), char[:-3], ends) >> _U(64 - BITS)).astype(np.int32)
+    at = np.searchsorted(char, chunk.offsets)
     return [
         (single, first[:-1], first[1:]),
         (pair + _SIZE, first[:-1], np.maximum(first[1:] - 1, first[:-1])),
-        ((four >> np.uint32(32 - BITS)).astype(np.int32) + 2 * _SIZE, at[:-1], np.maximum(at[1:] - 3, at[:-1])),
+        (four + 2 * _SIZE, at[:-1], np.maximum(at[1:] - 3, at[:-1])),
     ]
 
 
