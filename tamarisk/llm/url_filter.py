@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.llm.skew import hash_sample
+
 BUCKETS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
@@ -114,11 +116,14 @@ def lexical(urls: list[str | None], hosts: list[str]) -> np.ndarray:
     return out
 
 
-def _matrix(batch, suffix: np.ndarray) -> np.ndarray:
+def _matrix(batch, suffix: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Features of URLs; ``own`` are the labels of rows that the statistics count, which are left out for them."""
     x = lexical(batch.column("url").to_pylist(), batch.column("host").to_pylist())
     extra = []
     for name in ("suffix1", "suffix2"):
-        n = suffix[batch.column(name).to_numpy(zero_copy_only=False)]
+        n = suffix[np.asarray(batch.column(name))]
+        if own is not None:
+            n = n - np.column_stack([own, np.ones(len(own))])
         extra += [(n[:, 0] + 1) / (n[:, 1] + 2), n[:, 1] > 0]
     return np.column_stack([x, extra[0], extra[2], extra[1], extra[3]]) if len(x) else np.zeros((0, len(FEATURES)))
 
@@ -165,7 +170,9 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "verdic
              params: UrlParams = UrlParams()) -> UrlModel | None:
     """The model, from URLs labelled allow or block; None unless both occur.
 
-    Suffix statistics count every labelled row.  Other labels and null URLs are left out.
+    Suffix statistics count every labelled row; for a row that is learned from, all but itself,
+    else they would tell it its own label where a host is rare.  Trees are grown on at most
+    ``sample_rows`` rows, chosen by the hash of the URL.  Other labels and null URLs are left out.
     """
     host, _ = host_path(F.col(url_col))
     rows = labelled.select(F.col(url_col).cast("string").alias("url"), F.col(label_col).alias("label")).where(
@@ -176,12 +183,13 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "verdic
     both = rows.select(F.explode(F.array("suffix1", "suffix2")).alias("bucket"), "y")
     for r in both.groupBy("bucket").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect():
         suffix[r["bucket"]] = (r["y"], r["n"])
-    sample = rows.select("url", "host", "y", "suffix1", "suffix2").orderBy(F.xxhash64("url"), "url", "y")
-    picked = sample.limit(params.sample_rows).toArrow()
+    sample = hash_sample(rows.select("url", "host", "y", "suffix1", "suffix2"), ["url", "y"], params.sample_rows)
+    # one order, whatever the layout; at most sample_rows rows
+    picked = sample.toArrow().sort_by([("url", "ascending"), ("y", "ascending")])
     y = picked.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return None
-    trees, prior = grow(_matrix(picked, suffix), y, params)
+    trees, prior = grow(_matrix(picked, suffix, y), y, params)
     return UrlModel(trees, prior, suffix, params.rate)
 
 
