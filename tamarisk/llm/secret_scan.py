@@ -1,10 +1,10 @@
 """Secrets in texts: fixed patterns, and strings that look drawn at random.
 
 Two character Markov models, of random strings and of ordinary identifiers, are
-counted from labelled samples.  A run of identifier characters is a secret when its
-log-likelihood ratio favours the random model by ``least_ratio``; in a run that is not,
-the stretches whose own ratio does are secrets, up to the next joiner on either side.
-Fixed spans are cut out of runs first.  Scanning is a map over Arrow batches; the models
+counted from labelled samples and from identifiers made by rule.  In a run of identifier
+characters, the stretches whose log-likelihood ratio favours the random model by
+``least_ratio`` in all and ``least_mean`` a character are secrets, up to the next joiner on
+either side; so a path keeps its ordinary parts.  Fixed spans are cut out of runs first.  Scanning is a map over Arrow batches; the models
 are two small matrices.
 """
 
@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.llm.skew import hash_sample
 from tamarisk.llm.textbytes import chunks
+from tamarisk.operators.lineage import written
 
 #: fixed values: kinds in their order, and the patterns of the first three
 KINDS = ("assign", "access", "hex", "random")
@@ -28,6 +30,20 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _WORDS = re.compile(rb"[A-Za-z0-9+/_=-]{6,}")
+#: fixed values: words of ordinary identifiers
+IDENTIFIER_WORDS = (
+    "account action address admin archive array assets backup base batch block body buffer build bundle button cache "
+    "calendar cancel category change channel check class client cluster code column comment commit common component "
+    "config connection container content context control controller count create current custom data database default "
+    "delete detail device directory display document domain download driver element email enable entity entry error "
+    "event example export factory field file filter folder format frame function gateway global group handler header "
+    "history home image import index info input install instance interface internal item language layer layout library "
+    "license list loader local location manager master memory message method model module network node notification "
+    "number object option order output package page parameter parent payment plugin policy private process product "
+    "profile project provider public query queue record release report request resource response result role schema "
+    "search section security server service session setting source start state status storage string system table "
+    "target template test text thread time type update upload user validation value version view window world"
+).split()
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -42,14 +58,17 @@ _HEX[list(b"0123456789abcdef")] = True
 
 @dataclass(frozen=True)
 class SecretParams:
-    """``sample_rows`` bounds the labelled strings of each class that the models count."""
+    """``sample_rows`` bounds the labelled strings of each class that the models count, ``made_rows``
+    is how many strings of each class are made by rule besides."""
 
     least_value: int = 6
     least_access: int = 20
     least_hex: int = 24
     least_run: int = 16
     least_ratio: float = 12.0
+    least_mean: float = 0.3
     sample_rows: int = 20_000
+    made_rows: int = 6000
     smooth: float = 0.1
 
 
@@ -80,25 +99,45 @@ def random_strings(n: int, seed: int = 3) -> list[str]:
     return [bytes(rng.choice(list(sets[i % 4]), rng.integers(16, 65)).astype(np.uint8)).decode() for i in range(n)]
 
 
+def ordinary_strings(n: int, seed: int = 4) -> list[str]:
+    """Labelled samples of the ordinary class: identifiers in the usual styles, paths, ids with dashes,
+    dates, and one character or an alphabet repeated."""
+    rng = np.random.default_rng(seed)
+    hexes = lambda k: bytes(rng.choice(list(b"0123456789abcdef"), k).astype(np.uint8)).decode()
+    out = []
+    for i in range(n):
+        words = [IDENTIFIER_WORDS[j] for j in rng.integers(0, len(IDENTIFIER_WORDS), rng.integers(2, 9))]
+        number = str(rng.integers(0, 10_000))
+        c = chr(ALPHABET[i // 10 % 66])
+        out.append((
+            lambda: words[0] + "".join(w.title() for w in words[1:]), lambda: "".join(w.title() for w in words),
+            lambda: "_".join(words), lambda: "-".join(words) + "-" + number, lambda: "_".join(words).upper(),
+            lambda: "/" + "/".join(words) + "/" + number, lambda: "".join(words),
+            lambda: "-".join(hexes(k) for k in (8, 4, 4, 4, 12)), lambda: c * int(rng.integers(6, 40)),
+            lambda: f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}" + "0123456789abcdefghijklmnopqrstuvwxyz"[: i % 36],
+        )[i % 10]())
+    return out
+
+
 def fit_secrets(samples: DataFrame, value_col: str = "value", label_col: str = "secret",
                 params: SecretParams = SecretParams()) -> SecretModel | None:
     """Both models, from labelled strings (``label_col`` true: random); None if a class is missing.
 
     Null, empty and repeated values count once or not at all; at most ``sample_rows``
-    of each class are taken, by the hash of the value.
+    of each class are taken, by the hash of the value, and ``made_rows`` made by rule.
     """
     value, label = F.col(value_col).cast("string").alias("value"), F.col(label_col).cast("boolean").alias("secret")
-    known = samples.select(value, label).where("length(value) > 0 and secret is not null").distinct()
+    # counted and read, so the distinct values are not looked for twice
+    known = written(
+        samples.select(value, label).where("length(value) > 0 and secret is not null").distinct(), "secret-samples"
+    )
     logs = []
-    for secret in (True, False):
-        rows = (
-            known.where(F.col("secret") == secret).orderBy(F.xxhash64("value"), "value").limit(params.sample_rows)
-            .select("value").collect()
-        )
+    for secret, made in ((True, random_strings(params.made_rows, seed=5)), (False, ordinary_strings(params.made_rows))):
+        rows = hash_sample(known.where(F.col("secret") == secret), ["value"], params.sample_rows).select("value").collect()
         if not rows:
             return None
         n = np.full((_N + 1, _N), params.smooth)
-        for (text,) in rows:
+        for text in (*(r[0] for r in rows), *made):
             s = _SYMBOL[np.frombuffer(text.encode(), dtype=np.uint8)]
             s = s[s < _N].astype(np.int64)
             np.add.at(n, (np.append(_N, s[:-1])[: len(s)], s), 1)
@@ -118,14 +157,12 @@ def base_spans(text: bytes, p: SecretParams) -> list[tuple[int, int, int]]:
 
 
 def stretches(sums: np.ndarray, joiner: np.ndarray, p: SecretParams) -> list[tuple[int, int]]:
-    """Secrets of a run, from the prefix sums of its ratios: the run itself, or its best stretches.
+    """Secrets of a run, from the prefix sums of its ratios: its best stretches.
 
     A stretch has the largest sum of all with ``least_run`` characters or more; it is
     widened to the joiners around it, and what is left on either side is searched again.
     """
     n = len(joiner)
-    if sums[n] - sums[0] >= p.least_ratio:
-        return [(0, n)]
     out, todo = [], [(0, n)]
     while todo:
         lo, hi = todo.pop()
@@ -144,11 +181,26 @@ def stretches(sums: np.ndarray, joiner: np.ndarray, p: SecretParams) -> list[tup
         if not joiner[b - 1]:
             edges = np.flatnonzero(joiner[b:hi])
             b = b + int(edges[0]) if len(edges) else hi
-        out.append((a, b))
-        todo += [(lo, a), (b, hi)]
+        a, b = _trimmed(sums, joiner, a, b, p)
+        if b - a >= p.least_run and sums[b] - sums[a] >= max(p.least_ratio, p.least_mean * (b - a)):
+            out.append((a, b))
+        if b > a:
+            todo += [(lo, a), (b, hi)]
     return sorted(out)
 
 
+def _trimmed(sums: np.ndarray, joiner: np.ndarray, a: int, b: int, p: SecretParams) -> tuple[int, int]:
+    """A stretch without the parts between joiners at its ends that look ordinary by themselves."""
+    ordinary = lambda lo, hi: sums[hi] - sums[lo] < p.least_mean * (hi - lo) or lo == hi
+    marks = np.flatnonzero(joiner[a:b]) + a
+    first, last = 0, len(marks)
+    while first < last and ordinary(a, marks[first]):
+        a, first = int(marks[first]) + 1, first + 1
+    while last > first and ordinary(int(marks[last - 1]) + 1, b):
+        b, last = int(marks[last - 1]), last - 1
+    return a, b
+
+
 def scan_chunk(chunk, model: SecretModel | None, p: SecretParams) -> list[list[tuple[int, int, int]]]:
     """Of each text its spans (start, kind, end) in bytes, sorted."""
     data, at = chunk.data, chunk.offsets
@@ -273,7 +325,10 @@ def _sampled(p: SecretParams):
 
 
 def corpus_samples(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
-    """Labelled strings of a corpus: values of fixed spans, and words of all texts outside them."""
+    """Labelled strings of a corpus: values of fixed spans, and words of all texts outside them.
+
+    Secrets that no fixed pattern finds are among the ordinary words; there are few of them.
+    """
     spark = docs.sparkSession
     drawn = spark.createDataFrame([(v, True) for v in random_strings(2000)], "value string, secret boolean")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
