@@ -3,9 +3,11 @@
 A text is cut into units, before spaces and at line ends; every way to spell a unit with
 pieces is a path of its lattice, with probability proportional to the product of the
 pieces' weights.  Forward sums are computed once for each distinct unit of a group of
-texts, byte by byte over all of them; a unit of any length is one lattice.  Then every occurrence is sampled from its end to its start.  The random numbers are
-hashes of the row's key and the place in its text, so a row gets the same pieces
-wherever and whenever it is encoded.
+texts, byte by byte over all of them; then every occurrence is sampled from its end to its
+start.  A unit of any length is one lattice: those longer than ``LONG`` bytes are worked
+through on their own, in blocks that hand on the last forward sums, with 8 bytes of
+memory a byte and tables for one block.  The random numbers are hashes of the row's key and
+the place in its text, so a row gets the same pieces wherever and whenever it is encoded.
 
 The vocabulary stores merge ranks, not probabilities; a piece of rank r weighs
 1 / (r + ``rank_shift``).  Single bytes are always possible, with the weight ``byte_weight``.
@@ -13,6 +15,7 @@ The vocabulary stores merge ranks, not probabilities; a piece of rank r weighs
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,8 @@ from tamarisk.llm.textbytes import HashTable, chunks, mix, prefix_hash, span_has
 
 _U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: bytes of a unit that is worked through on its own, of a group of shorter ones, of a block, of a leap
+LONG, PART, BLOCK, STEP = 4096, 1 << 21, 1 << 14, 8
 
 
 @dataclass(frozen=True)
@@ -105,6 +110,40 @@ class Lattice:
         starts, ends = bounds[:-1], bounds[1:]
         if not len(starts) or not len(data):
             return np.empty(0, np.int32), np.zeros(len(offsets), dtype=np.int64)
+        text_of = np.searchsorted(offsets, starts, side="right") - 1
+        key = mix(keys[text_of] ^ mix((starts - offsets[text_of]).astype(np.uint64) + _U(seed)))
+        # runs of short units of about PART bytes, and every long unit, one after the other
+        long = ends - starts > LONG
+        part = (np.cumsum(np.where(long, 0, ends - starts)) - 1) // PART
+        edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | long[1:] | long[:-1]))
+        ids, steps = [], []
+        for a, b in zip(edge, np.append(edge[1:], len(starts)), strict=True):
+            own = data[starts[a] : ends[b - 1]]
+            if long[a]:
+                ids.append(self._sample_long(own, key[a]))
+                steps.append([len(ids[-1])])
+            else:
+                out, n = self._sample_short(own, starts[a:b] - starts[a], ends[a:b] - starts[a], key[a:b])
+                ids.append(out)
+                steps.append(n)
+        base = np.cumsum(np.concatenate(steps))
+        first = np.append(0, base)[np.searchsorted(starts, offsets[:-1])] if len(offsets) > 1 else np.empty(0, np.int64)
+        return np.concatenate(ids), np.append(first, base[-1])
+
+    def _choices(self, data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Per place and length, the piece of that length that ends there, or -1; ``inside`` counts from its unit's start."""
+        prefix = prefix_hash(data)
+        choice = np.full((len(data), self.longest), -1, dtype=np.int32)
+        for n in range(1, self.longest + 1):
+            entry = self.tables[n - 1]
+            ends_here = np.flatnonzero(inside >= n - 1) + 1
+            if entry is not None and len(ends_here):
+                found = entry[0].find(span_hash(prefix, ends_here - n, ends_here))
+                choice[ends_here - 1, n - 1] = np.where(found >= 0, entry[1][found], -1)
+        return choice
+
+    def _sample_short(self, data, starts, ends, key) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all units, and how many each has."""
         _, first, which = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
         size = (ends - starts)[first]
         rank = np.argsort(-size, kind="stable")  # longest first
@@ -114,17 +153,9 @@ class Lattice:
         # the bytes of the distinct units, end to end
         at = np.cumsum(size) - size
         own = data[np.repeat(starts[first] - at, size) + np.arange(at[-1] + size[-1])]
-        prefix = prefix_hash(own)
         # after r bytes, the units of r bytes and more are the first ones
         width = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")
-        inside = np.arange(len(own)) - np.repeat(at, size)
-        choice = np.full((len(own), self.longest), -1, dtype=np.int32)
-        for n in range(1, self.longest + 1):
-            entry = self.tables[n - 1]
-            ends_here = np.flatnonzero(inside >= n - 1) + 1
-            if entry is not None and len(ends_here):
-                found = entry[0].find(span_hash(prefix, ends_here - n, ends_here))
-                choice[ends_here - 1, n - 1] = np.where(found >= 0, entry[1][found], -1)
+        choice = self._choices(own, np.arange(len(own)) - np.repeat(at, size))
         sums = np.zeros(choice.shape, dtype=np.float32)
         # forward sums of the last places, newest first; only ratios within a unit matter
         ahead = np.zeros((len(size), self.longest))
@@ -138,16 +169,13 @@ class Lattice:
             ahead[:m, 1:] = ahead[:m, :-1] / total
             ahead[:m, 0] = 1
         # backward: all occurrences at once
-        text_of = np.searchsorted(offsets, starts, side="right") - 1
-        key = mix(keys[text_of] ^ mix((starts - offsets[text_of]).astype(np.uint64) + _U(seed)))
         left = ends - starts
         live = np.arange(len(starts))
         steps = np.zeros(len(starts), dtype=np.int64)
         got = []
         while len(live):
             now = at[which[live]] + left[live] - 1
-            u = (mix(key[live] + _U(len(got))) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
-            n = np.minimum((sums[now] <= u[:, None]).sum(axis=1) + 1, self.longest)
+            n = np.minimum((sums[now] <= _uniform(key[live] + _U(len(got)))[:, None]).sum(axis=1) + 1, self.longest)
             got.append((live, choice[now, n - 1]))
             steps[live] += 1
             left[live] -= n
@@ -156,8 +184,66 @@ class Lattice:
         out = np.empty(base[-1], dtype=np.int32)
         for step, (occurrence, ids) in enumerate(got):
             out[base[occurrence] - 1 - step] = ids
-        edge = np.append(0, base)[np.searchsorted(starts, offsets[:-1])] if len(offsets) > 1 else np.empty(0, np.int64)
-        return out, np.append(edge, base[-1])
+        return out, steps
+
+    def _block(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The choices at the places ``lo`` to ``hi`` of a unit."""
+        a = max(0, lo - self.longest + 1)
+        # places before ``lo`` are only there for the pieces that reach back to them
+        return self._choices(data[a:hi], np.arange(hi - a))[lo - a :]
+
+    def _sample_long(self, data: np.ndarray, key: np.uint64) -> np.ndarray:
+        """Piece ids of one unit: the same lattice, block by block."""
+        p, size = self.longest, len(data)
+        # logarithms of the forward sums; before the start there is nothing
+        logs = np.full(p + size, -np.inf)
+        logs[p - 1] = 0.0
+        state, scale = np.zeros(p), 0.0
+        state[-1] = 1
+        j = np.arange(STEP)
+        for lo in range(0, size, BLOCK):
+            hi = min(size, lo + BLOCK)
+            weight = self.weight[self._block(data, lo, hi)]
+            weight = np.pad(weight, ((0, -len(weight) % STEP), (0, 0))).reshape(-1, STEP, p)
+            # STEP sums at once: new = inner @ new + outer @ old, where old are the p sums before
+            inner, outer = np.zeros((len(weight), STEP, STEP)), np.zeros((len(weight), STEP, p))
+            for n in range(1, p + 1):
+                near = j >= n
+                inner[:, j[near], j[near] - n] = weight[:, near, n - 1]
+                outer[:, j[~near], p + j[~near] - n] = weight[:, ~near, n - 1]
+            leap = np.linalg.solve(np.eye(STEP) - inner, outer)
+            for k, jump in enumerate(leap):
+                new = jump @ state
+                m = min(STEP, hi - lo - k * STEP)
+                at = p + lo + k * STEP
+                with np.errstate(divide="ignore"):
+                    logs[at : at + m] = np.log(new[:m]) + scale
+                state = np.append(state[m:], new[:m])
+                top = state.max()
+                state /= top
+                scale += np.log(top)
+        got, made, left = [], 0, size
+        while left:
+            lo = max(0, left - BLOCK)
+            choice = self._block(data, lo, left)
+            # logs[p + i] stands behind place i, so a piece of n bytes that ends there comes from logs[p + i - n]
+            before = np.lib.stride_tricks.sliding_window_view(logs[lo : p + left - 1], p)[:, ::-1]
+            run = np.cumsum(np.exp(before - logs[p + lo : p + left, None]) * self.weight[choice], axis=1)
+            rows, ids = (run / run[:, -1:]).tolist(), choice.tolist()
+            draws = _uniform(key + np.arange(made, made + len(rows)).astype(np.uint64)).tolist()
+            own = []
+            while left > lo:
+                n = min(bisect_right(rows[left - 1 - lo], draws[len(own)]) + 1, p)
+                own.append(ids[left - 1 - lo][n - 1])
+                left -= n
+            made += len(own)
+            got.append(np.array(own[::-1], dtype=np.int32))
+        return np.concatenate(got[::-1])
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """A number from 0 to below 1 for each hash."""
+    return (mix(h) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
 
 
 def _encoded(pieces: Pieces, p: SamplingParams):
