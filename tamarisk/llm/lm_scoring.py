@@ -2,9 +2,11 @@
 
 Learning: every training token is counted (64-bit hashes stand for words); the
 ``vocabulary`` most frequent tokens become outputs of a gated recurrent model, all
-others share one.  The model learns from every training document: in each of
-``rounds`` rounds the tasks start from the same weights, learn from their own part of
-the round's documents, and their weights are averaged by Spark as grouped sums.
+others share one.  The model learns from every training document: a round's documents are
+dealt by hash to learners of about ``learner_tokens`` tokens, each in a fixed order; all
+start from the same weights, and their weights are averaged by Spark as grouped sums.  The
+number of learners follows from the number of tokens, so what is learned does not depend on
+how the rows are laid out, and more data makes more learners, not longer ones.
 
 Scoring: a task scores its documents in lanes.  Counts of the ``frequent`` most
 frequent tokens (a fixed number) travel with the task; those of rarer tokens are
@@ -14,6 +16,7 @@ joined by token, so no count table grows on any machine.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,9 @@ class LmParams:
     vocabulary: int = 2047
     classes: int = 32
     hidden: int = 16
-    rounds: int = 2
-    rate: float = 0.3
+    rounds: int = 4
+    learner_tokens: int = 400_000
+    rate: float = 0.6
     frequent: int = 1 << 18
     lane_tokens: int = 4_000_000  # tokens a task lays out at a time
     seed: int = 5
@@ -112,19 +116,26 @@ def _groups(batches, column: int, most: int):
 
 
 def _trained(table: HashTable, output: np.ndarray, rest: int, shape: Shape, flat: np.ndarray, rate: float, most: int):
+    """Rows (learner, text), a learner's rows together, to each learner's weights by tokens seen."""
+
+    def learned(docs):
+        model, past, seen, held, size = Model(shape, flat.copy()), None, 0, [], 0
+        for h in docs:
+            at = table.find(h)
+            held.append(np.where(at < 0, rest, output[at]).astype(np.int32))
+            seen, size = seen + len(h), size + len(h)
+            if size >= most:
+                past, held, size = model.train(held, rate, past), [], 0
+        if held:
+            model.train(held, rate, past)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(shape.size, dtype=np.int32)), pa.array(model.flat.astype(np.float64) * seen),
+             pa.array(np.full(shape.size, float(seen)))], ["i", "weighted", "seen"])
+
     def run(batches):
-        model, past, seen = Model(shape, flat.copy()), None, 0
-        for _, docs in _groups(batches, 0, most):
-            tokens = []
-            for h in docs:
-                at = table.find(h)
-                tokens.append(np.where(at < 0, rest, output[at]).astype(np.int32))
-                seen += len(h)
-            past = model.train(tokens, rate, past)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(shape.size, dtype=np.int32)), pa.array(model.flat.astype(np.float64) * seen),
-                 pa.array(np.full(shape.size, float(seen)))], ["i", "weighted", "seen"])
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), _tokens(batch.column(1)), strict=True))
+        for _, own in groupby(rows, key=lambda row: row[0]):
+            yield learned(h for _, h in own)
 
     return run
 
@@ -149,11 +160,11 @@ def _most_frequent(tokens: DataFrame, most: int) -> list:
 
 def fit_lm(docs: DataFrame, text_col: str = "text", seed_col: Column | None = None,
            params: LmParams = LmParams()) -> LanguageModel:
-    """Learn from every row of ``docs``; ``seed_col`` decides a row's round (default: hash of the text)."""
+    """Learn from every row of ``docs``; ``seed_col`` decides a row's round and learner (default: hash of the text)."""
     p = params
     text = F.col(text_col).cast("string")
-    turn = F.pmod(seed_col if seed_col is not None else F.xxhash64(text), F.lit(p.rounds))
-    texts = docs.select(text.alias("text"), turn.alias("turn"))
+    seed = F.coalesce(seed_col if seed_col is not None else F.xxhash64(text), F.lit(0))
+    texts = docs.select(text.alias("text"), seed.alias("seed"))
     tokens = written(
         texts.select("text").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")),
         "lm-tokens",
@@ -179,10 +190,15 @@ def fit_lm(docs: DataFrame, text_col: str = "text", seed_col: Column | None = No
     flat = initial(shape, frequency, p.seed)
     table = HashTable(keys[output != rest])
     learned = output[output != rest]
+    learners = max(1, -(-total // (p.rounds * p.learner_tokens)))
+    dealt = texts.select(
+        F.pmod("seed", F.lit(p.rounds)).alias("turn"), F.pmod(F.xxhash64("seed", "text"), F.lit(learners)).alias("learner"),
+        F.xxhash64(F.lit(1), "seed", "text").alias("place"), "text",
+    )
     for r in range(p.rounds if len(keys) else 0):
         mean = (
-            texts.where(F.coalesce(F.col("turn"), F.lit(0)) == r).select("text")
-            .mapInArrow(_trained(table, learned, rest, shape, flat, p.rate, p.lane_tokens),
+            dealt.where(F.col("turn") == r).repartition("learner").sortWithinPartitions("learner", "place", "text")
+            .select("learner", "text").mapInArrow(_trained(table, learned, rest, shape, flat, p.rate, p.lane_tokens),
                         "i int, weighted double, seen double")
             .groupBy("i").agg((F.sum("weighted") / F.sum("seen")).alias("w"))
             .collect()  # as many rows as the model has weights
