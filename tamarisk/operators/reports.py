@@ -113,9 +113,9 @@ def verdict_cards(
     shown = lambda c: F.when(F.col("risk_level") != "Safe", c)
     status = F.when(
         F.col("risk_level") == "Malicious",
-        F.when(done, "Previously quarantined. This email is currently in your Trash folder.").when(
+        F.when(done, fv.CARD_STILL_IN_TRASH).when(
             F.col("action_taken") == "MOVE_TO_TRASH",
-            F.concat(F.lit("Moved to Trash. "), text_or_empty(F.col("quarantine_reason"))),
+            F.concat(F.lit(fv.CARD_MOVED), text_or_empty(F.col("quarantine_reason"))),
         ),
     )
     return scored.select(
@@ -181,7 +181,7 @@ def _intel_lines(intel: Column) -> Column:
         has_text(r["type_description"]), F.concat(F.lit("  Type: "), r["type_description"])
     )
     return lines(
-        F.lit("------ THREAT INTELLIGENCE ------"),
+        F.lit(fv.ALERT_INTEL),
         _non_empty(_engine_lines(intel["url_results"], "URL: ", threat_names)),
         _non_empty(_engine_lines(intel["file_results"], "Attachment hash: ", type_line)),
         abuse,
@@ -198,10 +198,10 @@ def _ai_lines(scored: DataFrame) -> Column:
     )
     damage = ai_damage(scored)
     present = lines(
-        F.lit(fv.ALERT_AI_HEADING), F.lit("Main findings:"), _non_empty(findings), F.lit(""),
+        F.lit(fv.ALERT_AI_HEADING), F.lit(fv.ALERT_FINDINGS), _non_empty(findings), F.lit(""),
         F.when(
             damage.isNotNull(),
-            lines(F.lit("Potential damage:"), F.concat(F.lit("  "), damage), F.lit("")),
+            lines(F.lit(fv.ALERT_DAMAGE), F.concat(F.lit("  "), damage), F.lit("")),
         ),
     )
     return F.when(F.col("ai_available"), present).otherwise(absent)
@@ -218,7 +218,7 @@ def security_alerts(
     sender = text_or(F.col("from_email"), fv.UNKNOWN_SENDER)
     level, points = F.col("risk_level"), F.col("score").cast("string")
     has_intel = "intel" in scored.columns
-    field = lambda label, c: F.concat(F.lit(label.ljust(20)), c)
+    field = lambda name, c: F.concat(F.lit(fv.ALERT_FIELDS[name].ljust(20)), c)
     subject = F.concat(
         F.lit(params.subject_tag + " "), _by_level(fv.ALERT_MARK), F.lit(" "), F.upper(level),
         F.lit(" ["), F.col("threat_category"), F.lit("] from "), sender, F.lit(" — "), points,
@@ -231,24 +231,24 @@ def security_alerts(
     )
     body = lines(
         *[F.lit(t) for t in fv.ALERT_HEAD], opening, F.lit(""),
-        F.lit("------ INCIDENT METADATA ------"),
-        field("Detected at:", iso_utc(F.col(detected_at))),
-        field("Recipient:", text_or(F.col("mailbox_id"), "(unknown)")),
-        field("Malicious rate:", F.concat(points, F.lit(" / 100"))),
-        field("Risk Level:", level),
-        field("Threat Category:", F.col("threat_category")),
-        field("Action Taken:", _by_level(fv.ALERT_ACTION)), F.lit(""),
-        F.lit("------ SENDER ------"),
-        field("From:", sender),
-        field("Reply-To:", text_or(F.col("reply_to_email"), "(none)")),
-        field("Sender domain:", text_or_empty(F.col("from_domain"))),
-        F.when(has_text(ip), field("Sender IP:", ip)), F.lit(""),
+        F.lit(fv.ALERT_METADATA),
+        field("detected", iso_utc(F.col(detected_at))),
+        field("recipient", text_or(F.col("mailbox_id"), "(unknown)")),
+        field("rate", F.concat(points, F.lit(" / 100"))),
+        field("level", level),
+        field("category", F.col("threat_category")),
+        field("action", _by_level(fv.ALERT_ACTION)), F.lit(""),
+        F.lit(fv.ALERT_SENDER),
+        field("from", sender),
+        field("reply_to", text_or(F.col("reply_to_email"), "(none)")),
+        field("domain", text_or_empty(F.col("from_domain"))),
+        F.when(has_text(ip), field("ip", ip)), F.lit(""),
         _ai_lines(scored),
-        F.lit("------ EMAIL CONTENT ------"),
-        field("Subject:", text_or_empty(F.col("subject"))),
-        F.lit("Body snippet:"), text_or_empty(F.col("alert_snippet")), F.lit(""),
+        F.lit(fv.ALERT_CONTENT),
+        field("subject", text_or_empty(F.col("subject"))),
+        F.lit(fv.ALERT_SNIPPET), text_or_empty(F.col("alert_snippet")), F.lit(""),
         *([_intel_lines(F.col("intel"))] if has_intel else []),
-        F.lit("------ SIGNALS FIRED ------"), _non_empty(raised), F.lit(""),
+        F.lit(fv.ALERT_SIGNALS), _non_empty(raised), F.lit(""),
         F.lit(fv.ALERT_END), F.lit(""),
         F.lit(f"This is an automated alert from {params.product_name}."),
     )
@@ -273,14 +273,14 @@ def recipient_notices(scored: DataFrame, params: RiskParams = RiskParams()) -> D
         ).otherwise(reason)
     damage = ai_damage(scored)
     body = lines(
-        F.lit(fv.NOTICE_TITLE), F.lit(""), F.lit("Hi,"), F.lit(""),
+        F.lit(fv.NOTICE_TITLE), F.lit(""), F.lit(fv.NOTICE_GREETING), F.lit(""),
         F.concat(F.lit(fv.NOTICE_OPENING), sender, F.lit(".")), F.lit(""),
-        F.lit("WHAT WE DID"), F.lit(fv.NOTICE_ACTION), F.lit(""),
-        F.lit("WHY WE FLAGGED IT"), reason, F.lit(""),
+        F.lit(fv.NOTICE_DID), F.lit(fv.NOTICE_ACTION), F.lit(""),
+        F.lit(fv.NOTICE_WHY), reason, F.lit(""),
         F.when(
-            damage.isNotNull(), lines(F.lit("WHAT COULD HAVE HAPPENED"), damage, F.lit(""))
+            damage.isNotNull(), lines(F.lit(fv.NOTICE_COULD), damage, F.lit(""))
         ),
-        F.lit("WHAT YOU SHOULD DO"), *[F.lit(t) for t in fv.NOTICE_ADVICE], F.lit(""),
+        F.lit(fv.NOTICE_SHOULD), *[F.lit(t) for t in fv.NOTICE_ADVICE], F.lit(""),
         F.lit(f"Your SOC team ({params.soc_address}) has been notified with full incident details."),
         F.lit(""), F.lit(f"— {params.product_name}"),
     )

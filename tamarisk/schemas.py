@@ -77,9 +77,6 @@ SIGNAL = (
     "explanation:string>"
 )
 SUFFIX_RULE = "suffix string"
-ATTACHMENT_BYTES = (
-    "message_id string, pos int, filename string, mime_type string, content binary"
-)
 
 
 def fields_of(struct_ddl: str) -> list[str]:

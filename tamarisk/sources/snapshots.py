@@ -54,6 +54,19 @@ def read_answers(spark, path: str, fmt: str = "parquet") -> DataFrame:
     return read_table(spark, path, schemas.RAW_ANSWER, fmt)
 
 
+def read_reputation_bodies(spark, path: str, fmt: str = "json") -> DataFrame:
+    """Stored reputation answers, one per looked-up target: ``kind, target, body``."""
+    return read_table(spark, path, schemas.REPUTATION_BODY, fmt)
+
+
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Public suffix rules from text files in the list's own format: one rule a line, up to the
+    first blank; blank lines and lines that begin with ``//`` are none."""
+    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    rules = spark.read.text(path).select(F.lower(rule).alias("suffix"))
+    return rules.filter((F.col("suffix") != "") & ~F.col("suffix").startswith("//")).distinct()
+
+
 def read_attachment_files(spark: SparkSession, path: str) -> DataFrame:
     """Attachment bytes from files: ``path, size, content``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

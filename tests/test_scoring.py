@@ -13,7 +13,7 @@ from tamarisk.operators import scoring as sc
 from tamarisk.params import RiskParams
 from tests.test_features import one_message
 
-# layer points of the flags, written down again on purpose
+# fixed values: layer points of the flags, written down again on purpose
 IDENTITY = {
     "display_name_spoofing": 50, "reply_to_mismatch": 30, "free_provider_spoofing": 30,
     "suspicious_sender_domain": 20, "domain_recently_registered": 30, "is_first_time_sender": 20,

@@ -10,6 +10,7 @@ from tamarisk.operators import features as ft
 from tamarisk.operators import history as hist
 from tamarisk.operators import intel as ti
 from tamarisk.operators import scoring as sc
+from tamarisk.operators.lineage import new_folder
 from tamarisk.operators.redirects import expand_urls
 from tamarisk.params import RiskParams
 from tamarisk.plans.verdicts import verdicts
@@ -375,7 +376,10 @@ def engine_snapshot(spark, sf):
             ).alias("data")
         )
     )
-    raw = vt.select("kind", "target", body.alias("body"))
+    # stored as they are kept, one JSON line per answer
+    folder = new_folder(spark, "bodies")
+    vt.select("kind", "target", body.alias("body")).write.json(folder)
+    raw = snap.read_reputation_bodies(spark, folder)
     broken = vt.select(
         "kind", "target",
         F.lit('{"data": {"attributes": {"last_analysis_stats": {"malicious": "many"}}}}').alias("body"),

@@ -9,13 +9,16 @@ from tamarisk.functions import text as tx
 from tamarisk.functions import urls as ur
 from tamarisk.operators import mime
 from tamarisk.operators.intel import hash_rows, url_rows
+from tamarisk.operators.lineage import new_folder
 from tamarisk.operators.suffixes import with_registered_domains
+from tamarisk.sources import snapshots as snap
 from workload import duck, mail
 from workload.mail import messages, table
 from workload.registry import query
 
 # --- URLs in pages -----------------------------------------------------------
 
+# fixed values: anchors and URLs put into the pages
 _HTML = """html || CASE page_id % 5
  WHEN 0 THEN '<a href="https://shop.example/' || CAST(page_id AS STRING) || '">Buy &amp;lt; <b>now</b>  &nbsp; </a>'
  WHEN 1 THEN '<A class="x" HREF=''HTTP://Evil.Example.RU:8080/a''>pay<b>pal</b>.com</A> https://plain.example/x?p=' || CAST(page_id AS STRING)
@@ -28,6 +31,7 @@ def _pages(spark, sf):
     return table(spark, sf, "pages").selectExpr("page_id", "url", f"{_HTML} AS html")
 
 
+# fixed values: the patterns of anchors and URLs
 _DUCK_PAGES = f"""WITH p AS (SELECT page_id, url, {_HTML} AS html FROM pages),
 an AS (SELECT page_id, i, h[i] AS href, t[i] AS inner_html FROM (SELECT page_id,
     regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"'']+)["''][^>]*>([\\s\\S]*?)</a>', 1) AS h,
@@ -142,9 +146,7 @@ def _suffix_rules(spark, sf):
     return fixed.unionByName(langs)
 
 
-@query(
-    "registered_domains",
-    f"""WITH h AS (SELECT page_id, {_HOST.format(u='url')} AS host FROM pages UNION ALL
+_REGISTERED = f"""WITH h AS (SELECT page_id, {_HOST.format(u='url')} AS host FROM pages UNION ALL
         SELECT page_id + 1000000, 'a' || page_id || CASE page_id % 5 WHEN 0 THEN '.b.co.uk' WHEN 1 THEN '.x.ck' WHEN 2 THEN '.y.www.ck'
           WHEN 3 THEN '.z.en.example' ELSE '.unknown' END FROM pages)
       SELECT page_id, CASE
@@ -153,20 +155,38 @@ def _suffix_rules(spark, sf):
         WHEN regexp_matches(host, '(^|[.])(co[.]uk|example[.]com|example[.]net|(en|fr|de|es|zh|ja|it|pt|nl|ru)[.]example)$')
           THEN nullif(regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), '')
         WHEN regexp_matches(host, '[.](com|net|org)$') THEN nullif(regexp_extract(host, '([^.]+[.][^.]+)$', 1), '')
-        ELSE NULL END AS url_domain FROM h""",
-)
-def registered_domains(spark, sf):
-    pages = table(spark, sf, "pages")
-    hosts = pages.select("page_id", ur.url_host(F.col("url")).alias("url_domain")).unionByName(
+        ELSE NULL END AS url_domain FROM h"""
+
+
+def _page_hosts(pages):
+    """Hosts of the pages' URLs, and as many made ones."""
+    return pages.select("page_id", ur.url_host(F.col("url")).alias("url_domain")).unionByName(
         pages.selectExpr(
             "page_id + 1000000 AS page_id",
             "'a' || page_id || CASE page_id % 5 WHEN 0 THEN '.b.co.uk' WHEN 1 THEN '.x.ck' WHEN 2 THEN '.y.www.ck'"
             " WHEN 3 THEN '.z.en.example' ELSE '.unknown' END AS url_domain",
         )
     )
+
+
+@query("registered_domains", _REGISTERED)
+def registered_domains(spark, sf):
+    hosts = _page_hosts(table(spark, sf, "pages"))
     return with_registered_domains(hosts, "url_domain", _suffix_rules(spark, sf), ["page_id"], fallback=False)
 
 
+@query("registered_domains_from_list", _REGISTERED)
+def registered_domains_from_list(spark, sf):
+    """The same rules, read from text files in the format of the public list."""
+    folder = new_folder(spark, "suffixes")
+    rules = _suffix_rules(spark, sf)
+    lines = rules.select(F.explode(F.array(F.concat(F.lit("// for "), "suffix"), F.lit(""), F.concat(F.lit("  "), F.upper("suffix"), F.lit(" trailing"))))
+                         .alias("value"))
+    lines.write.text(folder)
+    pages = table(spark, sf, "pages")
+    return with_registered_domains(_page_hosts(pages), "url_domain", snap.read_suffix_rules(spark, folder), ["page_id"], fallback=False)
+
+
 @query(
     "sender_domains",
     duck.with_mail() + """SELECT message_id, CASE from_domain WHEN 'partner.example.com' THEN 'partner.example.com'
@@ -196,6 +216,7 @@ def sender_addresses(spark, sf):
     )
 
 
+# fixed values: private address ranges
 _PRIVATE = "'^(10|172[.](1[6-9]|2[0-9]|3[01])|192[.]168|127|0|169[.]254|255)[.]'"
 
 
@@ -242,6 +263,26 @@ def attachment_hashes(spark, sf):
     return mime.hash_attachments(files, max_bytes=5000)
 
 
+_FILE_PARTS = 64
+
+
+@query(
+    "attachment_files",
+    f"SELECT lang, doc_id % {_FILE_PARTS} AS part, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size,"
+    " CASE WHEN sum(strlen(coalesce(text, '')) + 1) <= 200000 THEN sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) END AS sha256"
+    " FROM documents GROUP BY ALL",
+)
+def attachment_files(spark, sf):
+    """Texts stored as files, several to a file, read back as bytes; larger files get no hash."""
+    folder = new_folder(spark, "files")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", (F.col("doc_id") % _FILE_PARTS).alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    laid_out = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id")
+    laid_out.select("lang", "part", "value").write.partitionBy("lang", "part").text(folder)
+    files = mime.hash_attachments(snap.read_attachment_files(spark, folder), max_bytes=200_000)
+    named = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
+    return files.select(named("lang").alias("lang"), named("part").cast("long").alias("part"), "size", "sha256")
+
+
 @query(
     "lookup_hashes",
     duck.with_mail() + "SELECT message_id, CAST(pos - 1 AS INT) AS pos, sha256 FROM ma WHERE pos <= 3 AND sha256 IS NOT NULL",

@@ -333,11 +333,13 @@ def quarantined_answers(spark, sf):
 
 # --- redaction ---------------------------------------------------------------
 
+# fixed values: personal data put into the texts
 _INJECTED = """text || CASE doc_id % 10 WHEN 1 THEN ' pay GB29 NWBK 6016 1331 9268 19 now'
  WHEN 2 THEN ' id 123-45-6789 end' WHEN 3 THEN ' https://x.example/?tok=' || 'Ab0_' || repeat('xyz-', 9) || '&a=1'
  WHEN 4 THEN ' call +1 (555) 123-4567 or 12345 6' ELSE '' END"""
 
 
+# fixed values below: the patterns that are redacted
 def duck_redact(source: str) -> str:
     """CTEs ``r0(k, t)`` -> ``rx(k, t)``."""
     chain = "t"
