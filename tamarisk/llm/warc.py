@@ -51,7 +51,11 @@ def payload_digest(payload: Column) -> Column:
 
 def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                params: WarcParams = WarcParams()) -> DataFrame:
-    """page_id, url, payload, digest, and for revisits refers_to: the largest id with an equal payload."""
+    """page_id, url, payload, digest, and for revisits refers_to: the largest id with an equal payload.
+
+    A null payload is an empty one.  Rows that repeat the largest id are all responses; rows
+    without an id revisit a row with one, and are responses where there is none.
+    """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")
@@ -126,28 +130,37 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int, bool]:
     return b"".join(out), pos - len(unpack.unused_data), unpack.eof
 
 
-def _parsed(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
+@dataclass(frozen=True)
+class Broken:
+    """What is wrong with a record, and where it ends if its end mark stands where its length says."""
+
+    why: str
+    end: int | None = None
+
+
+def _parsed(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | Broken:
     """Headers, block and end of the record that begins at a place, or what is wrong with it."""
     if not raw.startswith(VERSION, at):
-        return "no version line"
+        return Broken("no version line")
     stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
-        return "no end of headers"
+        return Broken("no end of headers")
     head = {}
     for line in raw[at:stop].split(b"\r\n")[1:]:
         name, _, value = line.decode("utf-8", "replace").partition(":")
         head[name.strip().lower()] = value.strip()
     if not head.get("content-length", "").isdigit():
-        return "no content length"
+        return Broken("no content length")
     begin = stop + 4
     end = begin + int(head["content-length"])
     if raw[end : end + 4] != b"\r\n\r\n":
-        return "no end of record"
+        return Broken("no end of record")
     block = raw[begin:end]
     _, _, payload = block.partition(b"\r\n\r\n")
     want = head.get("warc-payload-digest", "").removeprefix("sha1:")
     if head.get("warc-type") == "response" and want and want != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-        return "payload digest differs"
+        # what looks like a record in there is part of this one's payload
+        return Broken("payload digest differs", end + 4)
     return head, block, end + 4
 
 
@@ -159,9 +172,9 @@ def _records(raw: bytes, sound: bool) -> tuple[list[tuple[dict, bytes]], str]:
     found, why, pos = [], "", 0
     while 0 <= pos < len(raw):
         one = _parsed(raw, pos)
-        if isinstance(one, str):
-            why = why or one
-            pos = raw.find(VERSION, pos + 1)
+        if isinstance(one, Broken):
+            why = why or one.why
+            pos = raw.find(VERSION, pos + 1) if one.end is None else one.end
         elif not sound and one[2] == len(raw):
             break
         else:
@@ -185,7 +198,7 @@ def salvage(content: bytes):
             return found, end, wrong, end if sound else None
         if content.startswith(VERSION, at):
             one = _parsed(content, at)
-            return ([], None, one, None) if isinstance(one, str) else ([one[:2]], one[2], "", one[2])
+            return ([], None, one.why, one.end) if isinstance(one, Broken) else ([one[:2]], one[2], "", one[2])
         return [], None, "no member or version line", None
 
     while at < len(content):

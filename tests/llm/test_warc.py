@@ -79,3 +79,29 @@ def test_salvage_inside_members():
     assert [(a, b) for a, b, h, _ in found if h is None] == [(0, len(cut))]
     hurt = cut + b"\xff" * 200 + whole[len(cut) + 200 :]
     assert [h[url] for _, _, h, _ in salvage(hurt + tail) if h][:4] == [f"http://h/{i}" for i in range(4)]
+
+
+def test_a_record_inside_a_damaged_payload_is_none(tmp_path):
+    date = "2024-01-01T00:00:00Z"
+    inner = record(77, "http://inside/", b"inner", digest(b"inner"), None, date)
+    outer_pay = b"before " + inner + b" after"
+    outer = record(1, "http://outer/", outer_pay, digest(outer_pay), None, date).replace(b"before", b"BEFORE", 1)
+    after = record(2, "http://after/", b"x", digest(b"x"), None, date)
+    for content, end in ((outer + after, len(outer)), (gzip.compress(outer + after, mtime=0), None)):
+        found = list(salvage(content))
+        assert [h["warc-target-uri"] for _, _, h, _ in found if h] == ["http://after/"]
+        gaps = [(a, b, w) for a, b, h, w in found if h is None]
+        assert gaps == [(0, end or len(content), "payload digest differs")]
+    # where the end mark is gone too, the search goes on inside
+    short = outer[: len(outer) - 8] + after
+    assert [h["warc-target-uri"] for _, _, h, _ in salvage(short) if h] == ["http://inside/", "http://after/"]
+
+
+def test_nulls_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, None, None), (None, "u", "same"), (2, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_archives(with_roles(pages), str(tmp_path / "w"))
+    got = read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) and all(r.gap_reason is None for r in got)
+    assert sorted(r.payload_bytes for r in got) == [0, 0, 4, 4, 4]
+    assert {r.refers_to for r in got if r.record_type == "revisit" and r.payload_bytes == 4} <= {1}
