@@ -468,7 +468,7 @@ def _asked(m):
     " has_user_replied, CAST(spam_count AS INT) AS spam_count, CAST(trash_count AS INT) AS trash_count, true AS available FROM hs",
 )
 def sender_history(spark, sf):
-    return hist.thread_counts(_asked(messages(spark, sf)), mail.mailbox(spark, sf))
+    return hist.thread_counts(_asked(messages(spark, sf)), mail.mailbox(spark, sf)).drop("mailbox_id")
 
 
 @query(

@@ -288,7 +288,7 @@ def attachment_files(spark, sf):
     duck.with_mail() + "SELECT message_id, CAST(pos - 1 AS INT) AS pos, sha256 FROM ma WHERE pos <= 3 AND sha256 IS NOT NULL",
 )
 def lookup_hashes(spark, sf):
-    return hash_rows(messages(spark, sf))
+    return hash_rows(messages(spark, sf)).select("message_id", "pos", "sha256")
 
 
 @query(
@@ -296,7 +296,7 @@ def lookup_hashes(spark, sf):
     duck.with_mail() + "SELECT message_id, CAST(pos - 1 AS INT) AS pos, url, domain FROM mu WHERE pos <= 5",
 )
 def lookup_urls(spark, sf):
-    return url_rows(messages(spark, sf))
+    return url_rows(messages(spark, sf)).select("message_id", "pos", "url", "domain")
 
 
 # --- raw messages ---------------------------------------------------------------
