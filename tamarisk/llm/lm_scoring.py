@@ -40,7 +40,7 @@ class LmParams:
     classes: int = 32
     hidden: int = 16
     rounds: int = 4
-    learner_tokens: int = 400_000
+    learner_tokens: int = 1_000_000
     rate: float = 0.6
     frequent: int = 1 << 18
     lane_tokens: int = 4_000_000  # tokens a task lays out at a time
