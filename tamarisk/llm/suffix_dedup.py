@@ -15,7 +15,9 @@ start the smallest document that has its string.  Anchors with more than
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +75,7 @@ def anchors(chunk: Chunk, p: RepeatParams):
     return text, at - chunk.offsets[text], span, h[first], span_hash(prefix, at, at + span - 1 + p.length)
 
 
-_OCC = "doc_id long, v int, h long, f long, at long, span int"
+_OCC = "doc_id long, v long, h long, f long, at long, span int"
 
 
 def _anchored(p: RepeatParams):
@@ -84,7 +86,7 @@ def _anchored(p: RepeatParams):
                 text, at, span, h, f = anchors(chunk, p)
                 row = chunk.rows.start + text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[row], pa.int64()), pa.array(v[row], pa.int32()), pa.array(signed(h)),
+                    [pa.array(doc[row], pa.int64()), pa.array(v[row], pa.int64()), pa.array(signed(h)),
                      pa.array(signed(f)), pa.array(at, pa.int64()), pa.array(span, pa.int32())],
                     ["doc_id", "v", "h", "f", "at", "span"])
 
@@ -216,6 +218,21 @@ def _removed(p: RepeatParams):
     return run
 
 
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """The written table of a step.
+
+    Spark deletes the shuffle files of a step when the driver's collector finds its plan
+    unused; without a hint that may come after the next steps have filled the disks.
+    """
+    out, jvm = written(df, name), df.sparkSession.sparkContext._jvm
+    del df
+    for _ in range(3):  # what holds a plan goes first, then the plan, then its files
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False,
                    params: RepeatParams = RepeatParams()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for.
@@ -229,34 +246,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    base = written(
+    base = _step(
         texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"),
                      F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "repeat-base")
     first = base.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    placed = written(join_statistics(base, first, "digest", "n", base.count()).drop("n"), "repeat-placed")
-    # one row per distinct text; v tells apart texts that share an id
+    placed = _step(join_statistics(base, first, "digest", "n", base.count()).drop("n"), "repeat-placed")
+    # one row per distinct text; v tells apart texts that share an id, and is 0 where an id has one
     one = placed.where(f"doc_id = head and n_bytes >= {p.length}").select("doc_id", "digest").distinct()
-    number = one.withColumn("v", F.expr("row_number() over (partition by doc_id order by digest)").cast("int"))
-    heads = written(
+    per_id = one.groupBy("doc_id").agg(F.count("*").alias("n"))
+    number = join_statistics(one, per_id, "doc_id", "n", one.count()).select(
+        "doc_id", "digest", F.when(F.col("n") > 1, F.xxhash64("digest")).otherwise(0).alias("v")
+    )
+    heads = _step(
         texts.join(number.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
         .select("doc_id", "v", "digest", "text"), "repeat-heads")
 
     def occurrences():
         return heads.select("doc_id", "v", "text").mapInArrow(_anchored(p), _OCC)
 
-    shared = written(
+    shared = _step(
         occurrences().groupBy("h").agg(
             F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("f").alias("f0"),
             F.max("f").alias("f1"), F.count("*").alias("n"))
         .where("least < most").select("h", "least", (F.col("f0") == F.col("f1")).alias("same"), "n"), "repeat-anchors")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    live = written(
+    live = _step(
         join_statistics(occurrences(), shared, "h", "n", total).where("not same or doc_id > least")
         .drop("n"), "repeat-live")
     equal = live.where("same").select("doc_id", "v", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("span")).alias("b")).alias("m"))
 
     mixed = live.where("not same").select("doc_id", "v", "h", "f", "at", "span")
-    reps = written(
+    reps = _step(
         mixed.groupBy("h", "f").agg(F.min(F.struct("doc_id", "v", "at", "span")).alias("x"), F.count("*").alias("n")),
         "repeat-fragments")
     crowd = reps.groupBy("h").agg(F.count("*").alias("fragments")).where(F.col("fragments") > p.group_fragments)
@@ -265,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("x.doc_id", "x.v", F.struct("h", "f", "x.at", "x.span", F.col("fragments").isNotNull().alias("many")).alias("y"))
         .groupBy("doc_id", "v").agg(F.collect_list("y").alias("ys"))
     )
-    frags = written(
+    frags = _step(
         heads.join(asked.hint("merge"), ["doc_id", "v"]).select("doc_id", "text", "ys")
         .mapInArrow(_cut_out(p), "h long, f long, many boolean, least long, frag binary"), "repeat-texts")
     few = (
@@ -280,7 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = string.agg(F.count("*")).first()[0]
     many = join_statistics(string, owners, "w", "c", several).groupBy("h", "f").agg(
         F.collect_list(F.struct(F.col("o").alias("from_"), (F.col("o") + 1).alias("to_"), "owner")).cast(_RUN).alias("runs"))
-    told = written(few.unionByName(many), "repeat-owners")
+    told = _step(few.unionByName(many), "repeat-owners")
     key = F.struct("h", "f").alias("hf")
     stats = told.join(reps.select("h", "f", "n"), ["h", "f"]).select(key, "runs", "n")
     met = join_statistics(mixed.select("doc_id", "v", "at", key), stats, "hf", "n", mixed.count())
