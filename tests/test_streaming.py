@@ -11,6 +11,7 @@ from tests.conftest import SF, rows
 from workload import mail
 from workload.queries_intel import snapshots
 from workload.queries_stream import DOCUMENTS, EVENTS
+from workload.registry import QUERIES
 
 
 def split_by_time(df, path, column, n):
@@ -100,3 +101,18 @@ def test_full_verdict_over_batches(spark, tmp_path):
     got = {r.has_history for r in jobs.run_batches_to_table(
         full_rows(read(), box, answers), lambda b: b.select(F.col("sender_history").isNotNull().alias("has_history")), "h").collect()}
     assert got == {True}
+
+
+def test_tables_of_one_file_and_of_many(spark, tmp_path):
+    """A folder of part files is read whole, like one file; no file at all gives no rows."""
+    docs, box = mail.table(spark, SF, "documents"), mail.table(spark, SF, "events")
+    many = tmp_path / "many"
+    docs.repartition(3).write.parquet(str(many / "documents.parquet"))
+    box.repartition(2).write.parquet(str(many / "events.parquet"))
+    for name in ("stream_verdicts_intel", "stream_verdicts_offline", "stream_act_once"):
+        want = rows(QUERIES[name](spark, SF))
+        assert want and rows(QUERIES[name](spark, str(many))) == want
+    (tmp_path / "none").mkdir()
+    stream = mail.messages_from(jobs.read_stream(spark, str(tmp_path / "none"), DOCUMENTS))
+    out = jobs.run_batches_to_table(stream, lambda b: offline_verdicts(b).select("message_id", "score"), "t")
+    assert out.columns == ["message_id", "score"] and out.count() == 0
