@@ -2,8 +2,8 @@
 
 A text is cut into units, before spaces and at line ends; every way to spell a unit with
 pieces is a path of its lattice, with probability proportional to the product of the
-pieces' weights.  Forward sums are computed once for each distinct unit of a group of
-texts, byte by byte over all of them; then every occurrence is sampled from its end to its
+pieces' weights.  Only the pieces that end at a place are held there.  Forward sums are computed
+once for each distinct unit of a group of texts, byte by byte over all of them; then every occurrence is sampled from its end to its
 start.  A unit of any length is one lattice: those longer than ``LONG`` bytes are worked
 through on their own, in blocks that hand on the last forward sums, with 8 bytes of
 memory a byte and tables for one block.  The random numbers are hashes of the row's key and
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.textbytes import HashTable, chunks, mix, prefix_hash, span_hash
+from tamarisk.llm.textbytes import chunks, mix, prefix_hash, span_hash
 
 _U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: bytes of a unit that is worked through on its own, of a group of shorter ones, of a block, of a leap
-LONG, PART, BLOCK, STEP = 4096, 1 << 21, 1 << 14, 8
+LONG, PART, BLOCK, STEP = 4096, 1 << 20, 1 << 14, 8
 
 
 @dataclass(frozen=True)
@@ -80,18 +80,32 @@ def load_pieces(path: str = MODEL, params: SamplingParams = SamplingParams()) ->
 
 
 class Lattice:
+    """Where pieces end in a text: the pieces are read backwards in a trie of half bytes."""
+
     def __init__(self, pieces: Pieces):
         order = pieces.ids
         self.longest = pieces.longest
         flat = np.frombuffer(b"".join(pieces.spelled[i] for i in order), dtype=np.uint8)
-        ends = np.cumsum([len(pieces.spelled[i]) for i in order])
-        starts = ends - np.array([len(pieces.spelled[i]) for i in order])
-        self.length = ends - starts
-        hashed = span_hash(prefix_hash(flat), starts, ends)
-        self.tables = []
-        for n in range(1, self.longest + 1):
-            mine = np.flatnonzero(self.length == n)
-            self.tables.append((HashTable(hashed[mine]), order[mine].astype(np.int32)) if len(mine) else None)
+        length = np.array([len(pieces.spelled[i]) for i in order])
+        last = np.cumsum(length) - 1
+        # node 0 is where no piece goes on, node 1 the root
+        node, nodes = np.ones(len(order), dtype=np.int64), 2
+        slots, kids, ended = [], [], []
+        for d in range(self.longest):
+            on = np.flatnonzero(length > d)
+            byte = flat[last[on] - d]
+            for half in (byte >> 4, byte & 15):
+                slot, which = np.unique(node[on] * 16 + half, return_inverse=True)
+                node[on] = nodes + which
+                slots.append(slot)
+                kids.append(np.arange(nodes, nodes + len(slot)))
+                nodes += len(slot)
+            ended.append(on[length[on] == d + 1])
+        self.next = np.zeros(16 * nodes, dtype=np.int32)
+        self.next[np.concatenate(slots)] = np.concatenate(kids)
+        self.piece = np.full(nodes, -1, dtype=np.int32)
+        ended = np.concatenate(ended)
+        self.piece[node[ended]] = order[ended]
         self.weight = np.append(pieces.weight, 0.0)  # the last for "no piece"
 
     @staticmethod
@@ -130,16 +144,30 @@ class Lattice:
         first = np.append(0, base)[np.searchsorted(starts, offsets[:-1])] if len(offsets) > 1 else np.empty(0, np.int64)
         return np.concatenate(ids), np.append(first, base[-1])
 
+    def _matches(self, data: np.ndarray, inside: np.ndarray, back):
+        """Pieces that end at each place, by length: ``(places, length, pieces)``.
+
+        ``inside`` counts from the start of the place's unit; ``back(i, n)`` is where the byte
+        stands that comes ``n`` bytes before that of the places ``i``.
+        """
+        live, node = np.arange(len(inside)), np.ones(len(inside), dtype=np.int32)
+        for n in range(1, self.longest + 1):
+            byte = data[back(live, n - 1)]
+            node = self.next[node * 16 + (byte >> 4)]
+            node = self.next[node * 16 + (byte & 15)]
+            found = self.piece[node]
+            hit = np.flatnonzero(found >= 0)
+            yield live[hit], n, found[hit]
+            on = np.flatnonzero((node > 0) & (inside[live] >= n))
+            if not len(on):
+                return
+            live, node = live[on], node[on]
+
     def _choices(self, data: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Per place and length, the piece of that length that ends there, or -1; ``inside`` counts from its unit's start."""
-        prefix = prefix_hash(data)
         choice = np.full((len(data), self.longest), -1, dtype=np.int32)
-        for n in range(1, self.longest + 1):
-            entry = self.tables[n - 1]
-            ends_here = np.flatnonzero(inside >= n - 1) + 1
-            if entry is not None and len(ends_here):
-                found = entry[0].find(span_hash(prefix, ends_here - n, ends_here))
-                choice[ends_here - 1, n - 1] = np.where(found >= 0, entry[1][found], -1)
+        for at, n, found in self._matches(data, inside, lambda i, k: i - k):
+            choice[at, n - 1] = found
         return choice
 
     def _sample_short(self, data, starts, ends, key) -> tuple[np.ndarray, np.ndarray]:
@@ -150,35 +178,32 @@ class Lattice:
         back = np.empty_like(rank)
         back[rank] = np.arange(len(rank))
         which, first, size = back[which], first[rank], size[rank]
-        # the bytes of the distinct units, end to end
-        at = np.cumsum(size) - size
-        own = data[np.repeat(starts[first] - at, size) + np.arange(at[-1] + size[-1])]
-        # after r bytes, the units of r bytes and more are the first ones
+        # place off[r] + u stands behind r bytes of unit u; the units of r bytes and more are the first ones
         width = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")
-        choice = self._choices(own, np.arange(len(own)) - np.repeat(at, size))
-        sums = np.zeros(choice.shape, dtype=np.float32)
-        # forward sums of the last places, newest first; only ratios within a unit matter
-        ahead = np.zeros((len(size), self.longest))
-        ahead[:, 0] = 1
-        for r in range(1, len(width)):
-            m = width[r]
-            row = at[:m] + (r - 1)
-            run = np.cumsum(ahead[:m] * self.weight[choice[row]], axis=1)
-            total = run[:, -1:]
-            sums[row] = run / total
-            ahead[:m, 1:] = ahead[:m, :-1] / total
-            ahead[:m, 0] = 1
+        off = np.append(0, np.cumsum(width))
+        inside = np.repeat(np.arange(len(width)), width)
+        unit = np.arange(off[-1]) - off[inside]
+        own = data[starts[first][unit] + np.maximum(inside - 1, 0)]
+        begin, length, piece = self._entries(own, off, inside, unit)
+        share = self._shares(off, begin, inside, unit, length, piece)
+        # what the shorter pieces of the place take; the longer ones are tried first
+        below = np.append(np.float32(0), share[:-1])
+        below[begin[:-1][np.diff(begin) > 0]] = 0
         # backward: all occurrences at once
         left = ends - starts
         live = np.arange(len(starts))
         steps = np.zeros(len(starts), dtype=np.int64)
         got = []
         while len(live):
-            now = at[which[live]] + left[live] - 1
-            n = np.minimum((sums[now] <= _uniform(key[live] + _U(len(got)))[:, None]).sum(axis=1) + 1, self.longest)
-            got.append((live, choice[now, n - 1]))
+            at = begin[off[left[live]] + which[live] + 1] - 1
+            draw = _uniform(key[live] + _U(len(got)))
+            go = np.flatnonzero(below[at] > draw)
+            while len(go):
+                at[go] -= 1
+                go = go[below[at[go]] > draw[go]]
+            got.append((live, piece[at]))
             steps[live] += 1
-            left[live] -= n
+            left[live] -= length[at]
             live = live[left[live] > 0]
         base = np.cumsum(steps)
         out = np.empty(base[-1], dtype=np.int32)
@@ -186,6 +211,47 @@ class Lattice:
             out[base[occurrence] - 1 - step] = ids
         return out, steps
 
+    def _entries(self, own, off, inside, unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces by the place where they end, then by length: where a place's begin, their lengths and ids."""
+        u, r = unit[off[1] :], inside[off[1] :]
+        found = list(self._matches(own, r - 1, lambda i, k: off[r[i] - k] + u[i]))
+        count = np.zeros(len(own), dtype=np.int64)
+        for at, _, _ in found:
+            count[off[1] + at] += 1
+        begin = np.append(0, np.cumsum(count))
+        free = begin[:-1].copy()
+        length, piece = np.empty(begin[-1], dtype=np.int16), np.empty(begin[-1], dtype=np.int32)
+        for at, n, ids in found:
+            to = free[off[1] + at]
+            length[to], piece[to] = n, ids
+            free[off[1] + at] += 1
+        return begin, length, piece
+
+    def _shares(self, off, begin, inside, unit, length, piece) -> np.ndarray:
+        """Of the forward sum of a place, the part of its pieces up to each one."""
+        count = np.diff(begin)
+        source = off[np.repeat(inside, count) - length] + np.repeat(unit, count)
+        part = self.weight[piece]
+        # forward sums as fractions and powers of two, so that no length runs out of range
+        fraction, power = np.full(off[-1], 0.5), np.ones(off[-1], dtype=np.int32)
+        for r in range(1, len(off) - 1):
+            here = slice(off[r], off[r + 1])
+            lo, hi = begin[off[r]], begin[off[r + 1]]
+            first = begin[here] - lo
+            came = source[lo:hi]
+            up = power[came]
+            top = np.maximum.reduceat(up, first)
+            part[lo:hi] = np.ldexp(fraction[came] * part[lo:hi], up - np.repeat(top, count[here]))
+            fraction[here], more = np.frexp(np.add.reduceat(part[lo:hi], first))
+            power[here] = more + top
+        place, k = np.flatnonzero(count > 1), 1
+        while len(place):
+            at = begin[place] + k
+            part[at] += part[at - 1]
+            k += 1
+            place = place[count[place] > k]
+        return (part / np.repeat(part[begin[1:][count > 0] - 1], count[count > 0])).astype(np.float32)
+
     def _block(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """The choices at the places ``lo`` to ``hi`` of a unit."""
         a = max(0, lo - self.longest + 1)
@@ -255,27 +321,20 @@ def _encoded(pieces: Pieces, p: SamplingParams):
         lattice = Lattice(pieces)
         for batch in batches:
             keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            n_bytes, ids, counts, same = [], [], [], []
             for chunk in chunks(batch.column(1), p.group_bytes):
                 out, edge = lattice.sample(chunk.data, chunk.offsets, mix(keys[chunk.rows]), p.seed)
                 spelled, at = spelled_out(out, spell, spell_at, spell_len)
-                ids.append(out)
-                counts.append(np.diff(edge))
-                n_bytes.append(np.diff(chunk.offsets))
+                same = np.zeros(len(chunk), dtype=bool)
                 if len(spelled) == len(chunk.data):
                     differ = np.append(0, np.cumsum(spelled != chunk.data))
-                    same.append((at[edge][:-1] == chunk.offsets[:-1]) & (differ[chunk.offsets[1:]] == differ[chunk.offsets[:-1]]))
-                else:
-                    same.append(np.zeros(len(chunk), dtype=bool))
-            counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(n_bytes) if n_bytes else [], pa.int64()),
-                 pa.array(counts, pa.int64()), lists, pa.array(np.concatenate(same) if same else [], pa.bool_())],
-                ["doc_id", "n_bytes", "n_pieces", "pieces", "lossless"],
-            )
+                    same = (at[edge][:-1] == chunk.offsets[:-1]) & (differ[chunk.offsets[1:]] == differ[chunk.offsets[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(out, pa.int32()))
+                # a chunk is handed on as soon as it is done
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[chunk.rows], pa.array(np.diff(chunk.offsets), pa.int64()),
+                     pa.array(np.diff(edge), pa.int64()), lists, pa.array(same, pa.bool_())],
+                    ["doc_id", "n_bytes", "n_pieces", "pieces", "lossless"],
+                )
 
     return run
 

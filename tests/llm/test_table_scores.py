@@ -1,15 +1,17 @@
 """Near-duplicates, shards, URL verdicts and pieces against plain Python."""
 
 import random
+import tracemalloc
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tamarisk.llm.components import components
 from tamarisk.llm.minmax_dedup import NearDupParams, near_duplicates
-from tamarisk.llm.piece_sampling import Lattice, decode, encode, load_pieces
+from tamarisk.llm.piece_sampling import Lattice, SamplingParams, _encoded, decode, encode, load_pieces
 from tamarisk.llm.queries import URL_RULES
 from tamarisk.llm.registry import QUERIES
 from tamarisk.llm.sharding import RingParams, shard_rows
@@ -214,3 +216,26 @@ def test_pieces_query(spark, sf_docs):
     got = QUERIES["op9_piece_sampling"](spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(d for d, _ in sf_docs)
     assert all(r.lossless for r in got)
+
+
+def test_pieces_need_little_memory():
+    """Work and memory follow the pieces that are there, not all lengths that a piece may have."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(600_000)).encode()
+    lattice, data = Lattice(load_pieces()), np.frombuffer(text, dtype=np.uint8)
+    tracemalloc.start()
+    lattice.sample(data, np.array([0, len(text)]), np.array([7], dtype=np.uint64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(text)
+
+
+def test_pieces_come_in_chunks():
+    """A batch of many texts is handed on chunk by chunk, whatever its size."""
+    texts = ["some words " * 9000, None, "", "中文 x"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(texts), pa.array(range(80))], ["doc_id", "text", "key"])
+    out = list(_encoded(load_pieces(), SamplingParams(group_bytes=200_000))(iter([batch])))
+    assert len(out) > 5 and [i for b in out for i in b["doc_id"].to_pylist()] == list(range(80))
+    whole = list(_encoded(load_pieces(), SamplingParams(group_bytes=1 << 30))(iter([batch])))
+    assert pa.Table.from_batches(out).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+    assert all(b["lossless"].to_pylist() == [True] * len(b) for b in out)
