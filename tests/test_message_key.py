@@ -135,3 +135,25 @@ def test_merge_reads_only_the_days_it_changes(spark, tmp_path):
     assert changed and all("2024-01-02" in str(f) for f in changed)
     back = spark.read.parquet(path)
     assert back.count() == scored.count() and back.filter("score = -1").count() == 1
+
+
+def test_many_days_are_listed_and_named_in_few_steps(spark, tmp_path):
+    """Runs of days are one condition each; the folders of a table are listed by few tasks."""
+    from datetime import date, timedelta
+
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(400)] + [date(2030, 1, 1), None]
+    wanted = sinks._on_days(days[::-1])
+    assert str(wanted).count("DATE") + str(wanted).count("between") < 12 and len(str(wanted)) < 400
+    around = days + [date(2023, 12, 31), date(2025, 2, 4), date(2029, 12, 31)]
+    table = spark.createDataFrame([(d,) for d in around], "day date")
+    assert {r.day for r in table.filter(wanted).collect()} == set(days)
+    assert table.filter(sinks._on_days([None])).collect() == [(None,)]
+    path = str(tmp_path / "v")
+    sinks.write_by_day(spark.range(150).selectExpr("CAST(id AS STRING) AS message_id", "CAST(id AS INT) AS score",
+                                                   "timestampadd(DAY, CAST(id AS INT), TIMESTAMP '2024-01-01 00:00:00') AS received_at"), path)
+    cores, tracker = spark.sparkContext.defaultParallelism, spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    assert sinks.read_by_day(spark, path).count() == 150
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds) <= 4 * cores < 150

@@ -121,7 +121,7 @@ def verdicts_by_day(spark, sf):
     again = verdicts(answered, snapshots(spark, sf), mail.mailbox(spark, sf), answers)
     sinks.merge_by_day(sinks.verdict_rows(again).withColumn("answered", F.lit(True)), folder)
     listed = F.sort_array(F.collect_list(F.struct("message_id", F.concat_ws(":", "message_id", "score", "risk_level").alias("t"))))
-    return spark.read.parquet(folder).groupBy("day").agg(
+    return sinks.read_by_day(spark, folder).groupBy("day").agg(
         F.count("*").alias("n"), F.sum("score").alias("scores"), F.count_if("alert").alias("alerts"),
         F.count_if("answered").alias("with_answer"), F.md5(F.array_join(listed["t"], ",")).alias("rows_md5"),
     )
