@@ -4,8 +4,10 @@ Every start of a string of ``length`` bytes has an anchor: the smallest hash of
 inside that string.  Equal strings have equal anchors, so all of them meet in one shard.
 Neighbouring starts with one anchor are one fragment of text.
 
-What moves, in order: equal texts become one class by a grouped minimum; anchors are
-counted with a combine before the shuffle, and those of one document drop out; where all
+What moves, in order: equal texts become one class by a grouped minimum; blocks of texts
+name their anchors, five bytes each and an anchor at most twice a block, and hear which
+of them are named twice; only fragments of those become rows, and anchors of one document
+drop out; where all
 fragments of an anchor are equal they are one class; the others go, each distinct fragment
 once, to shards.  A shard builds a suffix array by induced sorting and permuted common
 prefixes; suffixes with a common prefix of ``length`` bytes are one class, which tells each
@@ -22,25 +24,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.skew import join_statistics
 from tamarisk.llm.suffix_sorting import permuted_prefixes, suffix_array
-from tamarisk.llm.textbytes import Chunk, chunks, prefix_hash, signed, span_hash
+from tamarisk.llm.textbytes import Chunk, chunks, gram_hashes, mix, prefix_hash, signed, span_hash
 from tamarisk.operators.lineage import written
 
 _FRAGMENT = 64  # starts of one fragment at most; longer runs of one anchor are several fragments
+_NAME = 5  # bytes of an anchor's name; anchors with one name are told apart later, by their hashes
+_LOW = np.uint64(64 - 8 * _NAME)
+_CHUNK = 1 << 17  # bytes hashed at once, few enough that the arrays stay in a core's cache
+_LONG = 16  # a text so many times longer than the mean is a block of its own
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """Bytes of a repeated string, bytes of a gram, bounds of a group and of a shard's array."""
+    """Bytes of a repeated string, bytes of a gram, bounds of a group and of a shard's array,
+    bytes of text in a block and of those that one bucket of anchor names stands for."""
 
     length: int = 50
     gram: int = 24
     group_fragments: int = 8192
     array_bytes: int = 1 << 20
+    block_bytes: int = 1 << 21
+    bucket_bytes: int = 1 << 25
 
 
 def anchors(chunk: Chunk, p: RepeatParams):
@@ -49,46 +59,124 @@ def anchors(chunk: Chunk, p: RepeatParams):
     if n < p.length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     prefix = prefix_hash(chunk.data)
-    g = np.arange(n - p.gram + 1)
-    low = span_hash(prefix, g, g + p.gram)
+    low = gram_hashes(prefix, p.gram)
     width, have = p.length - p.gram + 1, 1
     while have < width:
         step = min(have, width - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    size = np.diff(chunk.offsets)
-    valid = np.zeros(n + 1, dtype=np.int64)
-    long_ = np.flatnonzero(size >= p.length)
-    np.add.at(valid, chunk.offsets[long_], 1)
-    np.add.at(valid, chunk.offsets[long_ + 1] - p.length + 1, -1)
-    start = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    if not len(start):
+    long_ = np.flatnonzero(np.diff(chunk.offsets) >= p.length)
+    if not len(long_):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    h = low[start]
-    edge = np.append(True, (h[1:] != h[:-1]) | (start[1:] != start[:-1] + 1))
+    begin, end = chunk.offsets[long_], chunk.offsets[long_ + 1] - p.length + 1
+    edge = np.zeros(n + 1, dtype=bool)
+    np.not_equal(low[1:], low[:-1], out=edge[1 : len(low)])
+    edge[begin] = edge[end] = True
     run = np.flatnonzero(edge)
-    since = np.arange(len(start)) - np.repeat(run, np.diff(np.append(run, len(start))))
-    first = np.flatnonzero(since % _FRAGMENT == 0)
-    span = np.diff(np.append(first, len(start)))
-    at = start[first]
-    text = np.searchsorted(chunk.offsets, at, side="right") - 1
-    return text, at - chunk.offsets[text], span, h[first], span_hash(prefix, at, at + span - 1 + p.length)
+    of = np.searchsorted(begin, run, side="right") - 1
+    inside = np.flatnonzero((of >= 0) & (run < end[of]))
+    starts, size, of = run[inside], run[inside + 1] - run[inside], of[inside]
+    pieces = -(-size // _FRAGMENT)
+    past = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _FRAGMENT
+    at = np.repeat(starts, pieces) + past
+    span = np.minimum(np.repeat(size, pieces) - past, _FRAGMENT)
+    text = long_[np.repeat(of, pieces)]
+    return text, at - chunk.offsets[text], span, low[at], span_hash(prefix, at, at + span - 1 + p.length)
+
+
+def _names(h: np.ndarray) -> np.ndarray:
+    """Names of anchors, evenly spread: the upper bytes of the mixed hash."""
+    return mix(h) >> _LOW
+
+
+def _packed(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_NAME].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // _NAME, 8), dtype=np.uint8)
+    wide[:, :_NAME] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _NAME)
+    return wide.view("<u8").ravel()
 
 
 _OCC = "doc_id long, v long, h long, f long, at long, span int"
+_NAMED = "bucket int, block long, names binary"
 
 
-def _anchored(p: RepeatParams):
+def _named(p: RepeatParams, buckets: int):
+    """Per block and bucket: the names of the anchors, twice where two texts have them."""
+    edges = np.array([(i << 8 * _NAME) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+    def told(block, held):
+        name = np.unique(np.concatenate(held)) >> _LOW
+        more = np.ones(len(name), dtype=bool)
+        more[2:] = name[2:] != name[:-2]
+        name = name[more]
+        cut = np.concatenate(([0], np.searchsorted(name, edges), [len(name)]))
+        at = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(np.full(len(at), block), pa.int64()),
+             pa.array([_packed(name[cut[i] : cut[i + 1]]) for i in at], pa.binary())], ["bucket", "block", "names"])
+
     def run(batches):
+        block, held, texts, size = None, [], 0, 0
         for batch in batches:
-            doc, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for chunk in chunks(batch.column(2)):
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            for chunk in chunks(batch.column(1), _CHUNK):
+                text, _, _, h, _ = anchors(chunk, p)
+                if not len(text):
+                    continue
+                of = blocks[chunk.rows.start + text]
+                first = np.append(0, np.flatnonzero(np.diff(of)) + 1)
+                for i, j in zip(first, np.append(first[1:], len(of)), strict=True):
+                    if held and (of[i] != block or size > p.block_bytes or texts + len(chunk) >> int(_LOW)):
+                        yield told(block, held)
+                        held, texts, size = [], 0, 0
+                    block = of[i]
+                    held.append(_names(h[i:j]) << _LOW | (text[i:j] + texts).astype(np.uint64))
+                    size += int(j - i)
+                texts += len(chunk)
+        if held:
+            yield told(block, held)
+
+    return run
+
+
+def _shared_names(table: pa.Table) -> pa.Table:
+    """Of a bucket: the names that stand there more than once, for each block that has them."""
+    lists = table.column("names").to_pylist()
+    end = np.cumsum([len(x) // _NAME for x in lists])
+    every = _unpacked(b"".join(lists))
+    ordered = np.sort(every)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    at = np.searchsorted(twice, every)
+    met = np.append(twice, ~np.uint64(0))[at] == every
+    out = [_packed(x[y]) for x, y in zip(np.split(every, end[:-1]), np.split(met, end[:-1]), strict=True)]
+    found = pa.table([table.column("block"), pa.array(out, pa.binary())], ["block", "names"])
+    return found.filter(pa.array([len(x) > 0 for x in out]))
+
+
+def _occurring(p: RepeatParams):
+    """Fragments of a block whose anchors are among the names it heard."""
+    types = (("doc_id", pa.int64()), ("v", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("at", pa.int64()),
+             ("span", pa.int32()))
+    schema = pa.schema(types)
+
+    def run(texts: pa.Table, heard: pa.Table) -> pa.Table:
+        out = []
+        if texts.num_rows and heard.num_rows:
+            known = np.sort(_unpacked(b"".join(heard.column("names").to_pylist())))
+            doc, v = (texts.column(c).to_numpy() for c in ("doc_id", "v"))
+            for chunk in chunks(texts.column("text"), _CHUNK):
                 text, at, span, h, f = anchors(chunk, p)
-                row = chunk.rows.start + text
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[row], pa.int64()), pa.array(v[row], pa.int64()), pa.array(signed(h)),
-                     pa.array(signed(f)), pa.array(at, pa.int64()), pa.array(span, pa.int32())],
-                    ["doc_id", "v", "h", "f", "at", "span"])
+                name = _names(h)
+                met = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
+                row = chunk.rows.start + text[met]
+                out.append(pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, (_, t) in
+                     zip((doc[row], v[row], signed(h[met]), signed(f[met]), at[met], span[met]), types, strict=True)],
+                    schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -98,31 +186,34 @@ def _cut_out(p: RepeatParams):
 
     def run(batches):
         for batch in batches:
-            doc, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            out = []
-            for i in range(len(batch)):
-                data = texts[i].as_py().encode()
-                for x in lists[i].as_py():
-                    frag = data[x["at"] : x["at"] + x["span"] - 1 + p.length]
-                    out.append((x["h"], x["f"], x["many"], doc[i], frag))
+            lists = batch.column(2)
+            asked = lists.flatten()
+            at, span = (asked.field(x).to_numpy() for x in ("at", "span"))
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            texts = [x.encode() for x in batch.column(1).to_pylist()]
+            frags = [texts[i][a:b] for i, a, b in zip(row.tolist(), at.tolist(), (at + span - 1 + p.length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in
-                 enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))],
+                [*(asked.field(x) for x in ("h", "f", "many")), batch.column(0).take(pa.array(row)), pa.array(frags, pa.binary())],
                 ["h", "f", "many", "least", "frag"])
 
     return run
 
 
-def smallest_owners(frags: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+def _held(frags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column, one text after the other, and the length of each."""
+    size = pc.binary_length(frags).to_numpy().astype(np.int64)
+    return np.frombuffer(b"".join(frags.to_pylist()), dtype=np.uint8), size
+
+
+def smallest_owners(data: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """For each start of a string of ``length`` bytes, fragment by fragment: the smallest
     ``least`` of all fragments that hold the string."""
-    size = np.array([len(x) for x in frags])
     end = np.cumsum(size + 1) - 1
     s = np.zeros(end[-1] + 1, dtype=np.int64)
     body = np.ones(len(s), dtype=bool)
     body[end] = False
-    s[body] = np.frombuffer(b"".join(frags), dtype=np.uint8).astype(np.int64) + 1
-    frag_of = np.repeat(np.arange(len(frags)), size + 1)
+    s[body] = data.astype(np.int64) + 1
+    frag_of = np.repeat(np.arange(len(size)), size + 1)
     left = end[frag_of] - np.arange(len(s))
     sa = suffix_array(s, 257)
     common = permuted_prefixes(s, sa)[sa]
@@ -135,19 +226,20 @@ def smallest_owners(frags: list[bytes], least: np.ndarray, length: int) -> np.nd
     return owner[left >= length]
 
 
-def _met(frags: list[bytes], length: int) -> np.ndarray:
-    """Whether a fragment may share a string with another one: a string's hash is there twice."""
-    size = np.array([len(x) for x in frags])
-    end = np.cumsum(size)
-    start = np.arange(end[-1])
-    frag_of = np.repeat(np.arange(len(frags)), size)
-    full = end[frag_of] - start >= length
-    start, frag_of = start[full], frag_of[full]
-    prefix = prefix_hash(np.frombuffer(b"".join(frags), dtype=np.uint8))
-    hashes = span_hash(prefix, start, start + length)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    out = np.zeros(len(frags), dtype=bool)
+def _met(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Whether a fragment may share a string with another one: a string's hash is there twice.
+
+    The lower bits of a hash give way to the string's number; what is found too often is sorted.
+    """
+    starts = size - length + 1
+    frag_of = np.repeat(np.arange(len(size)), starts)
+    start = np.arange(len(frag_of)) + frag_of * (length - 1)
+    bits = np.uint64(len(start).bit_length())
+    hashes = span_hash(prefix_hash(data), start, start + length) >> bits << bits
+    ordered = np.sort(hashes | np.arange(len(start), dtype=np.uint64))
+    same = ordered[1:] >> bits == ordered[:-1] >> bits
+    order = (ordered & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    out = np.zeros(len(size), dtype=bool)
     out[frag_of[order[1:][same]]] = True
     out[frag_of[order[:-1][same]]] = True
     return out
@@ -160,34 +252,48 @@ def _sorted_shards(p: RepeatParams):
     schema = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("runs", pa.list_(pa.struct(
         [("from_", pa.int32()), ("to_", pa.int32()), ("owner", pa.int64())])))])
 
-    def solved(rows):
+    def solved(batches):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        h, f, least, frags = (table.column(k).combine_chunks() for k in range(4))
+        data, size = _held(frags)
         # a fragment whose strings stand nowhere else in the shard has no neighbour to be sorted with
-        met = _met([r[3] for r in rows], p.length)
-        among = [r for r, x in zip(rows, met, strict=True) if x]
-        if among:
-            owner = smallest_owners([r[3] for r in among], np.array([r[2] for r in among], dtype=np.int64), p.length)
-        out, at = [], 0
-        for (h, f, least, frag), x in zip(rows, met, strict=True):
-            if not x:
-                out.append((h, f, [{"from_": 0, "to_": len(frag) - p.length + 1, "owner": least}]))
-                continue
-            own = owner[at : at + len(frag) - p.length + 1]
-            at += len(own)
-            edge = np.append(0, np.flatnonzero(np.diff(own)) + 1)
-            ends = np.append(edge[1:], len(own))
-            out.append((h, f, [{"from_": int(a), "to_": int(b), "owner": int(own[a])} for a, b in zip(edge, ends, strict=True)]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], schema.field(k).type) for k in range(3)], schema=schema)
+        met = _met(data, size, p.length)
+        starts, least = size - p.length + 1, least.to_numpy()
+        owner = np.repeat(least, starts)
+        if met.any():
+            owner[np.repeat(met, starts)] = smallest_owners(*_held(frags.filter(pa.array(met))), least[met], p.length)
+        first = np.cumsum(starts) - starts
+        edge = np.append(True, owner[1:] != owner[:-1])
+        edge[first] = True
+        at = np.flatnonzero(edge)
+        to = np.append(at[1:], len(owner))
+        runs = np.searchsorted(at, np.append(first, len(owner)))
+        begin = np.repeat(first, np.diff(runs))
+        told = pa.StructArray.from_arrays(
+            [pa.array(at - begin, pa.int32()), pa.array(to - begin, pa.int32()), pa.array(owner[at], pa.int64())],
+            ["from_", "to_", "owner"])
+        return pa.RecordBatch.from_arrays([h, f, pa.ListArray.from_arrays(pa.array(runs, pa.int32()), told).cast(schema.field(2).type)], schema=schema)
 
     def run(batches):
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if size > p.array_bytes and row[0] != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) + 1
+            if not len(batch):
+                continue
+            h = batch.column(0).to_numpy()
+            fresh = np.flatnonzero(np.append(last is None or h[0] != last, h[1:] != h[:-1]))
+            total = np.append(0, np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64) + 1))
+            last, at = h[-1], 0
+            while True:
+                # a shard ends before the first anchor that finds it full
+                full = max(at, int(np.searchsorted(total, total[at] + p.array_bytes - size, side="right")))
+                ends = fresh[np.searchsorted(fresh, full) :]
+                if not len(ends):
+                    break
+                held.append(batch.slice(at, ends[0] - at))
+                yield solved(held)
+                held, size, at = [], 0, int(ends[0])
+            held.append(batch.slice(at))
+            size += int(total[-1] - total[at])
         if held:
             yield solved(held)
 
@@ -259,19 +365,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     heads = _step(
         texts.join(number.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-        .select("doc_id", "v", "digest", "text"), "repeat-heads")
-
-    def occurrences():
-        return heads.select("doc_id", "v", "text").mapInArrow(_anchored(p), _OCC)
+        .select("doc_id", "v", "digest", "text", F.monotonically_increasing_id().alias("row")),
+        "repeat-heads")
+
+    # rows that were written one after the other are a block
+    n, size = heads.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    mean = size // max(n, 1)
+    together = min(max(p.block_bytes // max(mean, 1), 1).bit_length() - 1, 20)
+    alone = F.octet_length("text") > _LONG * mean
+    blocks = heads.select("doc_id", "v", "text", F.when(alone, -F.col("row") - 1).otherwise(
+        F.shiftright("row", together)).alias("block"))
+    heard = _step(
+        blocks.select("block", "text").mapInArrow(_named(p, size // p.bucket_bytes + 1), _NAMED)
+        .groupBy("bucket").applyInArrow(_shared_names, "block long, names binary"), "repeat-names")
+    occurrences = _step(
+        blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_occurring(p), _OCC), "repeat-occurrences")
 
     shared = _step(
-        occurrences().groupBy("h").agg(
+        occurrences.groupBy("h").agg(
             F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("f").alias("f0"),
             F.max("f").alias("f1"), F.count("*").alias("n"))
         .where("least < most").select("h", "least", (F.col("f0") == F.col("f1")).alias("same"), "n"), "repeat-anchors")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     live = _step(
-        join_statistics(occurrences(), shared, "h", "n", total).where("not same or doc_id > least")
+        join_statistics(occurrences, shared, "h", "n", total).where("not same or doc_id > least")
         .drop("n"), "repeat-live")
     equal = live.where("same").select("doc_id", "v", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("span")).alias("b")).alias("m"))
 
@@ -306,7 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = join_statistics(mixed.select("doc_id", "v", "at", key), stats, "hf", "n", mixed.count())
     unequal = met.select("doc_id", "v", "at", F.explode("runs").alias("r")).where("doc_id > r.owner").select(
         "doc_id", "v", F.struct((F.col("at") + F.col("r.from_")).alias("a"), (F.col("at") + F.col("r.to_")).alias("b")).alias("m"))
-    marks = equal.unionByName(unequal).groupBy("doc_id", "v").agg(F.collect_list("m").alias("ms"))
+    marks = _step(equal.unionByName(unequal).groupBy("doc_id", "v").agg(F.collect_list("m").alias("ms")), "repeat-marks")
     cut = heads.join(marks.hint("merge"), ["doc_id", "v"]).select("doc_id", "digest", "text", "ms").mapInArrow(
         _removed(p), "doc_id long, digest string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_kept:

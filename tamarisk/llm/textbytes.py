@@ -62,6 +62,21 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of every span of ``size`` bytes, by slices and in place."""
+    _, down = powers(len(prefix))
+    h = (prefix[size:] - prefix[:-size]) * down[: len(prefix) - size]
+    rest = h >> _U(30)
+    h ^= rest
+    h *= _U(0xBF58476D1CE4E5B9)
+    np.right_shift(h, _U(27), out=rest)
+    h ^= rest
+    h *= _U(0x94D049BB133111EB)
+    np.right_shift(h, _U(31), out=rest)
+    h ^= rest
+    return h
+
+
 @dataclass
 class Chunk:
     """Some rows of a batch: their bytes, concatenated, and where each text begins."""

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tamarisk.llm import suffix_sorting
+from tamarisk.llm import suffix_dedup, suffix_sorting
 from tamarisk.llm.suffix_dedup import RepeatParams, remove_repeats
 
 
@@ -54,6 +54,38 @@ def test_same_as_brute_force(make, group):
     assert sorted(((*r[:5], bytes(r[5])) for r in got.collect()), key=repr) == brute(rows)
 
 
+@pytest.fixture
+def steps(monkeypatch):
+    """Rows of each written step."""
+    rows, plain = {}, suffix_dedup.written
+
+    def counted(df, name, *rest):
+        out = plain(df, name, *rest)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    return rows
+
+
+def test_same_as_brute_force_over_many_blocks(make, steps):
+    rows = corpus()
+    got = remove_repeats(make(rows), with_kept=True, params=RepeatParams(block_bytes=900, bucket_bytes=3000))
+    assert sorted(((*r[:5], bytes(r[5])) for r in got.collect()), key=repr) == brute(rows)
+    assert steps["repeat-names"] > 20
+
+
+def test_fragments_of_one_text_alone_do_not_become_rows(make, steps):
+    rng = random.Random(3)
+    alone = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(alone)] + [(90, alone[7][:300] + "x" * 200)]
+    assert sorted((tuple(r) for r in remove_repeats(make(rows)).collect()), key=repr) == [r[:5] for r in brute(rows)]
+    # of 120,500 bytes two copies of 300 move, not some 8,000 fragments
+    assert 2 <= steps["repeat-occurrences"] < 100
+    # the table that holds all marks is written before texts are moved again
+    assert steps["repeat-marks"] == 1
+
+
 def test_empty_table(make):
     assert remove_repeats(make([])).collect() == []
 
