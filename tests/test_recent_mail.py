@@ -54,6 +54,25 @@ def test_odd_rows(spark):
     assert hist.recent_mail(m.limit(0), b).count() == hist.recent_mail(m, b.limit(0)).count() == 0
 
 
+def test_wide_mails_are_not_written_as_json(spark):
+    """Which of a message's histories counts is settled on the counts, before the mails come to them."""
+    m, box = _asked(mail.messages(spark, SF)), mail.mailbox(spark, SF)
+    whole = hist.with_sender_history(m, box)._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" in whole or "StructsToJson" in whole
+    assert not any("json" in line.lower() and "recent" in line for line in whole.split("\n"))
+
+
+def test_a_message_given_twice_with_two_moments(spark):
+    """The greatest history by its JSON text counts, with the mails of both moments."""
+    day = dt.timedelta(days=1)
+    box = [("b", f"t{i}", f"m{i}", "s", "me", "inbox", T0 + i * day, f"subject {i}", None, 0) for i in range(3)]
+    asked = [("q", "b", "s", "own", T0 + day / 2), ("q", "b", "s", "own", T0 + 9 * day)]
+    got = hist.with_sender_history(spark.createDataFrame(asked, ASKED), spark.createDataFrame(box, BOX)).collect()
+    assert [r.sender_history.total_threads for r in got] == [3, 3]
+    assert {r.sender_history.oldest_thread_iso_date for r in got} == {"2024-01-01T00:00:00.000Z"}
+    assert got[0].recent_emails_from_sender == got[1].recent_emails_from_sender
+
+
 def test_plan_has_no_python_and_reads_bodies_for_excerpts_only(spark):
     m, box = _asked(mail.messages(spark, SF)), mail.mailbox(spark, SF)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()

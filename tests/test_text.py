@@ -146,3 +146,16 @@ def test_scores_beyond_int(spark):
     df = spark.createDataFrame([(k, '{"claude_score": %s}' % k) for k in given], "k string, j string")
     got = df.select("k", score_of(F.try_parse_json("j")).alias("score")).collect()
     assert {r.k: r.score for r in got} == given
+
+
+def test_quick_starts_match_the_same(spark):
+    odd = [
+        "(050) 123 4567", "x+1 212-555-0101y", "((020)123456789", "1 2 3 4 5 6 7 8 9 0 1 2 3", "a1234567890123 b", "٠١٢٣٤٥٦٧٨٩٠١٢",
+        "DE89 3704 0044 0532 0130 00", "éDE89370400440532013000", "١٢٣-٤٥-٦٧٨٩", "123-45-6789-", "0123-45-6789", "+(12", "", "12\n345\t6789",
+    ]
+    assert rd._STARTS
+    for pattern, start in rd._STARTS.items():
+        plain = values(spark, odd, lambda v: F.regexp_replace(v, pattern, "#"))
+        assert values(spark, odd, lambda v: F.regexp_replace(v, start + pattern, "#")) == plain
+    kept = ["no mark at all\n", "", None]
+    assert values(spark, kept, rd.redact) == ["no mark at all\n", "", ""]
