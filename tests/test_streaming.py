@@ -63,6 +63,24 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
 
 
+def test_a_batch_is_made_once(spark, tmp_path):
+    """A plan that reads its batch several times does not run the stream, and its state, again."""
+    docs = mail.table(spark, SF, "documents").limit(20)
+    docs.write.parquet(str(tmp_path / "in"))
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(doc_id):
+        made.add(1)
+        return doc_id
+
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), DOCUMENTS).select(noted("doc_id").alias("doc_id"))
+    twice = lambda b: b.where(f"doc_id < {b.count()}").unionByName(b.where("doc_id >= 0"))
+    out = jobs.run_batches_to_table(stream, twice, "t")
+    assert out.count() == 20 + docs.where("doc_id < 20").count()
+    assert made.value == 20
+
+
 def test_full_verdict_over_batches(spark, tmp_path):
     """History, answers and reputation of a stream in several batches equal the batch verdict."""
     sh.use_state_store(spark)
