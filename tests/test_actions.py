@@ -11,7 +11,7 @@ from tamarisk.operators.actions import pending_actions
 from tamarisk.operators.asof import asof_join, last_before, one_per_key
 from tamarisk.streaming import history as sh
 from tamarisk.streaming import jobs
-from tamarisk.streaming.actions import act_once
+from tamarisk.streaming.actions import SLOTS, act_once
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
@@ -115,6 +115,48 @@ def test_a_resting_thread_starts_anew(spark, tmp_path):
     assert set(run(10**7)) == {"1", "2"}
 
 
+def test_threads_share_a_slot_of_state(spark, tmp_path):
+    """Many threads are one call of the processor; in one slot they stay apart, and each rests for itself."""
+    import inspect
+
+    assert inspect.signature(act_once).parameters["slots"].default == SLOTS
+    sh.use_state_store(spark)
+    scored, box = made(9, 150)
+    scored += [("z1", None, "t1", 100, "Suspicious", 1), ("z2", None, "t1", 5000, "Malicious", 1), ("z3", None, "t1", 8000, "Suspicious", 1)]
+    s, b = frames(spark, scored, box)
+    for i in range(3):
+        lo, hi = F.lit(at(i * 3000)), F.lit(at(i * 3000 + 3000))
+        for df, name in ((s, "s"), (b, "b")):
+            df.where((F.col("received_at") >= lo) & (F.col("received_at") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, schema: jobs.read_stream(spark, str(tmp_path / name), schema, 1)
+    run = lambda **o: act_once(read("s", SCORED), read("b", BOX), "10 days", **o)
+    assert acted(jobs.run_to_table(run(slots=1), "acts")) == brute(scored, box)
+    query = run().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    stored = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    # a value, a timer and its second index for each slot, not for each thread
+    few = run(slots=2).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "f")).trigger(availableNow=True).start()
+    few.awaitTermination()
+    held = [o["numRowsTotal"] for p in few.recentProgress for o in p["stateOperators"]]
+    assert max(held) < max(stored) and max(held) <= 2 * 3
+
+
+def test_threads_of_a_slot_rest_one_by_one(spark, tmp_path):
+    sh.use_state_store(spark)
+    safe = lambda name, minutes: [(name, "b", "z", minutes, "Safe", 1)]
+    scored = [[("1", "b", "x", 0, "Malicious", 1), ("2", "b", "y", 100, "Malicious", 1)], safe("3", 130), safe("4", 131),
+              [("5", "b", "x", 132, "Suspicious", 1), ("6", "b", "y", 132, "Suspicious", 1)], safe("7", 300), safe("8", 301),
+              [("9", "b", "y", 302, "Suspicious", 1)]]
+    for part in scored:
+        frames(spark, part, [])[0].coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    frames(spark, [], [("m", "b", "w", 0, "inbox")])[1].coalesce(1).write.parquet(str(tmp_path / "b"))
+    got = acted(jobs.run_to_table(act_once(
+        jobs.read_stream(spark, str(tmp_path / "s"), SCORED, 1), jobs.read_stream(spark, str(tmp_path / "b"), BOX, 1),
+        "1 minute", 7200, slots=1), "acts"))
+    # x is over at 120 and starts anew; y, which has mail again at 132, only at 252
+    assert got == {"1": ("Malicious", "Safe"), "2": ("Malicious", "Safe"), "5": ("Suspicious", "Safe"), "9": ("Suspicious", "Safe")}
+
+
 def test_last_before_does_not_depend_on_slices(spark):
     rnd = random.Random(4)
     data = [(rnd.choice(["a", "a", "b", None]), at(rnd.randrange(5000)), i, rnd.choice([None, None, rnd.randrange(9)]),
